@@ -36,8 +36,13 @@ class Blocks:
 DAILY = Blocks()
 
 
+# block numbers are integers: a floating-point key would be normalised in every
+# exchange and hide that two of them agree. The low bits number the parts of a block.
+_PARTS = 1 << 20
+
+
 def _base(t: Column, blocks: Blocks) -> Column:
-    return F.floor(t / F.lit(blocks.width)).cast("double")
+    return F.floor(t / F.lit(blocks.width)).cast("bigint") * F.lit(_PARTS)
 
 
 def hot_blocks(frames: Sequence[tuple[DataFrame, str]], keys: Sequence[str], blocks: Blocks):
@@ -52,20 +57,21 @@ def hot_blocks(frames: Sequence[tuple[DataFrame, str]], keys: Sequence[str], blo
     if len(counts) > 1:
         merged = merged.groupBy(*keys, BLK).agg(F.sum("_n").alias("_n"))
     return merged.filter(F.col("_n") > blocks.hot_rows).select(
-        *keys, BLK, F.ceil(F.col("_n") / F.lit(blocks.hot_rows)).cast("double").alias("_parts")
+        *keys, BLK, F.least(F.ceil(F.col("_n") / F.lit(blocks.hot_rows)), F.lit(_PARTS)).cast("double").alias("_parts")
     )
 
 
 def assign(df: DataFrame, keys: Sequence[str], t: str, blocks: Blocks, hot: DataFrame | None) -> DataFrame:
-    """Add the block number; parts of a hot block get fractional numbers in order."""
+    """Add the block number; parts of a hot block get numbers in between, in order."""
     df = df.withColumn(BLK, _base(F.col(t), blocks))
     if hot is None:
         return df
-    inside = F.col(t) / F.lit(blocks.width) - F.col(BLK)
-    part = F.least(F.floor(inside * F.col("_parts")), F.col("_parts") - 1) / F.col("_parts")
+    x = F.col(t) / F.lit(blocks.width)
+    nth = F.least(F.floor((x - F.floor(x)) * F.col("_parts")), F.col("_parts") - 1)
+    part = F.floor(nth * F.lit(float(_PARTS)) / F.col("_parts")).cast("bigint")
     return (
         df.join(F.broadcast(hot), [*keys, BLK], "left")
-        .withColumn(BLK, F.col(BLK) + F.coalesce(part, F.lit(0.0)))
+        .withColumn(BLK, F.col(BLK) + F.coalesce(part, F.lit(0)))
         .drop("_parts")
     )
 

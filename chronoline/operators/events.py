@@ -39,9 +39,9 @@ def extract_events(
     is identified by (keys, thr, t_start).
     """
     low = min(thresholds)
-    hits = trace.filter(F.col("p") >= F.lit(low)).groupBy(*keys, "t").agg(F.max("p").alias("p"))
+    hits = trace.filter(F.col("p") >= F.lit(low)).select(*keys, "t", "p")
     placed = assign(hits, keys, "t", blocks, hot_blocks([(hits, "t")], keys, blocks))
-    placed = placed.repartition(*keys, BLK)
+    placed = placed.repartition(*keys, BLK).groupBy(*keys, BLK, "t").agg(F.max("p").alias("p"))
     passed = F.filter(threshold_array(thresholds), lambda x: x <= F.col("p"))
     fanned = placed.select(*keys, BLK, "t", "p", F.explode(passed).alias("thr")).withColumn(
         "_e", F.col("t") + F.lit(win)

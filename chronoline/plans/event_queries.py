@@ -350,8 +350,8 @@ WITH c AS (SELECT idx, path, rec_start, rec_end FROM (
 SELECT a.idx, 'seizure_' || lpad(a.idx::VARCHAR, greatest(2, length(a.idx::VARCHAR))::INTEGER, '0') || '_' || regexp_replace(a.label, '\\W', '_', 'g')
        || '_' || strftime(make_timestamp(floor(a.t_start)::BIGINT * 1000000), '%Y%m%d_%H%M%S') AS clip_name,
        round(a.t_start - 10.0, 6) AS clip_start, round(a.t_end + 10.0, 6) AS clip_end,
-       round(greatest(0.0, a.t_start - c.rec_start - 10.0), 6) AS seek_s,
-       round(least(a.t_end - a.t_start + 20.0, c.rec_end - c.rec_start - greatest(0.0, a.t_start - c.rec_start - 10.0)), 6) AS clip_len,
+       CASE WHEN c.path IS NOT NULL THEN round(greatest(0.0, a.t_start - c.rec_start - 10.0), 6) END AS seek_s,
+       CASE WHEN c.path IS NULL THEN round(a.t_end - a.t_start + 20.0, 6) ELSE round(least(a.t_end - a.t_start + 20.0, c.rec_end - c.rec_start - greatest(0.0, a.t_start - c.rec_start - 10.0)), 6) END AS clip_len,
        CASE WHEN c.path IS NULL THEN '—' ELSE
          lpad((greatest(0, trunc(a.t_start - c.rec_start))::BIGINT // 3600)::VARCHAR, 2, '0') || ':' ||
          lpad((greatest(0, trunc(a.t_start - c.rec_start))::BIGINT % 3600 // 60)::VARCHAR, 2, '0') || ':' ||
