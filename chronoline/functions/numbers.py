@@ -21,15 +21,30 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    A column named in one projection and used inside a lambda in the next is inlined
+    into the lambda and computed again for every element; a lambda argument is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mean(xs: Column) -> Column:
     return F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x.cast("double")), F.size(xs).cast("double"))
 
 
 def pop_sd(xs: Column) -> Column:
     """Population standard deviation of an array, two passes."""
-    m = mean(xs)
-    ss = F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x.cast("double") - m) * (x.cast("double") - m))
-    return F.sqrt(F.try_divide(ss, F.size(xs).cast("double")))
+    squares = lambda m: F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x.cast("double") - m) * (x.cast("double") - m))
+    return let(mean(xs), lambda m: F.sqrt(F.try_divide(squares(m), F.size(xs).cast("double"))))
+
+
+def median_of(xs: Column) -> Column:
+    """Median of an array (mean of the two middle values)."""
+    at = lambda s, i: F.get(s, i.cast("int")).cast("double")
+    mid = lambda s: (at(s, F.floor((F.size(s) - 1) / 2)) + at(s, F.floor(F.size(s) / 2))) / 2.0
+    return let(F.array_sort(xs), lambda s: F.when(F.size(s) > 0, mid(s)))
 
 
 def argmax(p: Column) -> Column:
