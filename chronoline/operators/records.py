@@ -116,7 +116,9 @@ def top_per_topic(
         ])).alias("_s"),
     ).select(ident, "_s.*").filter(F.col("score") > 0)
     spec = W.partitionBy("topic").orderBy(F.col("score").desc(), F.col(ident))
-    return scored.withColumn("place", F.row_number().over(spec)).filter(F.col("place") <= n)
+    return scored.withColumn("place", F.row_number().over(spec)).filter(F.col("place") <= n).withColumn(
+        "place", F.col("place").cast("bigint")
+    )
 
 
 def citation_keys(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("event_queries", "metric_queries", "signal_queries")
+_MODULES = ("event_queries", "metric_queries", "signal_queries", "record_queries")
 
 
 def load_catalog():
