@@ -41,16 +41,19 @@ def extract_events(
     low = min(thresholds)
     hits = trace.filter(F.col("p") >= F.lit(low)).select(*keys, "t", "p")
     placed = assign(hits, keys, "t", blocks, hot_blocks([(hits, "t")], keys, blocks))
-    placed = placed.repartition(*keys, BLK).groupBy(*keys, BLK, "t").agg(F.max("p").alias("p"))
+    # a given number of partitions: the rows are few here but multiply in the next step,
+    # and adaptive execution would merge partitions by their size before it
+    n = int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.repartition(n, *keys, BLK).groupBy(*keys, BLK, "t").agg(F.max("p").alias("p"))
     passed = F.filter(threshold_array(thresholds), lambda x: x <= F.col("p"))
     fanned = placed.select(*keys, BLK, "t", "p", F.explode(passed).alias("thr")).withColumn(
         "_e", F.col("t") + F.lit(win)
     )
     full = [*keys, "thr"]
     local = _local_islands(fanned, full, "t", "_e", merge_gap)
-    pieces = local.groupBy(*full, BLK, "_is").agg(
+    pieces = settle(local.groupBy(*full, BLK, "_is").agg(
         F.max("_e").alias("_e"), F.max("p").alias("peak"), F.count(F.lit(1)).alias("n_hits")
-    )
+    ))
     merged = (
         pieces.join(_stitch(pieces, full, "_e", merge_gap), [*full, BLK], "left")
         .withColumn("t_start", _final_start(merge_gap))

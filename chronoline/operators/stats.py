@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from chronoline.functions.hashing import uniform
+from chronoline.functions.numbers import let
 from chronoline.operators.metrics import paired_runs, per_class, summarise_classes
+from chronoline.session import settle
 
 
 def log_gamma(x: Column) -> Column:
@@ -93,19 +95,26 @@ def _packed(cells: DataFrame, fields: Sequence[str]) -> DataFrame:
     return packed.withColumn("bounds", bounds)
 
 
+def _parts(df: DataFrame) -> int:
+    """Partitions for replicates: they are tiny before they multiply, so none may be merged."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def resample_draws(cells: DataFrame, fields: Sequence[str], n_rep: int, seed: int) -> DataFrame:
     """Bootstrap counts per replicate from portable seeded draws.
 
     Draw j of replicate r falls into the cell that holds position floor(u * n).
     """
-    base = _packed(cells, fields).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
-    base = base.repartition("rep")
+    packed = settle(_packed(cells, fields))
+    base = packed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
+    base = base.repartition(_parts(cells), "rep")
     draws = base.select("rep", "bounds", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1)).alias("j"))
     at = F.floor(uniform(F.col("j"), F.lit(seed) + F.col("rep") * 7919 + 1) * F.col("total"))
-    counts = draws.select("rep", F.size(F.filter("bounds", lambda b: b <= at)).alias("_i")).groupBy("rep", "_i").agg(
+    cell = let(at, lambda a: F.size(F.filter("bounds", lambda b: b <= a)))
+    counts = draws.select("rep", cell.alias("_i")).groupBy("rep", "_i").agg(
         F.count(F.lit(1)).alias("n")
     )
-    names = _packed(cells, fields).select(F.posexplode("cells").alias("_i", "c")).select("_i", *[f"c.{f}" for f in fields])
+    names = packed.select(F.posexplode("cells").alias("_i", "c")).select("_i", *[f"c.{f}" for f in fields])
     return counts.join(F.broadcast(names), "_i").drop("_i")
 
 
@@ -124,7 +133,8 @@ def resample_multinomial(cells: DataFrame, fields: Sequence[str], n_rep: int, se
             out.append(np.random.default_rng([seed, int(r)]).multinomial(int(c.sum()), c / c.sum()).tolist())
         return pd.Series(out)
 
-    base = _packed(cells, fields).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).repartition("rep")
+    base = _packed(cells, fields).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
+    base = base.repartition(_parts(cells), "rep")
     drawn = base.select("rep", "cells", draw("rep", F.transform("cells", lambda c: c["n"])).alias("_n"))
     return drawn.select("rep", F.explode(F.arrays_zip("cells", "_n")).alias("z")).select(
         "rep", *[F.col(f"z.cells.{f}").alias(f) for f in fields], F.col("z._n").alias("n")

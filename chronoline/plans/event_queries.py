@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from chronoline.functions.hashing import mix_sql
 from chronoline.functions.numbers import r6
 from chronoline.operators import background, clips, events as ev, intervals as iv, ranking, timeline
-from chronoline.operators.blocks import Run, running
+from chronoline.operators.blocks import Blocks
 from chronoline.plans.catalog import query, values
 from chronoline.session import settle
 
 # time constants of the stand-in traces (one row per session about every 11 hours)
 WIN, GAP, MIN_DUR, MIN_IOU = 3600.0, 21600.0, 3600.0, 0.3
 CURVE = ev.linspace(0.05, 0.99, 40)
+# days become tens of days with them
+BLOCKS = Blocks(width=864_000.0)
 
 
 def _round(df, *cols):
@@ -25,7 +27,7 @@ def _bigint(df, *cols):
 
 
 def detections(s, thresholds=ev.THRESHOLDS):
-    return settle(ev.extract_events(s.trace, thresholds, WIN, MIN_DUR, GAP))
+    return settle(ev.extract_events(s.trace, thresholds, WIN, MIN_DUR, GAP, blocks=BLOCKS))
 
 
 def det_sql(thresholds=ev.THRESHOLDS, trace="trace") -> str:
@@ -78,19 +80,19 @@ def r6s(*cols: str) -> str:
 @query("extract_events", f"WITH {det_sql()} SELECT session, modality, thr, {r6s('t_start', 't_end', 'peak')}, n_hits FROM det",
        ("trace",))
 def _(s):
-    return _round(ev.extract_events(s.trace, ev.THRESHOLDS, WIN, MIN_DUR, GAP), "t_start", "t_end", "peak")
+    return _round(ev.extract_events(s.trace, ev.THRESHOLDS, WIN, MIN_DUR, GAP, blocks=BLOCKS), "t_start", "t_end", "peak")
 
 
 @query("match_events",
        f"WITH {det_sql()}, {MATCH_SQL} SELECT session, modality, thr, truth_id, {r6s('t_start', 't_end', 'g_start', 'g_end', 'iou')} FROM matched",
        ("trace", "truth"))
 def _(s):
-    return _round(ev.match_events(detections(s), s.truth, MIN_IOU), "t_start", "t_end", "g_start", "g_end", "iou")
+    return _round(ev.match_events(detections(s), s.truth, MIN_IOU, blocks=BLOCKS), "t_start", "t_end", "g_start", "g_end", "iou")
 
 
 def event_scores(s):
     det = detections(s)
-    m = ev.match_events(det, s.truth, MIN_IOU)
+    m = ev.match_events(det, s.truth, MIN_IOU, blocks=BLOCKS)
     grid = ev.score_grid(s.trace, ev.THRESHOLDS)
     return ev.score_events(det, m, s.truth, grid, ev.trace_hours(s.trace))
 
@@ -112,7 +114,7 @@ def _(s):
        ("trace", "truth"))
 def _(s):
     det = detections(s)
-    out = ev.detected_events(det, ev.match_events(det, s.truth, MIN_IOU)).drop("n_hits")
+    out = ev.detected_events(det, ev.match_events(det, s.truth, MIN_IOU, blocks=BLOCKS)).drop("n_hits")
     return _round(out, "t_start", "t_end", "peak", "iou")
 
 
@@ -122,7 +124,7 @@ def _(s):
        "AND m.thr = d.thr AND m.t_start = d.t_start)", ("trace", "truth"))
 def _(s):
     det = detections(s)
-    out = ev.false_alarms(det, ev.match_events(det, s.truth, MIN_IOU)).select("session", "modality", "thr", "t_start", "t_end")
+    out = ev.false_alarms(det, ev.match_events(det, s.truth, MIN_IOU, blocks=BLOCKS)).select("session", "modality", "thr", "t_start", "t_end")
     return _round(out, "t_start", "t_end")
 
 
@@ -132,7 +134,7 @@ def _(s):
        "WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.session = g.session AND m.modality = g.modality "
        "AND m.thr = g.thr AND m.truth_id = t.truth_id)", ("trace", "truth"))
 def _(s):
-    m = ev.match_events(detections(s), s.truth, MIN_IOU)
+    m = ev.match_events(detections(s), s.truth, MIN_IOU, blocks=BLOCKS)
     return ev.missed_truths(s.truth, m, ev.score_grid(s.trace, ev.THRESHOLDS)).select("session", "modality", "thr", "truth_id")
 
 
@@ -141,7 +143,7 @@ def _(s):
        f"SELECT session, modality, {r6s('thr', 'fp_per_hour')}, round(recall, 6) + 0.0 AS sensitivity FROM scored",
        ("trace", "truth"))
 def _(s):
-    out = ev.operating_curve(s.trace, s.truth, ev.trace_hours(s.trace), CURVE, WIN, MIN_DUR, GAP, MIN_IOU)
+    out = ev.operating_curve(s.trace, s.truth, ev.trace_hours(s.trace), CURVE, WIN, MIN_DUR, GAP, MIN_IOU, blocks=BLOCKS)
     return _round(out, "thr", "fp_per_hour", "sensitivity")
 
 
@@ -172,7 +174,7 @@ r AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM c
 SELECT session, modality, round(CASE WHEN sum(pos) > 0 THEN sum(pos * tp / (tp + fp)) / sum(pos) END, 6) AS average_precision
 FROM r GROUP BY session, modality""", ("trace", "truth"))
 def _(s):
-    return _round(ranking.average_precision(ev.label_trace(s.trace, s.truth, WIN), ["session", "modality"], "p"),
+    return _round(ranking.average_precision(ev.label_trace(s.trace, s.truth, WIN, blocks=BLOCKS), ["session", "modality"], "p"),
                   "average_precision")
 
 
@@ -186,14 +188,14 @@ SELECT session, modality, round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0
         THEN sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) END, 6) AS auroc
 FROM r GROUP BY session, modality""", ("trace", "truth"))
 def _(s):
-    return _round(ranking.auroc(ev.label_trace(s.trace, s.truth, WIN), ["session", "modality"], "p"), "auroc")
+    return _round(ranking.auroc(ev.label_trace(s.trace, s.truth, WIN, blocks=BLOCKS), ["session", "modality"], "p"), "auroc")
 
 
 @query("windows_inside_truth", f"""
 SELECT session, modality, round(t, 6) AS t, EXISTS (SELECT 1 FROM truth g WHERE g.session = x.session
        AND x.t + {WIN / 2} BETWEEN g.t_start AND g.t_end) AS inside FROM trace x""", ("trace", "truth"))
 def _(s):
-    return _round(iv.inside_any(s.trace, s.truth, F.col("t") + F.lit(WIN / 2)).drop("p"), "t")
+    return _round(iv.inside_any(s.trace, s.truth, F.col("t") + F.lit(WIN / 2), blocks=BLOCKS).drop("p"), "t")
 
 
 @query("trace_summary", """
@@ -203,7 +205,7 @@ SELECT session, modality, count(*) AS n, round((max(t) - min(t)) / 3600.0, 6) +
        round(avg(CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS share_above, count(*) FILTER (i) AS n_inside,
        round(avg(p) FILTER (i), 6) AS mean_p_inside FROM m GROUP BY session, modality""", ("trace", "truth"))
 def _(s):
-    return _round(ev.trace_summary(s.trace, s.truth), "span_h", "mean_p", "share_above", "mean_p_inside")
+    return _round(ev.trace_summary(s.trace, s.truth, blocks=BLOCKS), "span_h", "mean_p", "share_above", "mean_p_inside")
 
 
 _ASOF = """
@@ -220,22 +222,22 @@ def _sides(s):
 
 @query("asof_join", _ASOF + "SELECT session, round(t, 6) AS t, round(p, 6) AS p, round(q, 6) AS p_right FROM j", ("trace",))
 def _(s):
-    return _round(ev.asof_join(*_sides(s)), "t", "p", "p_right")
+    return _round(ev.asof_join(*_sides(s), blocks=BLOCKS), "t", "p", "p_right")
 
 
 @query("fuse_mean", _ASOF + "SELECT session, round(t, 6) AS t, round(0.5 * p + 0.5 * q, 6) AS p FROM j WHERE q IS NOT NULL", ("trace",))
 def _(s):
-    return _round(ev.fuse(*_sides(s), "mean", 0.5), "t", "p")
+    return _round(ev.fuse(*_sides(s), "mean", 0.5, blocks=BLOCKS), "t", "p")
 
 
 @query("fuse_or", _ASOF + "SELECT session, round(t, 6) AS t, round(greatest(p, q), 6) AS p FROM j WHERE q IS NOT NULL", ("trace",))
 def _(s):
-    return _round(ev.fuse(*_sides(s), "or"), "t", "p")
+    return _round(ev.fuse(*_sides(s), "or", blocks=BLOCKS), "t", "p")
 
 
 @query("fuse_and", _ASOF + "SELECT session, round(t, 6) AS t, round(least(p, q), 6) AS p FROM j WHERE q IS NOT NULL", ("trace",))
 def _(s):
-    return _round(ev.fuse(*_sides(s), "and"), "t", "p")
+    return _round(ev.fuse(*_sides(s), "and", blocks=BLOCKS), "t", "p")
 
 
 @query("fused_event_scores",
@@ -244,9 +246,9 @@ def _(s):
            "SELECT DISTINCT session, modality FROM trace", "SELECT DISTINCT session, modality FROM fused")
        + f" SELECT session, modality, thr, n_det, tp, fp, fn, {r6s(*_SCORES)} FROM scored", ("trace", "truth"))
 def _(s):
-    fused = settle(ev.fuse(*_sides(s), "mean", 0.5).select("session", F.lit("fusion:mean").alias("modality"), "t", "p"))
-    det = settle(ev.extract_events(fused, ev.THRESHOLDS, WIN, MIN_DUR, GAP))
-    m = ev.match_events(det, s.truth, MIN_IOU)
+    fused = settle(ev.fuse(*_sides(s), "mean", 0.5, blocks=BLOCKS).select("session", F.lit("fusion:mean").alias("modality"), "t", "p"))
+    det = settle(ev.extract_events(fused, ev.THRESHOLDS, WIN, MIN_DUR, GAP, blocks=BLOCKS))
+    m = ev.match_events(det, s.truth, MIN_IOU, blocks=BLOCKS)
     out = ev.score_events(det, m, s.truth, ev.score_grid(fused, ev.THRESHOLDS), ev.trace_hours(s.trace))
     return _round(out, *_SCORES)
 
@@ -256,7 +258,7 @@ def _(s):
 @query("recording_intervals", """
 SELECT session, path, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end FROM recording_iv""", ("recording_iv",))
 def _(s):
-    return _round(iv.recording_intervals(s.recording).select("session", "path", "t_start", "t_end"), "t_start", "t_end")
+    return _round(iv.recording_intervals(s.recording, blocks=BLOCKS).select("session", "path", "t_start", "t_end"), "t_start", "t_end")
 
 
 _COVER = """
@@ -268,7 +270,7 @@ WHERE rn = 1"""
 
 @query("cover_join", _COVER, ("annotation", "recording_iv"))
 def _(s):
-    return _round(iv.cover_join(s.annotation, s.recording_iv).select("idx", "path", "rec_start"), "rec_start")
+    return _round(iv.cover_join(s.annotation, s.recording_iv, blocks=BLOCKS).select("idx", "path", "rec_start"), "rec_start")
 
 
 @query("window_coverage", """
@@ -277,7 +279,7 @@ SELECT session, modality, round(t, 6) AS t, path FROM (
   FROM trace w LEFT JOIN recording_iv r ON r.session = w.session AND r.t_start <= w.t AND w.t < r.t_end) WHERE rn = 1""",
        ("trace", "recording_iv"))
 def _(s):
-    return _round(iv.cover_join(s.trace, s.recording_iv, on="t").select("session", "modality", "t", "path"), "t")
+    return _round(iv.cover_join(s.trace, s.recording_iv, on="t", blocks=BLOCKS).select("session", "modality", "t", "path"), "t")
 
 
 @query("nearest_recording", """
@@ -286,7 +288,7 @@ SELECT idx, nearest_path, round(gap_s, 6) + 0.0 AS gap_s FROM (
          row_number() OVER (PARTITION BY a.idx ORDER BY abs(r.t_start - a.t_start), r.t_start, r.path) AS rn
   FROM annotation a JOIN recording_iv r ON r.session = a.session) WHERE rn = 1""", ("annotation", "recording_iv"))
 def _(s):
-    return _round(iv.nearest_recording(s.annotation, s.recording_iv).select("idx", "nearest_path", "gap_s"), "gap_s")
+    return _round(iv.nearest_recording(s.annotation, s.recording_iv, blocks=BLOCKS).select("idx", "nearest_path", "gap_s"), "gap_s")
 
 
 BLOCKED_SQL = """
@@ -298,7 +300,7 @@ blocked AS (SELECT session, min(s) AS t_start, max(e) AS t_end FROM b2 GROUP BY
 
 
 def blocked(s):
-    return settle(iv.merge_intervals(s.annotation, pad_before=40.0, pad_after=40.0))
+    return settle(iv.merge_intervals(s.annotation, pad_before=40.0, pad_after=40.0, blocks=BLOCKS))
 
 
 @query("merge_intervals", f"WITH {BLOCKED_SQL} SELECT session, {r6s('t_start', 't_end')} FROM blocked", ("annotation",))
@@ -318,7 +320,7 @@ free AS (SELECT session, path, rs, re, c AS t_start, s AS t_end FROM cur WHERE c
 @query("free_intervals", f"WITH {BLOCKED_SQL}, {FREE_SQL} SELECT session, path, {r6s('t_start', 't_end')} FROM free WHERE t_end - t_start >= 60.0",
        ("annotation", "recording_iv"))
 def _(s):
-    out = iv.free_intervals(s.recording_iv, blocked(s), 60.0).select("session", "path", "t_start", "t_end")
+    out = iv.free_intervals(s.recording_iv, blocked(s), 60.0, blocks=BLOCKS).select("session", "path", "t_start", "t_end")
     return _round(out, "t_start", "t_end")
 
 
@@ -339,7 +341,7 @@ SELECT a.idx, d.path, round(d.t_start + {mix_sql('a.idx', 43)} / 2147483647.0 *
        round(d.t_start + {mix_sql('a.idx', 43)} / 2147483647.0 * d.w + a.need, 3) AS clip_end
 FROM ann a LEFT JOIN drawn d ON d.idx = a.idx""", ("annotation", "recording_iv"))
 def _(s):
-    out = background.sample_background(s.annotation, s.recording_iv, blocked(s), pre=10.0, post=10.0, seed=42)
+    out = background.sample_background(s.annotation, s.recording_iv, blocked(s), pre=10.0, post=10.0, seed=42, blocks=BLOCKS)
     return out.select("idx", "path", F.round("clip_start", 3).alias("clip_start"), F.round("clip_end", 3).alias("clip_end"))
 
 
@@ -358,7 +360,7 @@ SELECT a.idx, 'seizure_' || lpad(a.idx::VARCHAR, greatest(2, length(a.idx::VARCH
          lpad((greatest(0, trunc(a.t_start - c.rec_start))::BIGINT % 60)::VARCHAR, 2, '0') END AS video_seek
 FROM annotation a JOIN c ON c.idx = a.idx""", ("annotation", "recording_iv"))
 def _(s):
-    out = clips.clip_bounds(iv.cover_join(s.annotation, s.recording_iv), pre=10.0, post=10.0)
+    out = clips.clip_bounds(iv.cover_join(s.annotation, s.recording_iv, blocks=BLOCKS), pre=10.0, post=10.0)
     return _round(out.select("idx", "clip_name", "clip_start", "clip_end", "seek_s", "clip_len", "video_seek"),
                   "clip_start", "clip_end", "seek_s", "clip_len")
 
@@ -372,7 +374,7 @@ SELECT idx, round(t0, 6) AS crop_start, round(t1, 6) AS crop_end,
        CASE WHEN t1 <= t0 THEN 'empty' WHEN t1 - t0 < 1.0 THEN 'too_short' ELSE 'ok' END AS crop_status FROM k""",
        ("annotation", "recording_iv"))
 def _(s):
-    cov = iv.cover_join(s.annotation, s.recording_iv, how="inner")
+    cov = iv.cover_join(s.annotation, s.recording_iv, how="inner", blocks=BLOCKS)
     return _round(clips.crop_windows(cov, 10.0, 10.0).select("idx", "crop_start", "crop_end", "crop_status"), "crop_start", "crop_end")
 
 
@@ -388,7 +390,7 @@ SELECT session, count(*) AS n, count(*) FILTER (video = 1 AND eeg = 1) AS both,
 FROM v JOIN e USING (idx) GROUP BY ROLLUP(session)""", ("annotation", "recording_iv"))
 def _(s):
     eeg = s.recording_iv.filter(F.col("day") % 2 == 0)
-    return clips.clip_outcomes(clips.coverage(s.annotation, s.recording_iv, eeg))
+    return clips.clip_outcomes(clips.coverage(s.annotation, s.recording_iv, eeg, blocks=BLOCKS))
 
 
 @query("event_log", """
@@ -399,8 +401,8 @@ SELECT session, idx, row_number() OVER (PARTITION BY session ORDER BY t_start, i
        CASE WHEN rs IS NULL THEN 'NO_COVERAGE' ELSE 'OK' END AS video_status, round(t_end - t_start + 20.0, 1) AS clip_len
 FROM c""", ("annotation", "recording_iv"))
 def _(s):
-    cov = iv.cover_join(s.annotation, s.recording_iv)
-    return clips.event_log(cov, 10.0, 10.0).select("session", "idx", "clip_n", "label", "video_status", F.round("clip_len", 1).alias("clip_len"))
+    cov = iv.cover_join(s.annotation, s.recording_iv, blocks=BLOCKS)
+    return clips.event_log(cov, 10.0, 10.0, blocks=BLOCKS).select("session", "idx", "clip_n", "label", "video_status", F.round("clip_len", 1).alias("clip_len"))
 
 
 @query("filter_labels", """
@@ -416,7 +418,7 @@ WITH w AS (SELECT *, count(*) OVER (PARTITION BY session, modality) AS n FROM tr
 SELECT session, modality, round(t, 6) AS t, round(CASE WHEN n > 7 THEN sum(p) OVER (PARTITION BY session, modality ORDER BY t
        ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7.0 ELSE p END, 6) AS smooth FROM w""", ("trace",))
 def _(s):
-    return _round(timeline.moving_average(s.trace, 7).select("session", "modality", "t", "smooth"), "t", "smooth")
+    return _round(timeline.moving_average(s.trace, 7, blocks=BLOCKS).select("session", "modality", "t", "smooth"), "t", "smooth")
 
 
 @query("merge_traces", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chronoline.functions.paths import base_name, stem
+from chronoline.functions.numbers import let
 from chronoline.functions.timefmt import edf_name_date, epoch, flexible_timestamp, name_timestamp
 
 
@@ -14,8 +14,8 @@ def key_values(body: Column) -> Column:
     pairs = F.transform(lines, lambda x: F.struct(
         F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, 1 << 30)).alias("v")
     ))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"]))
+    return let(pairs, lambda ps: F.map_from_entries(last(ps)))
 
 
 def note_fields(notes: DataFrame, body: str = "body") -> DataFrame:

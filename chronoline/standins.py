@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronoline.operators.blocks import Blocks
 from chronoline.operators.intervals import recording_intervals
 from chronoline.session import prepare, settle
 
@@ -124,7 +125,7 @@ class StandIns:
         if name not in self._made:
             if name == "recording_iv":
                 # the operator, not the view's whole-session window
-                ends = recording_intervals(self.recording).select("session", "day", "path", "t_start", "t_end")
+                ends = recording_intervals(self.recording, blocks=Blocks(width=864_000.0)).select("session", "day", "path", "t_start", "t_end")
                 self._made[name] = settle(ends)
             elif name in VIEWS:
                 inputs, sql = VIEWS[name]
