@@ -339,7 +339,7 @@ def _sink(s) -> tuple[str, str]:
 
 
 @query("stream_events", f"WITH {det_sql()}, m AS (SELECT max(t) AS hi FROM trace) SELECT session, modality, thr, {r6s('t_start', 't_end', 'peak')}, n_hits FROM det, m "
-       f"WHERE t_end + {GAP} + 1e-6 <= floor((hi - 60.0) * 1000) / 1000", ("trace",))
+       f"WHERE t_end + {GAP} <= floor((hi - 60.0) * 1000) / 1000", ("trace",))
 def _(s):
     e = s.spark.readStream.schema(s.events.schema).option("pathGlobFilter", "events.parquet").parquet(s.sf_dir)
     scores = e.select(F.col("user_id").alias("session"), F.when(F.col("event_id") % 2 == 0, "video").otherwise("eeg").alias("modality"),

@@ -46,7 +46,7 @@ def xml_start(doc: Column) -> Column:
 
 def read_xml_starts(spark, path: str) -> DataFrame:
     """``stem, start_s`` of every sidecar under a folder; .XML is preferred to .xml."""
-    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{XML,xml}").text(path)
+    docs = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{XML,xml}").text(path, wholetext=True)
     docs = docs.select(F.col("_metadata.file_path").alias("path"), xml_start(F.col("value")).alias("start_s"))
     pick = F.struct(F.when(F.col("path").endswith(".XML"), 0).otherwise(1), F.col("path"))
     return docs.groupBy(F.regexp_replace("path", r"\.[^./]*$", "").alias("stem_path")).agg(F.min_by("start_s", pick).alias("start_s"))
@@ -54,7 +54,7 @@ def read_xml_starts(spark, path: str) -> DataFrame:
 
 def read_notes(spark, path: str) -> DataFrame:
     """All ``info.txt`` notes under a folder as (clip, body)."""
-    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "info.txt").text(path)
+    docs = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "info.txt").text(path, wholetext=True)
     return docs.select(F.regexp_replace("_metadata.file_path", r"/info\.txt$", "").alias("clip"), F.col("value").alias("body"))
 
 

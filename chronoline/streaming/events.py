@@ -15,13 +15,13 @@ def stream_events(
 ) -> DataFrame:
     """Closed events of a score stream with columns keys, ts (timestamp) and p.
 
-    Session windows merge hits strictly closer than their gap, the batch operator at
-    equality, hence one microsecond more. Rows later than the watermark are dropped.
+    Session windows join hits whose distance is at most the gap, as the batch operator
+    does. Rows later than the watermark are dropped.
     """
     hits = scores.withWatermark(ts, watermark).withColumn(
         "thr", F.explode(F.filter(threshold_array(thresholds), lambda x: x <= F.col("p")))
     )
-    gap = f"{int(round((win + merge_gap) * 1e6)) + 1} microseconds"
+    gap = f"{int(round((win + merge_gap) * 1e6))} microseconds"
     seconds = lambda c: F.unix_micros(c) / F.lit(1e6)
     events = hits.groupBy(*keys, "thr", F.session_window(ts, gap)).agg(
         seconds(F.min(ts)).alias("t_start"), (seconds(F.max(ts)) + F.lit(win)).alias("t_end"), F.max("p").alias("peak"), F.count(F.lit(1)).alias("n_hits")
