@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from chronoline.functions.paths import base_name, clip_class, clip_dir, session_of, subject_of
 
@@ -41,6 +41,13 @@ def cohort_table(clips: DataFrame, classes: Sequence[int] = (0, 1, 2, 3, 4)) ->
     )
 
 
+def hours_by_class(clips: DataFrame, duration: str = "duration") -> DataFrame:
+    """Clips, hours and mean length of each class, with a total row (y null)."""
+    return clips.rollup("y").agg(
+        F.count(F.lit(1)).alias("clips"), (F.sum(duration) / 3600.0).alias("hours"), F.avg(duration).alias("mean_s")
+    )
+
+
 def missing_keys(wanted: DataFrame, store: DataFrame, key: str) -> DataFrame:
     """Keys a store lacks; reported, never filled in."""
     return wanted.select(key).distinct().join(store.select(key), key, "left_anti")

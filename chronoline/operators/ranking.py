@@ -86,3 +86,32 @@ def attribute_leakage(
     ).select("y", "_a.*").filter(F.col("score").isNotNull())
     a = auroc(long, ["attribute"], blocks=blocks or Blocks(width=4096.0))
     return a.withColumn("leaks", (F.col("auroc") >= F.lit(limit)) | (F.col("auroc") <= F.lit(1.0 - limit)))
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], blocks: Blocks = Blocks(width=1e6)
+) -> DataFrame:
+    """Interpolated exact quantiles per key as columns q_0, q_1, ... and the count n.
+
+    The built-in exact percentile keeps every distinct value of a group in one task.
+    Here values are counted, numbered in blocks, and only the rows holding a wanted
+    rank survive.
+    """
+    keys = list(keys)
+    c = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    c = running(c, keys, "_x", [Run("_upto", "sum", F.col("_c"), "upto")], blocks=blocks)
+    n = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    placed = c.join(n, keys)
+    holds = lambda i: (F.col("_upto") - F.col("_c") <= i) & (i < F.col("_upto"))
+    at = lambda q: F.lit(float(q)) * (F.col("n") - 1)
+    wanted = None
+    for q in qs:
+        here = holds(F.floor(at(q))) | holds(F.ceil(at(q)))
+        wanted = here if wanted is None else wanted | here
+    pick = lambda i: F.max(F.when(holds(i), F.col("_x")))
+    cols = []
+    for j, q in enumerate(qs):
+        part = F.max(at(q) - F.floor(at(q)))
+        low, high = pick(F.floor(at(q))), pick(F.ceil(at(q)))
+        cols.append((low + (high - low) * part).alias(f"q_{j}"))
+    return placed.filter(wanted).groupBy(*keys).agg(F.max("n").alias("n"), *cols)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from chronoline.functions.numbers import half_even, let, mean, median_of, pop_sd, ratio
 from chronoline.functions.paths import channel_kind, channel_rank
+from chronoline.operators.ranking import exact_quantiles
 
 def pick_channel(channels: DataFrame, keys: Sequence[str] = ("session",), name: str = "name", ordinal: str = "ordinal", skip_fir: bool = False) -> DataFrame:
     """First EEG channel, else first ECG, else the first one."""
@@ -169,16 +170,25 @@ def whole_records(xs: Column, sfreq: Column, record_s: float = 1.0) -> Column:
     return F.when(n > 0, F.slice(xs, F.lit(1), F.greatest(n, F.lit(1))))
 
 
-def signal_quality(signal: DataFrame, keys: Sequence[str] = ("clip_id",), min_unique: int = 100, samples: str = "samples") -> DataFrame:
-    """Distinct values, sd, length and kind of each signal: flat, degenerate or normal."""
-    x = signal.select(*keys, F.explode(samples).alias("x"))
-    per = x.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("_n"))
-    q = per.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_uniq"), F.sum("_n").alias("n"),
-        F.sum(F.col("x").cast("double") * F.col("_n")).alias("_s"), F.sum(F.col("x").cast("double") * F.col("x") * F.col("_n")).alias("_ss"),
+def signal_quality(
+    signal: DataFrame, keys: Sequence[str] = ("clip_id",), min_unique: int = 100, samples: str = "samples", exact: bool = True,
+) -> DataFrame:
+    """Distinct values, sd, length and kind of each signal: flat, degenerate or normal.
+
+    Sums come from the arrays in place; only each block's distinct values are
+    shuffled. ``exact=False`` sketches the distinct count instead and shuffles none.
+    """
+    x = F.col(samples)
+    total = lambda f: F.sum(F.aggregate(x, F.lit(0.0), lambda a, v: a + f(v.cast("double"))))
+    sums = signal.groupBy(*keys).agg(
+        F.sum(F.size(x)).alias("n"), total(lambda v: v).alias("_s"), total(lambda v: v * v).alias("_ss"),
+        F.min(F.array_min(x)).alias("_lo"), F.max(F.array_max(x)).alias("_hi"),
     )
+    values = signal.select(*keys, F.explode(F.array_distinct(samples)).alias("_x"))
+    count = F.count_distinct("_x") if exact else F.approx_count_distinct("_x")
+    q = sums.join(values.groupBy(*keys).agg(count.alias("n_uniq")), list(keys))
     var = F.greatest(F.lit(0.0), F.col("_ss") / F.col("n") - F.pow(F.col("_s") / F.col("n"), F.lit(2.0)))
-    kind = F.when(F.col("n_uniq") == 1, "flat").when(F.col("n_uniq") < min_unique, "degenerate").otherwise("normal")
+    kind = F.when(F.col("_lo") == F.col("_hi"), "flat").when(F.col("n_uniq") < min_unique, "degenerate").otherwise("normal")
     return q.select(*keys, "n_uniq", "n", F.sqrt(var).alias("sd"), kind.alias("kind"))
 
 
@@ -293,10 +303,10 @@ def rhythm_census(beats: DataFrame, by: str = "subject", min_ok: int = 4) -> Dat
     ``beats`` has usable, rate and cv per window.
     """
     ok = F.col("usable")
-    g = beats.groupBy(by).agg(
-        F.count_if(ok).alias("n_ok"), F.count_if(ok & F.col("rate").isNotNull()).alias("_n"),
-        F.percentile(F.when(ok, F.col("rate")), F.lit(0.5)).alias("rate"), F.percentile(F.when(ok, F.col("cv")), F.lit(0.5)).alias("cv"),
-    ).withColumn("share", ratio(F.col("_n"), F.col("n_ok")))
+    counts = beats.groupBy(by).agg(F.count_if(ok).alias("n_ok"), F.count_if(ok & F.col("rate").isNotNull()).alias("_n"))
+    good = beats.filter(ok)
+    med = lambda c: exact_quantiles(good, [by], c, (0.5,)).select(by, F.col("q_0").alias(c))
+    g = counts.join(med("rate"), by, "left").join(med("cv"), by, "left").withColumn("share", ratio(F.col("_n"), F.col("n_ok")))
     rhythmic = F.col("rate").between(3.5, 10.0) & (F.col("cv") < 0.35) & (F.col("share") > 0.5)
     verdict = F.when(F.col("n_ok") < min_ok, "unusable").when(rhythmic, "ECG-like").otherwise("EEG-like")
     return g.withColumn("verdict", verdict).drop("_n")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from chronoline.functions.hashing import uniform
 from chronoline.functions.numbers import let
 from chronoline.operators.metrics import paired_runs, per_class, summarise_classes
+from chronoline.operators.ranking import exact_quantiles
 from chronoline.session import settle
 
 
@@ -193,11 +194,13 @@ def medians_by_outcome(
 ) -> DataFrame:
     """Median of a covariate where each run is right or wrong; only with more than min_n values."""
     j = paired_runs(pred, run_a, run_b, key).join(covariate.select(key, value), key).filter(F.col(value).isNotNull())
-    a, b = F.col("pred_a") == F.col("y"), F.col("pred_b") == F.col("y")
-    med = lambda c: F.percentile(F.when(c, F.col(value)), F.lit(0.5))
-    return j.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile(value, F.lit(0.5)).alias("median_all"),
-        med(a).alias("a_right"), med(~a).alias("a_wrong"), med(b).alias("b_right"), med(~b).alias("b_wrong"),
+    side = lambda name, p: F.when(F.col(p) == F.col("y"), f"{name}_right").otherwise(f"{name}_wrong")
+    long = j.select(value, F.explode(F.array(F.lit("median_all"), side("a", "pred_a"), side("b", "pred_b"))).alias("_g"))
+    med = exact_quantiles(long, ["_g"], value, (0.5,))
+    of = lambda g: F.max(F.when(F.col("_g") == g, F.col("q_0"))).alias(g)
+    return med.agg(
+        F.max(F.when(F.col("_g") == "median_all", F.col("n"))).alias("n"),
+        *[of(g) for g in ("median_all", "a_right", "a_wrong", "b_right", "b_wrong")],
     ).filter(F.col("n") > min_n)
 
 
@@ -206,7 +209,7 @@ def median_split_recall(
 ) -> DataFrame:
     """Per class: recall of both runs in the low and high half of a covariate."""
     j = paired_runs(pred, run_a, run_b, key).join(covariate.select(key, value), key).filter(F.col(value).isNotNull())
-    med = j.groupBy("y").agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n"))
+    med = exact_quantiles(j, ["y"], value, (0.5,)).select("y", F.col("q_0").alias("median"), "n")
     k = j.join(med.filter(F.col("n") >= min_n), "y")
     low = F.col(value) <= F.col("median")
     share = lambda hit, half: F.avg(F.when(half, hit.cast("double")))

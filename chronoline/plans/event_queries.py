@@ -10,6 +10,7 @@ from chronoline.operators import background, clips, events as ev, intervals as i
 from chronoline.operators.blocks import Blocks
 from chronoline.plans.catalog import query, values
 from chronoline.session import settle
+from chronoline.sources import stores
 
 # time constants of the stand-in traces (one row per session about every 11 hours)
 WIN, GAP, MIN_DUR, MIN_IOU = 3600.0, 21600.0, 3600.0, 0.3
@@ -457,3 +458,13 @@ SELECT session, count(*) AS n_files, count(*) FILTER (dur_s IS NULL) AS n_reject
 FROM recording GROUP BY session""", ("recording",))
 def _(s):
     return _round(timeline.recorded_hours(s.recording), "hours")
+
+
+@query("session_documents",
+       f"WITH {det_sql()}, {MATCH_SQL}, {SCORE_SQL.format(vals=values(ev.THRESHOLDS))}, q AS (SELECT session, count(*) AS n_recordings FROM recording GROUP BY session) "
+       "SELECT q.session, n_recordings, count(s.thr) AS sweep_rows, coalesce(sum(s.tp), 0)::BIGINT AS tp FROM q LEFT JOIN scored s ON s.session = q.session GROUP BY q.session, n_recordings",
+       ("trace", "truth", "recording"))
+def _(s):
+    docs = stores.session_documents(event_scores(s), timeline.session_qc(s.recording, s.annotation))
+    return docs.select("session", "qc.n_recordings", F.coalesce(F.size("sweep"), F.lit(0)).cast("bigint").alias("sweep_rows"),
+                       F.aggregate("sweep", F.lit(0).cast("bigint"), lambda a, x: a + x["tp"]).alias("tp"))

@@ -109,6 +109,23 @@ def _(s):
     return stores.number_rows(co.discover_clips(s.manifest).select("clip"), ["clip"])
 
 
+@query("first_files", "SELECT session_key, path FROM (SELECT regexp_extract(path, 'RN[0-9]{3}') || '/' || split_part(path, '/', 2) AS session_key, path FROM manifest) QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY path) <= 3", ("manifest",))
+def _(s):
+    m = s.manifest.select(pt.session_of(pt.clip_dir(F.col("path"))).alias("session_key"), "path")
+    return stores.cap_per_group(m, ["session_key"], ["path"], 3)
+
+
+@query("middle_file", "WITH m AS (SELECT regexp_extract(path, 'RN[0-9]{3}') AS subject, path FROM manifest) SELECT subject, path FROM m QUALIFY row_number() OVER (PARTITION BY subject ORDER BY path) = count(*) OVER (PARTITION BY subject) // 2 + 1", ("manifest",))
+def _(s):
+    return stores.middle_row(s.manifest.select(pt.subject_of(F.col("path")).alias("subject"), "path"), "subject", "path")
+
+
+@query("hours_by_class", "WITH c AS (SELECT clip_id % 6 AS y, regexp_extract(body, 'Duration \\(s\\) : ([0-9]+)', 1)::DOUBLE AS d FROM kv) SELECT y, count(*) AS clips, round(sum(d) / 3600.0, 6) AS hours, round(avg(d), 6) AS mean_s FROM c GROUP BY ROLLUP(y)", ("kv",))
+def _(s):
+    c = sidecars.note_fields(s.kv).select((F.col("clip_id") % 6).alias("y"), "duration")
+    return _round(co.hours_by_class(c), "hours", "mean_s")
+
+
 @query("skip_existing", "SELECT path, CASE WHEN length > 30000 THEN 'exists' ELSE 'to_do' END AS status FROM manifest", ("manifest",))
 def _(s):
     return stores.skip_existing(s.manifest.select("path"), s.manifest.filter("length > 30000"))

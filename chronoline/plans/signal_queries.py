@@ -105,10 +105,21 @@ def _(s):
     return w.select("clip_id", "w_idx", *[F.round(F.get("_b", F.lit(i)), 5).alias(f"band_{n}") for i, n in enumerate(ft.BAND_NAMES)])
 
 
-@query("window_features")
+@query("window_features", f"""
+WITH m AS (SELECT clip_id, w_idx, wlab, samples::DOUBLE[] AS x FROM window_v), k AS (SELECT *, unnest(range(33)) AS k FROM m),
+pw AS (SELECT clip_id, w_idx, k * 125.0 / 64 AS f, list_sum(list_transform(range(64), lambda j: x[j + 1] * cos(2 * pi() * k * j / 64))) ** 2
+              + list_sum(list_transform(range(64), lambda j: x[j + 1] * sin(2 * pi() * k * j / 64))) ** 2 AS p FROM k),
+b AS (SELECT clip_id, w_idx, {", ".join(f"round(sum(p) FILTER (f >= {lo} AND f < {hi}) / (sum(p) + 1e-8), 5) AS band_{n}" for n, (lo, hi) in zip(ft.BAND_NAMES, ft.BANDS))}
+      FROM pw GROUP BY clip_id, w_idx),
+d AS (SELECT *, list_transform(range(1, len(x)), lambda i: x[i + 1] - x[i]) AS d FROM m),
+f AS (SELECT clip_id, w_idx, wlab, list_avg(x) AS mean, list_stddev_pop(x) AS sd, sqrt(list_avg(list_transform(x, lambda v: v * v))) AS rms,
+             list_sum(list_transform(d, lambda v: abs(v))) AS line_length, len(list_filter(d, lambda v: abs(v) > list_stddev_pop(d)))::DOUBLE AS activity,
+             len(list_filter(range(1, len(x)), lambda i: x[i] * x[i + 1] < 0))::DOUBLE AS zero_crossings, list_min(x) AS min, list_max(x) AS max,
+             list_max(x) - list_min(x) AS range FROM d)
+SELECT b.*, f.wlab, {_STATS}, activity, zero_crossings FROM b JOIN f USING (clip_id, w_idx)""", ("window_v",))
 def _(s):
     f = ft.window_features(s.window_v)
-    return f.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if c in ft.FEATURES else F.col(c) for c in f.columns])
+    return f.select(*[(F.round(F.col(c).cast("double"), 5) + 0.0).alias(c) if c in ft.FEATURES else F.col(c) for c in f.columns])
 
 
 # some clips are coarsely quantised, some constant
@@ -200,10 +211,10 @@ def _(s):
     return _round(sg.window_usability(s.window_v).select("clip_id", "w_idx", "mad", "usable"), "mad")
 
 
-# one signal per clip: its windows in order
+# one signal per clip: its five windows in order
 def _clip_signal(s):
-    g = s.window_v.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("w_idx", "samples"))).alias("a"))
-    return g.select("clip_id", F.flatten(F.transform("a", lambda x: x["samples"])).alias("samples"))
+    blocks = s.window_v.select("clip_id", F.col("w_idx").alias("block_id"), "samples")
+    return sg.sliding_windows(blocks, 5 * L, 5 * L, L, ("clip_id",)).select("clip_id", "samples")
 
 
 _BEAT = """cs AS (SELECT clip_id, flatten(list(samples::DOUBLE[] ORDER BY w_idx)) AS x FROM window_v GROUP BY clip_id),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from chronoline.session import settle
-from chronoline.operators.blocks import BLK, Run, carry_over
 from chronoline.functions.paths import base_name
+from chronoline.operators.blocks import BLK, Run, carry_over
+from chronoline.session import settle
 
 
 def read_manifest(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -51,8 +51,6 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str = "clip_id") -> Da
     placed = settle(df.repartitionByRange(*order).withColumn(BLK, F.spark_partition_id().cast("bigint")))
     sizes = placed.groupBy(BLK).agg(F.count(F.lit(1)).alias("_s_before"))
     before = carry_over(sizes, [], [Run("before", "sum", F.lit(1), "before")])
-    from pyspark.sql import Window as W
-
     local = placed.withColumn("_n", F.row_number().over(W.partitionBy(BLK).orderBy(*order)))
     return local.join(before, BLK, "left").select(
         *df.columns, (F.col("_n") - 1 + F.coalesce("_c_before", F.lit(0))).cast("bigint").alias(out)
@@ -67,24 +65,42 @@ def write_windows(windows: DataFrame, path: str, clip: str = "clip_path", parts:
     ranged.sortWithinPartitions("clip_id", "w_idx").write.mode("overwrite").parquet(path)
 
 
+def cap_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows of each group in a declared order (O03); Spark limits before the shuffle."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rn", rank).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def middle_row(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The middle row of each group's sorted list, without sorting a group in one task."""
+    placed = settle(number_rows(df, [key, order], "_i"))
+    span = placed.groupBy(key).agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    hit = F.col("_i") == F.col("_first") + F.floor(F.col("_n") / 2)
+    return placed.join(span, key).filter(hit).select(*df.columns)
+
+
 def write_log(log: DataFrame, path: str) -> None:
     """Event or background clip log as CSV with a header."""
     log.write.mode("overwrite").option("header", True).csv(path)
 
 
-def session_documents(scores: DataFrame, events: DataFrame, annotations: DataFrame, qc: DataFrame, key: str = "session") -> DataFrame:
-    """One nested document per session: qc, annotations, sweep rows, detected events."""
-    pack = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != key]))).alias(name))
-    doc = qc.select(key, F.struct(*[c for c in qc.columns if c != key]).alias("qc"))
-    for df, name in ((annotations, "annotations"), (scores, "sweep"), (events, "detected_events")):
-        doc = doc.join(pack(df, name), key, "left")
-    return doc
+def session_documents(scores: DataFrame, qc: DataFrame, key: str = "session") -> DataFrame:
+    """One nested document per session: input counts and sweep rows.
+
+    The sweep has one row per modality and threshold, which bounds the document.
+    Annotations, events and traces have no such bound and stay tables.
+    """
+    inner = lambda df: F.struct(*[c for c in df.columns if c != key])
+    sweep = scores.groupBy(key).agg(F.array_sort(F.collect_list(inner(scores))).alias("sweep"))
+    return qc.select(key, inner(qc).alias("qc")).join(sweep, key, "left")
 
 
-def write_session_results(docs: DataFrame, trace: DataFrame, path: str) -> None:
-    """Session documents as JSON and the trace as Parquet by session and modality."""
+def write_session_results(docs: DataFrame, trace: DataFrame, events: DataFrame, annotations: DataFrame, path: str) -> None:
+    """Documents as JSON lines; trace, events and annotations as Parquet beside them."""
     docs.write.mode("overwrite").json(f"{path}/documents")
     trace.write.mode("overwrite").partitionBy("session", "modality").parquet(f"{path}/trace")
+    events.write.mode("overwrite").partitionBy("session").parquet(f"{path}/events")
+    annotations.write.mode("overwrite").partitionBy("session").parquet(f"{path}/annotations")
 
 
 def pending(sessions: DataFrame, done: DataFrame, key: str = "session") -> DataFrame:

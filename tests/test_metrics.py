@@ -162,3 +162,14 @@ def test_run_tables(spark):
     assert sorted(r["seed"] for r in kept) == [0, 1, 2]
     gate = runs.reproduction_gate(runs.compare_runs(m.filter("seed < 2"), m.filter("seed < 2"), ("arch", "task", "seed"))).collect()[0]
     assert gate["passed"] and gate["worst"] == 0.0
+
+
+@pytest.mark.parametrize("blocks", [Blocks(1e6), Blocks(0.5), Blocks(100.0, hot_rows=4)])
+def test_exact_quantiles(spark, blocks):
+    r = random.Random(8)
+    rows = [(k, r.choice([r.random() * 9, 3.0, None])) for k in (1, 1, 2) for _ in range(60)] + [(3, 7.0)]
+    got = {x["k"]: x for x in ranking.exact_quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", (0.1, 0.5, 0.9), blocks).collect()}
+    for k in (1, 2, 3):
+        mine = [v for g, v in rows if g == k and v is not None]
+        assert got[k]["n"] == len(mine)
+        assert [got[k][f"q_{i}"] for i in range(3)] == pytest.approx(list(np.percentile(mine, [10, 50, 90])))

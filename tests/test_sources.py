@@ -79,10 +79,10 @@ def test_logs_resume_and_documents(spark, tmp_path):
     assert [r["session"] for r in stores.pending(sessions, spark.read.parquet(log)).collect()] == [2]
     ann = spark.createDataFrame([(1, 0, 5.0)], "session int, idx int, t double")
     qc = spark.createDataFrame([(1, 4), (2, 0)], "session int, n int")
-    docs = stores.session_documents(ann, ann, ann, qc)
-    stores.write_session_results(docs, spark.createDataFrame([(1, "v", 0.0, 0.5)], "session int, modality string, t double, p double"), str(tmp_path / "r"))
+    trace = spark.createDataFrame([(1, "v", 0.0, 0.5)], "session int, modality string, t double, p double")
+    stores.write_session_results(stores.session_documents(ann, qc), trace, ann, ann, str(tmp_path / "r"))
     got = {r["session"]: r for r in spark.read.json(str(tmp_path / "r/documents")).collect()}
-    assert got[1]["qc"]["n"] == 4 and got[1]["annotations"][0]["t"] == 5.0 and got[2]["sweep"] is None
+    assert got[1]["qc"]["n"] == 4 and got[1]["sweep"][0]["t"] == 5.0 and got[2]["sweep"] is None
     assert spark.read.parquet(str(tmp_path / "r/trace")).columns == ["t", "p", "session", "modality"]
     stores.write_log(ann, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["session", "idx", "t"]
