@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from chronoline.functions.numbers import half_even, let, mean, median_of, pop_sd, ratio
 from chronoline.functions.paths import channel_kind, channel_rank
 from chronoline.operators.ranking import exact_quantiles
+from chronoline.session import settle
 
 def pick_channel(channels: DataFrame, keys: Sequence[str] = ("session",), name: str = "name", ordinal: str = "ordinal", skip_fir: bool = False) -> DataFrame:
     """First EEG channel, else first ECG, else the first one."""
@@ -303,6 +304,7 @@ def rhythm_census(beats: DataFrame, by: str = "subject", min_ok: int = 4) -> Dat
     ``beats`` has usable, rate and cv per window.
     """
     ok = F.col("usable")
+    beats = settle(beats.select(by, "usable", "rate", "cv"))
     counts = beats.groupBy(by).agg(F.count_if(ok).alias("n_ok"), F.count_if(ok & F.col("rate").isNotNull()).alias("_n"))
     good = beats.filter(ok)
     med = lambda c: exact_quantiles(good, [by], c, (0.5,)).select(by, F.col("q_0").alias(c))
