@@ -30,6 +30,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def zip_fact(xs: Column, fact: Column, f) -> Column:
+    """``f(element, fact)`` for every element, the fact computed once."""
+    return F.zip_with(xs, F.array_repeat(fact, F.size(xs)), f)
+
+
 def mean(xs: Column) -> Column:
     return F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x.cast("double")), F.size(xs).cast("double"))
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from chronoline.functions.numbers import half_even, let, mean, median_of, pop_sd, ratio
+from chronoline.functions.numbers import half_even, let, mean, median_of, pop_sd, ratio, zip_fact
 from chronoline.functions.paths import channel_kind, channel_rank
 from chronoline.operators.ranking import exact_quantiles
 from chronoline.session import settle
@@ -137,10 +137,11 @@ def decimate(signal: DataFrame, factor: int, block_len: int, keys: Sequence[str]
 def normalised(windows: DataFrame, eps: float = 0.0, samples: str = "samples", out: str = "z") -> DataFrame:
     """Per-window z-score with population sd; an sd of at most eps counts as one."""
     x = F.col(samples)
-    facts = F.struct(mean(x).alias("m"), pop_sd(x).alias("sd"))
-    scale = lambda f: F.when(f["sd"] > F.lit(eps), f["sd"]).otherwise(F.lit(1.0))
-    scaled = let(facts, lambda f: let(F.struct(f["m"].alias("m"), scale(f).alias("s")),
-                                      lambda g: F.transform(x, lambda v: (v.cast("double") - g["m"]) / g["s"])))
+    # every sample meets its window's facts in a zipped array: they are computed once, and
+    # the expression has no captured lambda variable, which a Python UDF's input may not have
+    centred = zip_fact(x, mean(x), lambda v, m: v.cast("double") - m)
+    sd = F.sqrt(mean(F.transform(centred, lambda d: d * d)))
+    scaled = zip_fact(centred, sd, lambda d, s: d / F.when(s > F.lit(eps), s).otherwise(F.lit(1.0)))
     return windows.withColumn(out, scaled)
 
 
