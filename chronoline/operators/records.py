@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -18,10 +18,40 @@ PAPER_TYPES = ("article", "inproceedings", "conference", "proceedings-article")
 
 @dataclass(frozen=True)
 class Topic:
-    """Patterns a topic needs (at least one) and patterns that add to its score."""
+    """What a topic's records look like.
 
-    must: Sequence[str]
-    bonus: Sequence[str] = field(default_factory=tuple)
+    ``must``: at least one in the text. ``bonus``: add to the score. ``groups``: pairs of
+    ("title" | "text", patterns), each needing a hit. ``exclude``: none in the title.
+    """
+
+    must: Sequence[str] = ()
+    bonus: Sequence[str] = ()
+    groups: Sequence[tuple[str, Sequence[str]]] = ()
+    exclude: Sequence[str] = ()
+
+
+@dataclass(frozen=True)
+class Scoring:
+    """Points of a ranking: pattern weights, citation curve, recency steps, extras."""
+
+    must: float
+    bonus: float
+    cites_cap: int
+    cites_power: float
+    years: Sequence[tuple[int, float]]
+    abstract: float
+    doi: float
+    kind: float
+    notice: float
+
+
+# fixed values: the rankings in use, from broad to strict
+SCORINGS = {
+    "broad": Scoring(3.0, 1.0, 3000, 0.35, ((2015, 1.5),), 0.5, 0.0, 0.5, 15.0),
+    "titles": Scoring(0.0, 0.0, 5000, 0.4, ((2015, 4.0), (2020, 2.0)), 1.0, 1.0, 0.0, 50.0),
+    "shortlist": Scoring(0.0, 2.0, 8000, 0.4, ((2015, 3.0), (2019, 2.0)), 1.5, 1.0, 0.0, 60.0),
+    "strict": Scoring(0.0, 3.0, 5000, 0.4, ((2015, 4.0), (2020, 3.0)), 0.0, 0.0, 0.0, 0.0),
+}
 
 
 # fixed values: the six topics of the bibliography
@@ -85,33 +115,57 @@ def count_records(records: DataFrame, by: str, doi: str | None = None) -> DataFr
     return records.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *extra)
 
 
-def topic_score(text: Column, topic: Topic, cites: Column, year: Column | None = None, abstract: Column | None = None,
-                kind: Column | None = None) -> Column:
-    """Relevance of a record to a topic, -1 when no required pattern occurs."""
-    needed = hits(text, topic.must)
-    score = needed * 3.0 + hits(text, topic.bonus)
-    score = score + F.when(cites > 0, F.pow(F.least(cites, F.lit(3000)).cast("double"), F.lit(0.35))).otherwise(0.0)
+def relevant(topic: Topic, title: Column, text: Column) -> Column:
+    """Does a record satisfy the topic's rules."""
+    ok = hits(text, topic.must) > 0 if topic.must else F.lit(True)
+    for where, patterns in topic.groups:
+        ok = ok & (hits(title if where == "title" else text, patterns) > 0)
+    if topic.exclude:
+        ok = ok & (hits(title, topic.exclude) == 0)
+    return ok
+
+
+def topic_score(
+    topic: Topic, title: Column, text: Column, cites: Column, year: Column | None = None, abstract: Column | None = None,
+    doi: Column | None = None, kind: Column | None = None, scoring: Scoring = SCORINGS["broad"],
+) -> Column:
+    """Score of a record under a ranking (O04); null where the topic's rules fail."""
+    points = lambda test, n: F.when(test, F.lit(n)).otherwise(F.lit(0.0))
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    score = F.pow(F.least(F.greatest(cites, F.lit(0)), F.lit(scoring.cites_cap)).cast("double"), F.lit(scoring.cites_power))
+    if scoring.must and topic.must:
+        score = score + hits(text, topic.must) * F.lit(scoring.must)
+    if scoring.bonus and topic.bonus:
+        score = score + hits(text, topic.bonus) * F.lit(scoring.bonus)
     if year is not None:
-        score = score + F.when(year >= 2015, 1.5).otherwise(0.0)
-    if abstract is not None:
-        score = score + F.when(F.coalesce(abstract, F.lit("")) != "", 0.5).otherwise(0.0)
-    if kind is not None:
-        score = score + F.when(kind.isin(*PAPER_TYPES), 0.5).otherwise(0.0)
-    score = score - F.when(text.rlike(NOTICE_PATTERN), 15.0).otherwise(0.0)
-    return F.when(needed == 0, F.lit(-1.0)).otherwise(score)
+        for since, n in scoring.years:
+            score = score + points(year >= since, n)
+    for value, n in ((abstract, scoring.abstract), (doi, scoring.doi)):
+        if value is not None and n:
+            score = score + points(filled(value), n)
+    if kind is not None and scoring.kind:
+        score = score + points(kind.isin(*PAPER_TYPES), scoring.kind)
+    if scoring.notice:
+        score = score - points(text.rlike(NOTICE_PATTERN), scoring.notice)
+    return F.when(relevant(topic, title, text), score)
 
 
 def top_per_topic(
-    records: DataFrame, topics: Mapping[str, Topic], n: int, ident: str, text: Column, cites: Column, **parts: Column
+    records: DataFrame, topics: Mapping[str, Topic], n: int, ident: str, title: Column, text: Column, cites: Column,
+    scoring: str = "broad", **parts: Column,
 ) -> DataFrame:
-    """The n best records of every topic, identifier order on ties.
+    """The n best records of every topic with a positive score, identifier order on ties.
 
     Rules are column expressions, so records are read once whatever the number of
     topics; the rank limit is applied before the shuffle by Spark.
     """
-    scored = records.withColumn("_t", F.lower(text)).select(
+    rules = SCORINGS[scoring]
+    scored = records.withColumn("_ti", F.lower(title)).withColumn("_tx", F.lower(text)).select(
         ident, F.explode(F.array(*[
-            F.struct(F.lit(name).alias("topic"), F.round(topic_score(F.col("_t"), t, cites, **parts), 9).alias("score"))
+            F.struct(
+                F.lit(name).alias("topic"),
+                F.round(topic_score(t, F.col("_ti"), F.col("_tx"), cites, scoring=rules, **parts), 9).alias("score"),
+            )
             for name, t in topics.items()
         ])).alias("_s"),
     ).select(ident, "_s.*").filter(F.col("score") > 0)

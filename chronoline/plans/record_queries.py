@@ -294,7 +294,23 @@ SELECT doc_id, topic, score, place FROM b WHERE place <= 28""", ("record",))
 def _(s):
     r = s.record.withColumn("year", F.lit(2005) + F.col("doc_id") % 20)
     return _round(rc.top_per_topic(
-        r, _TOPICS, 28, "doc_id", F.col("title"), F.col("cited_by_count"), year=F.col("year"), abstract=F.col("abstract")
+        r, _TOPICS, 28, "doc_id", F.col("title"), F.col("title"), F.col("cited_by_count"), year=F.col("year"), abstract=F.col("abstract")
+    ), "score")
+
+
+_SHORT = {"mixed": rc.Topic((), ("eau", "tion"), (("title", ("the", "des")), ("text", ("ation", "oui"))), ("license", "secret"))}
+
+
+@query("shortlist_records", f"""WITH d AS (SELECT doc_id, lower(title) AS t, cited_by_count AS c FROM record),
+s AS (SELECT doc_id, least(c, 8000)::DOUBLE ** 0.4 + 2.0::DOUBLE * (regexp_matches(t, 'eau')::INT + regexp_matches(t, 'tion')::INT) + CASE WHEN doc_id % 20 + 2005 >= 2015 THEN 3.0 ELSE 0.0 END
+      + CASE WHEN doc_id % 20 + 2005 >= 2019 THEN 2.0 ELSE 0.0 END + CASE WHEN t <> '' THEN 1.5 ELSE 0.0 END - CASE WHEN regexp_matches(t, '{rc.NOTICE_PATTERN}') THEN 60.0 ELSE 0.0 END AS score
+      FROM d WHERE regexp_matches(t, 'the|des') AND regexp_matches(t, 'ation|oui') AND NOT regexp_matches(t, 'license|secret'))
+SELECT doc_id, 'mixed' AS topic, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS place FROM s WHERE score > 0
+QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) <= 30""", ("record",))
+def _(s):
+    return _round(rc.top_per_topic(
+        s.record.withColumn("year", F.lit(2005) + F.col("doc_id") % 20), _SHORT, 30, "doc_id", F.col("title"), F.col("title"), F.col("cited_by_count"),
+        "shortlist", year=F.col("year"), abstract=F.col("abstract")
     ), "score")
 
 

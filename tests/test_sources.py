@@ -106,9 +106,9 @@ def test_records(spark):
     keys = rc.citation_keys(df, "id", F.lit("José Núñez-Ávila"), F.lit(2020), F.lit("From deep nets to mice")).orderBy("id").collect()
     assert [k["cite_key"] for k in keys] == ["nunezavila2020deep", "nunezavila2020deepa", "nunezavila2020deepb", "nunezavila2020deepc"]
     t = {"x": rc.Topic(("seizure",), ("deep",))}
-    top = rc.top_per_topic(df, t, 2, "id", F.col("title"), F.col("cited_by_count"), year=F.col("year")).orderBy("place").collect()
+    top = rc.top_per_topic(df, t, 2, "id", F.col("title"), F.col("title"), F.col("cited_by_count"), year=F.col("year")).orderBy("place").collect()
     assert [r["id"] for r in top] == [2, 1]
-    one = rc.top_per_topic(df, rc.TOPICS, 5, "id", F.col("title"), F.col("cited_by_count")).collect()
+    one = rc.top_per_topic(df, rc.TOPICS, 5, "id", F.col("title"), F.col("title"), F.col("cited_by_count")).collect()
     assert one == []
     u = spark.createDataFrame([([None, "http://arxiv.org/abs/2101.00001v2"],)], "u array<string>").select(tx.arxiv_id(F.col("u")).alias("a")).collect()
     assert u[0]["a"] == "2101.00001"
