@@ -215,12 +215,13 @@ def neighbours(
     picks = {"prev": Run("prev", "nearest", payload, "upto"), "next": Run("next", "nearest", payload, "from")}
     runs = [picks[k] for k in keep]
 
+    # blocks holding left rows only need a carry as well
     order = F.struct(F.col(right_t).alias("_t"), tie_struct.alias("_tie"))
-    sums = rgt.groupBy(*keys, BLK).agg(
-        *[_summary(r, payload, order).alias(f"_s_{r.out}") for r in runs]
+    facts = rgt.select(*keys, BLK, payload.alias("_p"), order.alias("_o")).unionByName(
+        lft.select(*keys, BLK), allowMissingColumns=True
     )
-    empty = lft.select(*keys, BLK).distinct()
-    carries = carry_over(empty.join(sums, [*keys, BLK], "full_outer"), keys, runs)
+    sums = facts.groupBy(*keys, BLK).agg(*[_summary(r, F.col("_p"), F.col("_o")).alias(f"_s_{r.out}") for r in runs])
+    carries = carry_over(sums, keys, runs)
 
     rows_l = lft.select(
         *keys, BLK, F.col(left_t).alias("_t"), F.lit(0 if left_first else 1).alias("_side"),

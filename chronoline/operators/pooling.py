@@ -40,7 +40,12 @@ def pool_windows(
 
     All rules come out of a single aggregation by clip. Output: keys, rule, probs.
     """
-    s = top_windows(scores, topk_frac, keys)
+    s = scores
+    if "topk" in how:
+        s = top_windows(scores, topk_frac, keys)
+    elif "attn" in how:
+        s = scores.withColumn("conf", F.array_max("probs"))
+        s = s.join(s.groupBy(*keys).agg(F.max("conf").alias("top_conf")), list(keys))
     weight = F.exp((F.col("conf") - F.col("top_conf")) / F.lit(max(temp, 1e-6)))
     p = lambda i: F.get(F.col("probs"), F.lit(i))
     vector = lambda f: F.array(*[f(i) for i in range(n_classes)])
