@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,7 @@ def local_session(cores: int | str = 8, app: str = "chronoline") -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
 
@@ -27,7 +29,9 @@ def local_session(cores: int | str = 8, app: str = "chronoline") -> SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A private folder is set only where none is named (single-machine tests).
+    Only a local master, where driver and executors are one process, gets a private folder
+    when none is named; elsewhere a missing setting is an error, since executors could not
+    see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -35,6 +39,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -45,13 +51,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
     Used where several branches need the same result: it is computed once, the plan
     stays short, a lost executor costs no recomputation, and the files carry the sizes
-    that later joins choose their strategy by.
+    that later joins choose their strategy by. The files go when the application ends.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
