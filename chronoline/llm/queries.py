@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoline.llm import url_rules
+from chronoline.llm import digest, mixing, url_rules
 from chronoline.llm.common import table
+from chronoline.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +26,40 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+# --- 3: mixing sources to target weights --------------------------------------------------------
+
+_OP3_SQL = r"""
+WITH d AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+        md5('7:' || coalesce(doc_id::VARCHAR, '')) AS k
+    FROM documents),
+s AS (
+    SELECT source, sum(size)::BIGINT AS n, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
+o AS (
+    SELECT *, 2 * n / w::DOUBLE AS ratio, sum(n) OVER () AS total,
+        coalesce(sum(2 * n) OVER before, 0) AS capped, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open
+    FROM s WINDOW before AS (ORDER BY 2 * n / w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+u AS (SELECT *, (1.5::DOUBLE * total - capped) / open AS unit FROM o),
+f AS (SELECT min(ratio) AS least, min_by(unit, ratio) AS unit FROM u WHERE ratio >= unit),
+t AS (
+    SELECT u.source, u.n, CASE WHEN u.ratio >= f.least THEN f.unit * u.w ELSE 2.0::DOUBLE * u.n END AS target FROM u, f),
+c AS (
+    SELECT d.*, t.n, t.target, floor(t.target + 0.5)::BIGINT AS words,
+        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, n AS source_size, target,
+    (greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - n)))::BIGINT AS taken
+FROM c"""
+
+
+@query("op3_mixing", _OP3_SQL)
+def op3_mixing(spark, sf_dir):
+    """Words that a mix of 150 % of all words takes of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(settle(docs))  # only ids, sources and sizes are written
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 # --- 5: URL filters ---------------------------------------------------------------------------
 
 HOST_RULES = [
@@ -73,3 +108,12 @@ def op5_url_filters(spark, sf_dir):
     """A verdict for every page's address."""
     judged = url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), HOST_RULES, PATTERN_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "pattern_rule")
+
+
+# --- 9: document fingerprints -------------------------------------------------------------------
+
+
+@query("op9_fingerprints")
+def op9_fingerprints(spark, sf_dir):
+    """Digests of every document and of its edited text, with their likeness."""
+    return digest.edited_fingerprints(table(spark, sf_dir, "documents"))
