@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoline.llm import digest, mixing, url_rules
+from chronoline.llm import digest, mixing, ngram_join, url_rules
 from chronoline.llm.common import table
 from chronoline.session import settle
 
@@ -26,6 +26,30 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+# --- 1: n-gram Jaccard join ---------------------------------------------------------------------
+
+_OP1_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT w, min(doc_id) AS least, count(*) AS n_copies, row_number() OVER (ORDER BY min(doc_id)) AS t FROM d GROUP BY w),
+g AS (
+    SELECT DISTINCT t, array_to_string(w[i : i + 4], ' ') AS g
+    FROM (SELECT t, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM t WHERE len(w) > 0)),
+z AS (SELECT t, count(*) AS n FROM g GROUP BY t),
+b AS (SELECT x.t AS a, y.t AS b, count(*) AS n FROM g x JOIN g y ON x.g = y.g AND x.t <> y.t GROUP BY ALL),
+l AS (SELECT a, b FROM b JOIN z x ON b.a = x.t JOIN z y ON b.b = y.t WHERE 10 * b.n >= 8 * (x.n + y.n - b.n)),
+r AS (SELECT t AS a, t AS b FROM t UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS t, min(t.least) AS class_id FROM r JOIN t ON r.b = t.t GROUP BY r.a)
+SELECT d.doc_id, c.class_id, coalesce(k.n, 0)::BIGINT AS n_links, t.n_copies
+FROM d JOIN t ON d.w = t.w JOIN c ON c.t = t.t LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = t.t"""
+
+
+@query("op1_ngram_jaccard_join", _OP1_SQL)
+def op1_ngram_jaccard_join(spark, sf_dir):
+    """Class, number of links and copies of every document: five words, 0.8."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # --- 3: mixing sources to target weights --------------------------------------------------------
 
 _OP3_SQL = r"""
