@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoline.llm import digest, mixing, ngram_join, url_rules
+from chronoline.llm import digest, graph_search, mixing, ngram_join, url_rules
 from chronoline.llm.common import table
 from chronoline.session import settle
 
@@ -141,3 +141,13 @@ def op5_url_filters(spark, sf_dir):
 def op9_fingerprints(spark, sf_dir):
     """Digests of every document and of its edited text, with their likeness."""
     return digest.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+# --- 10: approximate nearest neighbours ---------------------------------------------------------
+
+
+@query("op10_nearest_neighbours")
+def op10_nearest_neighbours(spark, sf_dir):
+    """The five nearest vectors of each vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return graph_search.search(graph_search.build_index(rows), rows.where(F.col("vec_id") % 50 == 0))
