@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoline.llm import digest, graph_search, mixing, ngram_join, url_rules
+from chronoline.llm import digest, graph_search, mixing, ngram_join, pieces, url_rules
 from chronoline.llm.common import table
 from chronoline.session import settle
 
@@ -50,6 +50,18 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# --- 2: SentencePiece encoding and decoding -----------------------------------------------------
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark, sf_dir):
+    """Piece ids of every whole document, and whether decoding gives the text again."""
+    model = pieces.read_model()
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    again = pieces.decode(coded, model)
+    return again.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 # --- 3: mixing sources to target weights --------------------------------------------------------
 
 _OP3_SQL = r"""
