@@ -53,10 +53,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the shared folder; what is written there goes when the application ends."""
-    path = f"{checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    folder = f"{checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    return f"{folder}/data"
 
 
 def settle(df: DataFrame) -> DataFrame:
