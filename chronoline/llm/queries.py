@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoline.llm import digest, graph_search, mixing, ngram_join, pieces, url_rules
+from chronoline.llm import digest, graph_search, kneser_ney, mixing, ngram_join, pieces, url_rules
 from chronoline.llm.common import table
 from chronoline.session import settle
 
@@ -59,7 +59,7 @@ def op2_sentencepiece(spark, sf_dir):
     model = pieces.read_model()
     coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     again = pieces.decode(coded, model)
-    return again.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return again.select("doc_id", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 # --- 3: mixing sources to target weights --------------------------------------------------------
@@ -163,3 +163,13 @@ def op10_nearest_neighbours(spark, sf_dir):
     """The five nearest vectors of each vector whose id is divisible by 50."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return graph_search.search(graph_search.build_index(rows), rows.where(F.col("vec_id") % 50 == 0))
+
+
+# --- 8: language-model scoring ------------------------------------------------------------------
+
+
+@query("op8_lm_scoring")
+def op8_lm_scoring(spark, sf_dir):
+    """Log probabilities of every document under a bigram model of four fifths of them."""
+    scored = kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
