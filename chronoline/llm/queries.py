@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoline.llm import digest, graph_search, kneser_ney, mixing, ngram_join, pieces, url_rules
+from chronoline.llm import digest, graph_search, kneser_ney, mixing, ngram_join, pieces, pii, url_rules
 from chronoline.llm.common import table
 from chronoline.session import settle
 
@@ -173,3 +173,13 @@ def op8_lm_scoring(spark, sf_dir):
     """Log probabilities of every document under a bigram model of four fifths of them."""
     scored = kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# --- 7: personal data ---------------------------------------------------------------------------
+
+
+@query("op7_pii")
+def op7_pii(spark, sf_dir):
+    """Personal data in every whole document: base spans and those found by context."""
+    found = pii.extract(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
