@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,33 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_FOLDERS: list[str] = []
+
+
+def settled_folders() -> list[str]:
+    """The folders settled so far and not yet released."""
+    return list(_FOLDERS)
+
+
+def release(folders: list[str]) -> None:
+    """Remove settled folders early; nothing may read results that still depend on them."""
+    spark = SparkSession.getActiveSession()
+    for folder in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _FOLDERS.remove(folder)
+
+
+@contextmanager
+def scratch():
+    """Remove, at its end, what was settled inside: for results that are written or collected by then."""
+    before = set(_FOLDERS)
+    try:
+        yield
+    finally:
+        release([f for f in _FOLDERS if f not in before])
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the shared folder; what is written there goes when the application ends."""
     folder = f"{checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
@@ -58,6 +86,7 @@ def scratch_path(spark: SparkSession) -> str:
     store = where.getFileSystem(spark._jsc.hadoopConfiguration())
     store.mkdirs(where)
     store.deleteOnExit(where)
+    _FOLDERS.append(folder)
     return f"{folder}/data"
 
 
