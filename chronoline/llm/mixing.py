@@ -161,7 +161,8 @@ def mixed_texts(mixed: DataFrame, seed: int = 7, ident: str = "doc_id") -> DataF
     its last taken word.
     """
     each = mixed.withColumn("_piece", F.explode("pieces"))
-    head = F.regexp_extract("text", F.concat(F.lit(r"(?s)^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), (F.col("_piece.words") - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+)")), F.lit(1))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    head = F.array_join(F.slice(words, F.lit(1), F.col("_piece.words").cast("int")), "")
     cut = F.col("_piece.words") < F.col("size")
     return (
         each.withColumn("text", F.when(cut, head).otherwise(F.col("text")))

@@ -241,11 +241,11 @@ def redact(docs: DataFrame, patterns: list[str] | None = None, text: str = "text
 
     Null texts stay null.
     """
-    known = frozenset(learn_patterns(docs, text) if patterns is None else patterns)
+    known, names = frozenset(learn_patterns(docs, text) if patterns is None else patterns), docs.columns
 
     def run(batches):
         for b in batches:
             out = pa.array([None if t is None else redacted(t, find(t, known)[1]) for t in b.column(text).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([out if c == text else b.column(c) for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([out if c == text else b.column(c) for c in names], names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoline.llm import digest, graph_search, kneser_ney, mixing, ngram_join, pieces, pii, url_rules
+from chronoline.llm import digest, graph_search, kneser_ney, language, mixing, ngram_join, pieces, pii, quality, url_rules
 from chronoline.llm.common import table
 from chronoline.session import settle
 
@@ -183,3 +183,29 @@ def op7_pii(spark, sf_dir):
     """Personal data in every whole document: base spans and those found by context."""
     found = pii.extract(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+# --- 6: quality classifier ----------------------------------------------------------------------
+
+
+@query("op6_quality")
+def op6_quality(spark, sf_dir):
+    """A quality score for every document; labels of one fold in four are held out."""
+    judged = quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
+# --- 4: language ID -----------------------------------------------------------------------------
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    """The language of every page and every document; one of page_id and doc_id is null."""
+    docs = table(spark, sf_dir, "documents")
+    languages, model = language.trigram_model(docs, "text", "lang")
+    pages = language.identify_pages(table(spark, sf_dir, "pages"), languages, model)
+    found = language.identify_documents(docs.select("doc_id", "text", "lang", "source"), languages, model, ["doc_id", "lang"])
+    columns = ["declared", "predicted", "posterior", "rejected"]
+    return found.select("doc_id", F.lit(None).cast("long").alias("page_id"), F.col("lang").alias("declared"), *columns[1:]).union(
+        pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", *columns)
+    )
