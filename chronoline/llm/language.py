@@ -253,7 +253,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     The tables are learned in a first pass that writes no texts; a second one judges.
     """
     languages, model = trigram_model(docs, "text", "lang")
-    names = ("_declared", "_suffix", "_host")
-    rows = docs.withColumns({"_declared": F.col("lang"), "_suffix": F.lit(None).cast("string"), "_host": F.col("source"), "_t": F.col("text")})
-    evidence = learn_evidence(settle(text_evidence(rows.select(*names, "_t"), "_t", languages, model)), languages, *names)
-    return judge(text_evidence(rows, "_t", languages, model), evidence, *names).where(~F.col("rejected")).select(*docs.columns)
+    names = ("declared", "suffix", "host")
+    # the row is packed, so its columns can't clash with those beside it
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.col("text").alias("t"))
+    evidence = learn_evidence(settle(text_evidence(rows.select(*names, "t"), "t", languages, model)), languages, *names)
+    return judge(text_evidence(rows, "t", languages, model), evidence, *names).where(~F.col("rejected")).select("row.*")

@@ -246,11 +246,11 @@ def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", thresho
     are copies of each other, so one of them stays.
     """
     found = settle(similar_texts(docs, text, threshold, width))
-    named = docs.withColumn("_node", S.words_key(F.col(text)))
-    key = F.struct(F.col(ident).isNull(), F.col(ident))
-    least = named.groupBy("_node").agg(F.min(key).alias("_least")).join(found, F.col("_node") == F.col("node"))
+    # the row is packed, so its columns can't clash with those beside it
+    key = F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("id"))
+    named = docs.select(S.words_key(F.col(text)).alias("_node"), key.alias("_key"), F.struct(*docs.columns).alias("_row"))
+    least = named.groupBy("_node").agg(F.min("_key").alias("_least")).join(found, F.col("_node") == F.col("node"))
     first = least.groupBy("root").agg(F.min(F.struct("_least", "node")).alias("w"))
     gone = least.join(first, "root").where(F.col("node") != F.col("w.node")).select(F.col("node").alias("_node"))
-    row = F.struct(*(F.col(c) for c in docs.columns))
-    kept = named.groupBy("_node").agg(F.min_by(row, key).alias("_row")).join(gone, "_node", "left_anti")
+    kept = named.groupBy("_node").agg(F.min_by("_row", "_key").alias("_row")).join(gone, "_node", "left_anti")
     return kept.select("_row.*")

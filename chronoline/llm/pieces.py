@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bound of a worker's memory of words and pairs, and the longest word that is remembered.
-WORDS_KEPT, PAIRS_KEPT, LONG_WORD = 250_000, 1_000_000, 48
+WORDS_KEPT, PAIRS_KEPT, LONG_WORD = 120_000, 300_000, 48
 
 _LOADED: dict[int, "Pieces"] = {}
 _SPLIT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -59,17 +59,23 @@ class Pieces:
         for b, i in enumerate(self.byte):
             self.raw[i] = bytes([b])
         self.edges: dict[str, tuple | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         #: The words of late, and those of before.
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         #: Every ending of a piece, and whether it is a piece that its own merges make.
         self.ending: dict[str, bool] = {}
+
+    def prepare(self) -> None:
+        """What encoding needs besides; a worker that only decodes is spared it."""
+        if self.ending:
+            return
         for p in self.ids:
             for k in range(1, len(p)):
                 self.ending.setdefault(p[k:], False)
         for p in self.ids:
             self.ending[p] = self.derivation(p) is not None
+        self.edges.clear()
 
     def derivation(self, piece: str):
         """The merges that make a piece: (ranks, right end after each, left end after each); None if others make it up."""
@@ -95,7 +101,8 @@ class Pieces:
         is merged over if its own merge comes before either side's next one, or ties with the
         right side's.
         """
-        known = self.pairs.get((q, p))
+        key = self.ids[q] << 20 | self.ids[p]  # a few bytes where two texts would be kept
+        known = self.pairs.get(key)
         if known is not None:
             return known
         ranks_q, right, _ = self.derivation(q)
@@ -117,11 +124,12 @@ class Pieces:
                 j += 1
         if len(self.pairs) >= PAIRS_KEPT:
             self.pairs.clear()
-        self.pairs[q, p] = result
+        self.pairs[key] = result
         return result
 
     def encode_sorted(self, words: list[str]) -> list[bytes]:
         """32-bit ids of sorted distinct marked words, sharing the states of common prefixes."""
+        self.prepare()
         ids, ending, apart = self.ids, self.ending, self.apart
         last: list[str] = [""]  # last[i]: the last piece of the first i characters
         before, out = "", []
@@ -228,17 +236,15 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids")
     def run(batches):
         pieces = load(model)
         for b in batches:
-            column = b.column(text)
-            values, sizes = [], []
-            for _, texts in _groups(column):
-                for t, got in zip(texts, pieces.encode([t or "" for t in texts])):
-                    values.append(got)
-                    sizes.append(len(got))
-            flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            mask = column.is_null() if column.null_count else None
-            listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=mask)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), listed], [*kept, ids])
+            # a batch for each group of texts, so ids don't pile up
+            for first, texts in _groups(b.column(text)):
+                values = pieces.encode([t or "" for t in texts])
+                flat = np.concatenate([*values, np.zeros(0, np.int32)])
+                offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+                part = b.slice(first, len(texts))
+                mask = part.column(text).is_null() if part.column(text).null_count else None
+                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=mask)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), listed], [*kept, ids])
 
     schema = docs.select(*kept).withColumn(ids, F.lit(None).cast("array<int>")).schema
     return docs.select(*kept).mapInArrow(run, schema)
@@ -259,4 +265,4 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded
             out = [None if not v else pieces.decode(flat[offsets[k] : offsets[k + 1]]) for k, v in enumerate(column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(out, pa.string())], [*kept, text])
 
-    return docs.mapInArrow(run, docs.select(*kept, F.lit("").alias(text)).schema).select(*kept, text)
+    return docs.mapInArrow(run, docs.select(*kept, F.lit(None).cast("string").alias(text)).schema).select(*kept, text)

@@ -118,11 +118,11 @@ def filter_urls(pages: DataFrame, host_rules: list[HostRule], pattern_rules: lis
     new = ["host", "path", "rule", "verdict", "pattern_rule"]
     kept = [c for c in pages.columns if c not in new or c == url]
     host, path = split_url(F.col(url))
-    base = pages.select(*kept, host.alias("_host"), path.alias("_path"))
+    base = pages.select(F.struct(*kept).alias("_row"), F.col(url).alias("_url"), host.alias("_host"), path.alias("_path"))
     base = base.withColumn("_rule", host_rule(F.col("_host"), F.col("_path"), host_rules))
-    found = pattern_matches(pages.select(url), pattern_rules, url).select(F.col("url").alias("_url"), "pattern_rule")
-    return base.join(found, base[url] == found["_url"], "left").select(
-        *kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.name").alias("rule"),
+    found = pattern_matches(pages.select(url), pattern_rules, url).select(F.col("url").alias("_found"), "pattern_rule")
+    return base.join(found, F.col("_url") == F.col("_found"), "left").select(
+        "_row.*", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.name").alias("rule"),
         F.coalesce(F.col("_rule.verdict"), F.when(F.col("pattern_rule").isNotNull(), F.lit("block")), F.lit("allow")).alias("verdict"),
         "pattern_rule",
     )
