@@ -32,7 +32,8 @@ MAX_PATTERNS = 1_000_000
 HELD = 200_000
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match begins where its digits do: looking back keeps long runs of digits or letters linear
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -41,7 +42,7 @@ _ACCESS = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
 #: The characters of an identifier-like string.
 _PART = re.compile(r"[A-Za-z0-9_+/.-]+")
 _BEFORE = re.compile(r"([^\W\d_]+)(\W{1,8})\Z")
-_ANY = re.compile(r"[^\W\d_]+\W{1,8}(?=\w)")
+_ANY = re.compile(r"(?<![^\W\d_])[^\W\d_]++\W{1,8}(?=\w)")
 
 
 def luhn(digits: str) -> bool:
@@ -109,7 +110,7 @@ def strings(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bo
             a += 1
         while k < len(base) and base[k][2] <= a:
             k += 1
-        if b - a >= 6 and not any(x[0] < b and x[2] > a for x in base[k : k + 8]):
+        if b - a >= 6 and (k == len(base) or base[k][0] >= b):
             out.append((a, b, _strong(t[a:b])))
         digit = _DIGIT.search(t, done)
     return sorted(out)
