@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bound of a worker's memory of words and pairs, and the longest word that is remembered.
-WORDS_KEPT, PAIRS_KEPT, LONG_WORD = 120_000, 300_000, 48
+WORDS_KEPT, PAIRS_KEPT, LONG_WORD = 80_000, 200_000, 48
 
 _LOADED: dict[int, "Pieces"] = {}
 _SPLIT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -224,6 +224,13 @@ def _groups(texts: pa.Array):
             first, held = k + 1, 0
 
 
+def _ids(column: pa.Array, values: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([*values, np.zeros(0, np.int32)])
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    mask = column.is_null() if column.null_count else None
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=mask)
+
+
 def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
     """All rows and columns of ``docs`` with ``ids``, the pieces of each whole text.
 
@@ -238,18 +245,35 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids")
         for b in batches:
             # a batch for each group of texts, so ids don't pile up
             for first, texts in _groups(b.column(text)):
-                values = pieces.encode([t or "" for t in texts])
-                flat = np.concatenate([*values, np.zeros(0, np.int32)])
-                offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
                 part = b.slice(first, len(texts))
-                mask = part.column(text).is_null() if part.column(text).null_count else None
-                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=mask)
+                listed = _ids(part.column(text), pieces.encode([t or "" for t in texts]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), listed], [*kept, ids])
 
     schema = docs.select(*kept).withColumn(ids, F.lit(None).cast("array<int>")).schema
     return docs.select(*kept).mapInArrow(run, schema)
 
 
+def encode_and_check(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", same: str = "round_trip") -> DataFrame:
+    """The columns of ``docs`` but the text, with ``ids`` and whether they decode to the text.
+
+    Encoding and decoding share a worker, and the text stays there. A null text gives null ids,
+    which decode to null.
+    """
+    kept = [c for c in docs.columns if c not in (text, ids, same)]
+
+    def run(batches):
+        pieces = load(model)
+        for b in batches:
+            for first, texts in _groups(b.column(text)):
+                part = b.slice(first, len(texts))
+                values = pieces.encode([t or "" for t in texts])
+                ok = [pieces.decode(v) == (t or "") for t, v in zip(texts, values)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _ids(part.column(text), values), pa.array(ok, pa.bool_())], [*kept, ids, same])
+
+    schema = docs.select(*kept, F.lit(None).cast("array<int>").alias(ids), F.lit(None).cast("boolean").alias(same)).schema
+    return docs.select(*kept, text).mapInArrow(run, schema)
+
+
 def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All rows and columns of ``docs`` with the text of the ids; null gives null, no ids the empty text.
 

@@ -56,10 +56,8 @@ def op1_ngram_jaccard_join(spark, sf_dir):
 @query("op2_sentencepiece")
 def op2_sentencepiece(spark, sf_dir):
     """Piece ids of every whole document, and whether decoding gives the text again."""
-    model = pieces.read_model()
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    again = pieces.decode(coded, model)
-    return again.select("doc_id", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    coded = pieces.encode_and_check(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.read_model())
+    return coded.select("doc_id", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 # --- 3: mixing sources to target weights --------------------------------------------------------

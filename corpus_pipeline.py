@@ -65,11 +65,8 @@ def mixed(spark, docs, sf_dir):
 @_stage
 def encoded(spark, docs, sf_dir):
     """Piece ids of the mix, with the number of pieces and whether they decode to the text."""
-    model = pieces.read_model()
-    coded = pieces.decode(pieces.encode(docs.select(*COLUMNS), model), model)
-    return coded.select(
-        "doc_id", "lang", "source", "n_chars", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
-    )
+    coded = pieces.encode_and_check(docs.select(*COLUMNS), pieces.read_model())
+    return coded.select("doc_id", "lang", "source", "n_chars", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("language ID", identified), ("near duplicates", deduplicated), ("personal data", redacted), ("mixing", mixed), ("pieces", encoded)]

@@ -35,3 +35,6 @@ def test_tables(odd, odd_rows, none):
         assert r["decoded"] == r["text"]
         assert (r["ids"] is None) == (r["text"] is None) and (r["text"] != "" or r["ids"] == [])
     assert P.decode(P.encode(none, model), model).count() == 0
+    checked = P.encode_and_check(odd, model).collect()
+    assert all(r["round_trip"] for r in checked) and sorted((str(r["doc_id"]), str(r["ids"])) for r in checked) == sorted((str(r["doc_id"]), str(r["ids"])) for r in rows)
+    assert P.encode_and_check(none, model).count() == 0
