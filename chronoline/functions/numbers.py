@@ -77,10 +77,10 @@ def collapse(y: Column, n_classes: int) -> Column:
     raise ValueError("n_classes must be 2, 3 or 5")
 
 
-def sample_indices(n_total: Column, n_sample: int) -> Column:
-    """Evenly spaced frame indices; short inputs repeat their last index."""
+def sample_indices(n_total: Column, n_sample: int, truncate: bool = False) -> Column:
+    """Evenly spaced frame indices, rounded or cut; short inputs repeat their last index."""
     step = (n_total - 1).cast("double") / F.lit(float(max(n_sample - 1, 1)))
-    spaced = F.transform(F.sequence(F.lit(0), F.lit(n_sample - 1)), lambda i: half_even(i * step))
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(n_sample - 1)), lambda i: F.floor(i * step) if truncate else half_even(i * step))
     padded = F.transform(
         F.sequence(F.lit(0), F.lit(n_sample - 1)), lambda i: F.least(i, F.greatest(n_total - 1, F.lit(0))).cast("bigint")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -9,8 +10,15 @@ from pyspark.sql import Column, functions as F
 # fixed values: words never used in a citation key
 KEY_STOP_WORDS = ("with", "from", "using", "that", "this", "were", "have", "been", "their", "study")
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+def _plain(code: int) -> str:
+    return unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+
+
+# letters below U+3000 and presentation forms whose compatibility form has one ASCII sign, and those with several
+_FOLDS = {chr(c): _plain(c) for c in (*range(0x80, 0x3000), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)) if _plain(c)}
+_ACCENTED = "".join(k for k, v in _FOLDS.items() if len(v) == 1)
+_PLAIN = "".join(v for v in _FOLDS.values() if len(v) == 1)
+_LIGATURES = {k: v for k, v in _FOLDS.items() if len(v) > 1 and v.isalpha() and (ord(k) < 0x250 or ord(k) >= 0xFB00)}
 
 
 def strip_tags(text: Column) -> Column:
@@ -24,6 +32,8 @@ def title_key(title: Column) -> Column:
 
 def ascii_fold(text: Column) -> Column:
     """Latin letters without their accents; what has no plain form is dropped."""
+    for letter, plain in _LIGATURES.items():
+        text = F.replace(text, F.lit(letter), F.lit(plain))
     return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"[^\x00-\x7F]", "")
 
 
@@ -51,7 +61,7 @@ def citation_stem(first_author: Column, year: Column, title: Column) -> Column:
     surname = F.regexp_replace(F.lower(ascii_fold(F.element_at(F.split(F.trim(first_author), r"\s+"), -1))), r"[^a-z]", "")
     words = F.split(F.regexp_replace(F.regexp_replace(title, r"<[^>]+>", ""), r"[^a-zA-Z ]", " "), " +")
     telling = F.filter(words, lambda w: (F.length(w) > 3) & ~F.lower(w).isin(*KEY_STOP_WORDS))
-    return F.concat(surname, year.cast("string"), F.coalesce(F.lower(F.get(telling, F.lit(0))), F.lit("x")))
+    return F.concat(F.coalesce(surname, F.lit("anon")), year.cast("string"), F.coalesce(F.lower(F.get(telling, F.lit(0))), F.lit("x")))
 
 
 def clash_suffix(n: Column) -> Column:

@@ -113,29 +113,28 @@ def match_events(
 ) -> DataFrame:
     """Greedy one-to-one matching of truths, in order, to their best unused event.
 
-    ``events`` of one group must not overlap each other (``extract_events`` makes
-    them so); a truth then has at most floor(1/min_iou) candidates. Of the truths
-    sharing one candidate list only that many can ever match, so later copies are
-    dropped by a rank limit that Spark applies before the shuffle. What is left is
-    cut into runs of overlapping pairs, and the greedy choice is a fold inside each
-    run: choices in different runs cannot touch each other.
+    Detections may overlap; one is told by its start and end. Of the truths that share
+    one set of candidates only as many can ever match as the set has members, so later
+    copies are left out. What is left is cut into runs of overlapping pairs, and the
+    greedy choice is a fold inside each run: choices in different runs cannot touch
+    each other.
 
     Output: keys, groups, truth_id, t_start, t_end, g_start, g_end, iou.
     """
     if not 0.0 < min_iou <= 1.0:
         raise ValueError("min_iou must be in (0, 1]")
     full = [*keys, *groups]
-    most = int(math.floor(1.0 / min_iou + 1e-9))
     cand = candidate_pairs(events, truth, min_iou, keys)
     per_truth = cand.groupBy(*full, "truth_id", "g_start", "g_end").agg(
         F.array_sort(F.collect_list(F.struct(
             (-F.col("iou")).alias("neg"), F.col("t_start").alias("s"), F.col("t_end").alias("e")
         ))).alias("opts")
     )
-    # equal option sets in any preference order share starts; sort them for the key
-    per_truth = per_truth.withColumn("_set", F.array_sort(F.transform("opts", lambda o: o["s"])))
+    # equal option sets in any preference order; sort them for the key
+    place = lambda o: F.struct(o["s"].alias("s"), o["e"].alias("e"))
+    per_truth = per_truth.withColumn("_set", F.array_sort(F.transform("opts", place)))
     spec = W.partitionBy(*full, "_set").orderBy("truth_id")
-    ranked = per_truth.withColumn("_rn", F.row_number().over(spec)).filter(F.col("_rn") <= most)
+    ranked = per_truth.withColumn("_rn", F.row_number().over(spec)).filter(F.col("_rn") <= F.size("_set"))
     hulls = ranked.select(
         *full, "truth_id", "g_start", "g_end", "opts",
         F.least(F.col("g_start"), F.array_min(F.transform("opts", lambda o: o["s"]))).alias("_h0"),
@@ -146,12 +145,12 @@ def match_events(
         F.array_sort(F.collect_list(F.struct("truth_id", "g_start", "g_end", "opts"))).alias("todo")
     )
     start = F.expr(
-        "named_struct('used', cast(array() as array<double>), 'won', "
+        "named_struct('used', cast(array() as array<struct<s:double,e:double>>), 'won', "
         "cast(array() as array<struct<truth_id:bigint,g_start:double,g_end:double,iou:double,s:double,e:double>>))"
     )
 
     def step(acc: Column, item: Column) -> Column:
-        free = F.filter(item["opts"], lambda o: ~F.array_contains(acc["used"], o["s"]))
+        free = F.filter(item["opts"], lambda o: ~F.array_contains(acc["used"], place(o)))
         best = F.get(free, F.lit(0))
         won = F.struct(
             item["truth_id"].cast("bigint").alias("truth_id"), item["g_start"].alias("g_start"),
@@ -159,7 +158,7 @@ def match_events(
         )
         hit = F.size(free) > 0
         return F.struct(
-            F.when(hit, F.concat(acc["used"], F.array(best["s"]))).otherwise(acc["used"]).alias("used"),
+            F.when(hit, F.concat(acc["used"], F.array(place(best)))).otherwise(acc["used"]).alias("used"),
             F.when(hit, F.concat(acc["won"], F.array(won))).otherwise(acc["won"]).alias("won"),
         )
 

@@ -126,8 +126,8 @@ def grouped_report(
     return rep.join(sup, keys).join(names, keys).drop("_k")
 
 
-def ordinal_errors(pred: DataFrame, keys: Sequence[str] = ("run_id",), max_distance: int = 5) -> DataFrame:
-    """Mean distance over errors and the share of each distance."""
+def ordinal_errors(pred: DataFrame, keys: Sequence[str] = ("run_id",), n_classes: int = 5) -> DataFrame:
+    """Mean distance over errors and the share of each distance that ``n_classes`` allow."""
     cells = confusion_cells(pred, keys)
     d = F.abs(F.col("y") - F.col("pred"))
     wrong = F.when(d > 0, F.col("n"))
@@ -136,7 +136,7 @@ def ordinal_errors(pred: DataFrame, keys: Sequence[str] = ("run_id",), max_dista
         ratio(F.sum(d * F.col("n")), F.sum(wrong)).alias("mean_dist"),
         *[
             ratio(F.coalesce(F.sum(F.when((d == k) & (d > 0), F.col("n"))), F.lit(0)), F.sum(wrong)).alias(f"share_{k}")
-            for k in range(max_distance)
+            for k in range(n_classes)
         ],
     )
 

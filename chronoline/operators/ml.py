@@ -28,9 +28,9 @@ def _padded(p: Column, n_classes: int) -> Column:
 
 def random_forest(
     train: DataFrame, test: DataFrame, n_classes: int, label: str = "wlab", features: Sequence[str] = FEATURES, trees: int = 100,
-    depth: int = 10, seed: int = 42,
+    depth: int = 30, seed: int = 42,
 ) -> DataFrame:
-    """Balanced random forest; adds ``probs`` to the test windows."""
+    """Balanced random forest; adds ``probs`` to the test windows (M01). Depth 30 is Spark's limit."""
     model = Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep"),
         RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="_p"),

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from chronoline.functions.text import citation_stem, clash_suffix, hits, title_key
 from chronoline.operators.blocks import Blocks, row_numbers
 
-# fixed values: notices that are not papers
-NOTICE_PATTERN = r"retract|erratum|correction to|editorial|comment on"
+# fixed values: notices that are not papers, as each ranking knows them
+BROAD_NOTICES = r"retract|erratum|correction to|editorial|comment on"
+TITLE_NOTICES = r"retract|erratum|correction to|editorial|^comment"
+SHORTLIST_NOTICES = r"retract|erratum|correction to|^comment on|editorial|author correction|supplementary|abstracts? from|conference abstract"
 # fixed values: record types that earn a small bonus
 PAPER_TYPES = ("article", "inproceedings", "conference", "proceedings-article")
 
@@ -22,17 +24,24 @@ class Topic:
 
     ``must``: at least one in the text. ``bonus``: add to the score. ``groups``: pairs of
     ("title" | "text", patterns), each needing a hit. ``exclude``: none in the title.
+    ``any_of``: alternatives of which one must hold besides.
     """
 
     must: Sequence[str] = ()
     bonus: Sequence[str] = ()
     groups: Sequence[tuple[str, Sequence[str]]] = ()
     exclude: Sequence[str] = ()
+    any_of: Sequence[Topic] = ()
 
 
 @dataclass(frozen=True)
 class Scoring:
-    """Points of a ranking: pattern weights, citation curve, recency steps, extras."""
+    """Points of a ranking: pattern weights, citation curve, recency steps, extras.
+
+    ``notices`` is looked for in the title or the text as ``notices_in`` says, bonus patterns as
+    ``bonus_in`` says; ``paratext`` is the penalty of that record type; ``positive`` keeps only
+    scores above zero.
+    """
 
     must: float
     bonus: float
@@ -43,14 +52,19 @@ class Scoring:
     doi: float
     kind: float
     notice: float
+    notices: str = ""
+    notices_in: str = "title"
+    bonus_in: str = "text"
+    paratext: float = 0.0
+    positive: bool = False
 
 
 # fixed values: the rankings in use, from broad to strict
 SCORINGS = {
-    "broad": Scoring(3.0, 1.0, 3000, 0.35, ((2015, 1.5),), 0.5, 0.0, 0.5, 15.0),
-    "titles": Scoring(0.0, 0.0, 5000, 0.4, ((2015, 4.0), (2020, 2.0)), 1.0, 1.0, 0.0, 50.0),
-    "shortlist": Scoring(0.0, 2.0, 8000, 0.4, ((2015, 3.0), (2019, 2.0)), 1.5, 1.0, 0.0, 60.0),
-    "strict": Scoring(0.0, 3.0, 5000, 0.4, ((2015, 4.0), (2020, 3.0)), 0.0, 0.0, 0.0, 0.0),
+    "broad": Scoring(3.0, 1.0, 3000, 0.35, ((2015, 1.5),), 0.5, 0.0, 0.5, 15.0, BROAD_NOTICES, "text", positive=True),
+    "titles": Scoring(0.0, 0.0, 5000, 0.4, ((2015, 4.0), (2020, 2.0)), 1.0, 1.0, 0.0, 50.0, TITLE_NOTICES),
+    "shortlist": Scoring(0.0, 2.0, 8000, 0.4, ((2015, 3.0), (2019, 2.0)), 1.5, 1.0, 0.0, 60.0, SHORTLIST_NOTICES, paratext=60.0),
+    "strict": Scoring(0.0, 3.0, 5000, 0.4, ((2015, 4.0), (2020, 3.0)), 0.0, 0.0, 0.0, 0.0, bonus_in="title"),
 }
 
 
@@ -122,6 +136,11 @@ def relevant(topic: Topic, title: Column, text: Column) -> Column:
         ok = ok & (hits(title if where == "title" else text, patterns) > 0)
     if topic.exclude:
         ok = ok & (hits(title, topic.exclude) == 0)
+    if topic.any_of:
+        one = F.lit(False)
+        for t in topic.any_of:
+            one = one | relevant(t, title, text)
+        ok = ok & one
     return ok
 
 
@@ -136,7 +155,7 @@ def topic_score(
     if scoring.must and topic.must:
         score = score + hits(text, topic.must) * F.lit(scoring.must)
     if scoring.bonus and topic.bonus:
-        score = score + hits(text, topic.bonus) * F.lit(scoring.bonus)
+        score = score + hits(title if scoring.bonus_in == "title" else text, topic.bonus) * F.lit(scoring.bonus)
     if year is not None:
         for since, n in scoring.years:
             score = score + points(year >= since, n)
@@ -145,8 +164,10 @@ def topic_score(
             score = score + points(filled(value), n)
     if kind is not None and scoring.kind:
         score = score + points(kind.isin(*PAPER_TYPES), scoring.kind)
+    if kind is not None and scoring.paratext:
+        score = score - points(F.coalesce(kind == "paratext", F.lit(False)), scoring.paratext)
     if scoring.notice:
-        score = score - points(text.rlike(NOTICE_PATTERN), scoring.notice)
+        score = score - points((text if scoring.notices_in == "text" else title).rlike(scoring.notices), scoring.notice)
     return F.when(relevant(topic, title, text), score)
 
 
@@ -154,7 +175,9 @@ def top_per_topic(
     records: DataFrame, topics: Mapping[str, Topic], n: int, ident: str, title: Column, text: Column, cites: Column,
     scoring: str = "broad", **parts: Column,
 ) -> DataFrame:
-    """The n best records of every topic with a positive score, identifier order on ties.
+    """The n best records of every topic, identifier order on ties.
+
+    Broad rankings keep positive scores only; the others keep every match.
 
     Rules are column expressions, so records are read once whatever the number of
     topics; the rank limit is applied before the shuffle by Spark.
@@ -168,7 +191,7 @@ def top_per_topic(
             )
             for name, t in topics.items()
         ])).alias("_s"),
-    ).select(ident, "_s.*").filter(F.col("score") > 0)
+    ).select(ident, "_s.*").filter(F.col("score") > 0 if rules.positive else F.col("score").isNotNull())
     spec = W.partitionBy("topic").orderBy(F.col("score").desc(), F.col(ident))
     return scored.withColumn("place", F.row_number().over(spec)).filter(F.col("place") <= n).withColumn(
         "place", F.col("place").cast("bigint")

@@ -28,7 +28,7 @@ def session_split(
     """Session-disjoint split: the first seed that puts every class on both sides.
 
     All seeds are tried in one query on the (session, class) counts; clips join last.
-    Output: session, is_val, split_seed. Empty when no seed qualifies.
+    Output: session, is_val, split_seed. An error when no seed qualifies.
     """
     present = settle(clips.groupBy(session, "y").agg(F.count(F.lit(1)).alias("n")))
     sessions = present.select(session).distinct()
@@ -52,6 +52,8 @@ def session_split(
             test = F.col(f"_{c}_{v}") == 1
             good = test if good is None else good & test
     first = seen.filter(good).agg(F.min("split_seed").alias("split_seed"))
+    if first.first()["split_seed"] is None:
+        raise ValueError(f"no seed from {seed} to {seed + max_tries - 1} puts every class on both sides")
     return sides.join(F.broadcast(first), "split_seed").select(session, "is_val", "split_seed")
 
 

@@ -15,17 +15,18 @@ def moving_average(
 ) -> DataFrame:
     """Centred mean of k rows with zero-padded edges; short series stay as they are.
 
-    Rows are numbered, cut into chunks, and each chunk borrows (k - 1) / 2 rows from
-    its neighbours, so no window spans a whole series.
+    Rows are numbered, cut into chunks, and each chunk borrows up to k / 2 rows from
+    its neighbours, so no window spans a whole series. An even k takes one row more
+    before than after.
     """
-    half = (k - 1) // 2
+    half, after = k // 2, (k - 1) // 2
     rows = row_numbers(trace, keys, "t", "_i", blocks=blocks)
     chunk_of = lambda i: F.floor((i - 1) / F.lit(chunk)).cast("bigint")
     spread = rows.withColumn(
         "_chunk", F.explode(F.sequence(chunk_of(F.col("_i") - half), chunk_of(F.col("_i") + half)))
     ).withColumn("_own", F.col("_chunk") == chunk_of(F.col("_i")))
     spec = W.partitionBy(*keys, "_chunk").orderBy("_i")
-    total = F.sum(value).over(spec.rowsBetween(-half, half))
+    total = F.sum(value).over(spec.rowsBetween(-half, after))
     sizes = trace.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return (
         spread.withColumn("_sum", total).filter("_own").join(sizes, list(keys))

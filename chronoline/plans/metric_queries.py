@@ -243,7 +243,7 @@ def _(s):
     return _round(stats.null_calibration(s.prediction), "share", "mean_f1", "sd_f1", "min_f1", "max_f1")
 
 
-N_REP = 500
+N_REP = 2000
 
 
 def _boot_sql(runs_: str, fields: str, side_rows: str, tail: str) -> str:

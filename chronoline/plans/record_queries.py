@@ -285,7 +285,7 @@ def _topic_sql(name, t):
     h = lambda ps: " + ".join(f"regexp_matches(t, '{p}')::INT" for p in ps)
     return (f"SELECT doc_id, '{name}' AS topic, ({h(t.must)}) AS m, ({h(t.must)}) * 3.0::DOUBLE + ({h(t.bonus)}) "
             "+ CASE WHEN c > 0 THEN least(c, 3000)::DOUBLE ** 0.35 ELSE 0.0 END + CASE WHEN doc_id % 20 + 2005 >= 2015 THEN 1.5 ELSE 0.0 END + CASE WHEN t <> '' THEN 0.5 ELSE 0.0 END "
-            f"- CASE WHEN regexp_matches(t, '{rc.NOTICE_PATTERN}') THEN 15.0 ELSE 0.0 END AS score FROM d")
+            f"- CASE WHEN regexp_matches(t, 'retract|erratum|correction to|editorial|comment on') THEN 15.0 ELSE 0.0 END AS score FROM d")
 
 
 @query("top_per_topic", "WITH d AS (SELECT doc_id, lower(title) AS t, cited_by_count AS c FROM record), a AS (" + " UNION ALL ".join(_topic_sql(n, t) for n, t in _TOPICS.items()) + """),
@@ -303,9 +303,9 @@ _SHORT = {"mixed": rc.Topic((), ("eau", "tion"), (("title", ("the", "des")), ("t
 
 @query("shortlist_records", f"""WITH d AS (SELECT doc_id, lower(title) AS t, cited_by_count AS c FROM record),
 s AS (SELECT doc_id, least(c, 8000)::DOUBLE ** 0.4 + 2.0::DOUBLE * (regexp_matches(t, 'eau')::INT + regexp_matches(t, 'tion')::INT) + CASE WHEN doc_id % 20 + 2005 >= 2015 THEN 3.0 ELSE 0.0 END
-      + CASE WHEN doc_id % 20 + 2005 >= 2019 THEN 2.0 ELSE 0.0 END + CASE WHEN t <> '' THEN 1.5 ELSE 0.0 END - CASE WHEN regexp_matches(t, '{rc.NOTICE_PATTERN}') THEN 60.0 ELSE 0.0 END AS score
+      + CASE WHEN doc_id % 20 + 2005 >= 2019 THEN 2.0 ELSE 0.0 END + CASE WHEN t <> '' THEN 1.5 ELSE 0.0 END - CASE WHEN regexp_matches(t, 'retract|erratum|correction to|^comment on|editorial|author correction|supplementary|abstracts? from|conference abstract') THEN 60.0 ELSE 0.0 END AS score
       FROM d WHERE regexp_matches(t, 'the|des') AND regexp_matches(t, 'ation|oui') AND NOT regexp_matches(t, 'license|secret'))
-SELECT doc_id, 'mixed' AS topic, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS place FROM s WHERE score > 0
+SELECT doc_id, 'mixed' AS topic, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS place FROM s
 QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) <= 30""", ("record",))
 def _(s):
     return _round(rc.top_per_topic(
@@ -316,8 +316,36 @@ def _(s):
 
 @query("relevant_records", "SELECT doc_id FROM record WHERE regexp_matches(lower(title), 'ation') AND regexp_matches(lower(title), 'the|des') AND NOT regexp_matches(lower(title), 'license|secret')", ("record",))
 def _(s):
-    t = F.lower("title")
-    return s.record.filter(tx.has_any(t, ("ation",)) & tx.has_any(t, ("the", "des")) & ~tx.has_any(t, ("license", "secret"))).select("doc_id")
+    topic = rc.Topic(("ation",), groups=(("title", ("the", "des")),), exclude=("license", "secret"))
+    return s.record.filter(rc.relevant(topic, F.lower("title"), F.lower("title"))).select("doc_id")
+
+
+# rankings by titles, and a strict one whose rules have alternatives
+@query("title_ranking", """WITH d AS (SELECT doc_id, lower(title) AS t, cited_by_count AS c FROM record),
+s AS (SELECT doc_id, least(greatest(c, 0), 5000)::DOUBLE ** 0.4 + CASE WHEN doc_id % 20 + 2005 >= 2015 THEN 4.0 ELSE 0.0 END + CASE WHEN doc_id % 20 + 2005 >= 2020 THEN 2.0 ELSE 0.0 END
+      + CASE WHEN t <> '' THEN 1.0 ELSE 0.0 END - CASE WHEN regexp_matches(t, 'retract|erratum|correction to|editorial|^comment') THEN 50.0 ELSE 0.0 END AS score
+      FROM d WHERE (regexp_matches(t, 'tion') AND regexp_matches(t, 'eau|the')) OR regexp_matches(t, 'ung|keit'))
+SELECT doc_id, 'either' AS topic, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS place FROM s
+QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) <= 25""", ("record",))
+def _(s):
+    either = rc.Topic(any_of=(rc.Topic(groups=(("title", ("tion",)), ("title", ("eau", "the")))), rc.Topic(groups=(("title", ("ung", "keit")),))))
+    return _round(rc.top_per_topic(
+        s.record.withColumn("year", F.lit(2005) + F.col("doc_id") % 20), {"either": either}, 25, "doc_id", F.col("title"), F.col("title"), F.col("cited_by_count"),
+        "titles", year=F.col("year"), abstract=F.col("abstract")
+    ), "score")
+
+
+@query("strict_ranking", """WITH d AS (SELECT doc_id, lower(title) AS t, cited_by_count AS c FROM record),
+s AS (SELECT doc_id, least(greatest(c, 0), 5000)::DOUBLE ** 0.4 + 3.0::DOUBLE * (regexp_matches(t, 'ing')::INT + regexp_matches(t, 'ment')::INT)
+      + CASE WHEN doc_id % 20 + 2005 >= 2015 THEN 4.0 ELSE 0.0 END + CASE WHEN doc_id % 20 + 2005 >= 2020 THEN 3.0 ELSE 0.0 END AS score
+      FROM d WHERE regexp_matches(t, 'er|le') AND NOT regexp_matches(t, 'license'))
+SELECT doc_id, 'strict' AS topic, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS place FROM s
+QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) <= 45""", ("record",))
+def _(s):
+    strict = rc.Topic((), ("ing", "ment"), (("title", ("er", "le")),), ("license",))
+    return _round(rc.top_per_topic(
+        s.record.withColumn("year", F.lit(2005) + F.col("doc_id") % 20), {"strict": strict}, 45, "doc_id", F.col("title"), F.col("title"), F.col("cited_by_count"), "strict", year=F.col("year")
+    ), "score")
 
 
 _STOP = ", ".join(f"'{w}'" for w in tx.KEY_STOP_WORDS)

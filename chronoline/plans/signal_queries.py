@@ -19,8 +19,8 @@ L, WIN, STRIDE = 64, 96, 48
 _SIG = "sig AS (SELECT vec_id // 50 AS session, vec_id AS block_id, embedding AS samples FROM embeddings WHERE label <> 0)"
 
 
-def _sig(s):
-    return s.embeddings.filter("label <> 0").select(
+def _sig(s, all_blocks=False):
+    return s.embeddings.filter("true" if all_blocks else "label <> 0").select(
         F.floor(F.col("vec_id") / 50).cast("bigint").alias("session"), F.col("vec_id").alias("block_id"), F.col("embedding").alias("samples"))
 
 
@@ -41,11 +41,14 @@ def _(s):
 
 
 @query("decimate", f"""
-WITH {_SIG}, {_POS}, outs AS (SELECT session, ps AS o FROM pos WHERE ps % 4 = 0), taps AS (SELECT {[float(t) for t in sg.low_pass(4)]}::DOUBLE[] AS h)
+WITH {_SIG.replace(" WHERE label <> 0", "")}, {_POS}, outs AS (SELECT session, ps AS o FROM pos WHERE ps % 4 = 0),
+-- sinc times the Kaiser window of beta 5, whose Bessel function is its power series; scaled to unit gain
+bessel AS (SELECT i, list_sum(list_transform(range(0, 26), lambda k: (2.5 * sqrt(1 - (i / 40.0::DOUBLE) ** 2)) ** (2 * k) / factorial(k::INT)::DOUBLE ** 2)) AS w FROM range(-40, 41) t(i)),
+raw AS (SELECT i, w * CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE sin(pi() * i / 4) / (pi() * i / 4) END AS h FROM bessel), taps AS (SELECT list(h / total ORDER BY i) AS h FROM raw, (SELECT sum(h) AS total FROM raw))
 SELECT outs.session, o // 4 AS k, round(sum(pos.x * h[(o - pos.ps + 41)::INTEGER]), 4) + 0.0 AS y FROM outs JOIN pos ON pos.session = outs.session
   AND pos.ps BETWEEN o - 40 AND o + 40, taps GROUP BY outs.session, o""")
 def _(s):
-    d = sg.decimate(_sig(s), 4, L)
+    d = sg.decimate(_sig(s, all_blocks=True), 4, L)
     return d.select("session", F.posexplode("samples").alias("_i", "y"), "first").select(
         "session", (F.col("first") + F.col("_i")).alias("k"), (F.round(F.col("y").cast("double"), 4) + 0.0).alias("y"))
 
@@ -218,15 +221,15 @@ def _clip_signal(s):
 
 
 _BEAT = """cs AS (SELECT clip_id, flatten(list(samples::DOUBLE[] ORDER BY w_idx)) AS x FROM window_v GROUP BY clip_id),
-c1 AS (SELECT *, list_median(x) AS med FROM cs), c2 AS (SELECT clip_id, x, list_median(list_transform(x, lambda v: abs(v - med))) AS mad, list_transform(x, lambda v: abs(v)) AS a FROM c1),
-pk AS (SELECT clip_id, list_filter(range(1, len(a) - 1), lambda i: a[i + 1] >= 1.0 * mad AND a[i + 1] > a[i] AND a[i + 1] >= a[i + 2]) AS p FROM c2),
+c1 AS (SELECT *, list_median(x) AS med FROM cs), c2 AS (SELECT clip_id, x, list_median(list_transform(x, lambda v: abs(v - med))) AS mad, list_transform(x, lambda v: abs(v - med)) AS a FROM c1),
+pk AS (SELECT clip_id, list_filter(range(1, len(a) - 1), lambda i: a[i + 1] >= 4.0 * mad AND a[i + 1] > a[i] AND a[i + 1] >= a[i + 2]) AS p FROM c2),
 kept AS (SELECT clip_id, list_reduce(p, lambda acc, i: CASE WHEN len(acc) = 0 OR i - acc[-1] >= 12 THEN list_append(acc, i) ELSE acc END, []::BIGINT[]) AS p FROM pk),
 rr AS (SELECT clip_id, p, list_filter(list_transform(range(1, len(p)), lambda i: (p[i + 1] - p[i]) / 125.0::DOUBLE), lambda r: r > 0.08 AND r < 0.5) AS r FROM kept),
 beats AS (SELECT clip_id, CASE WHEN len(p) >= 5 AND len(r) >= 4 THEN 1.0 / list_median(r) END AS rate, CASE WHEN len(p) >= 5 AND len(r) >= 4 THEN list_stddev_pop(r) / list_avg(r) END AS cv FROM rr)"""
 
 
 def _beats(s):
-    return sg.beat_stats(sg.window_usability(_clip_signal(s)), 125.0, mad_factor=1.0)
+    return sg.beat_stats(sg.window_usability(_clip_signal(s)), 125.0)
 
 
 @query("beat_stats", f"WITH {_BEAT} SELECT clip_id, round(rate, 6) AS rate, round(cv, 6) AS cv FROM beats", ("window_v",))

@@ -36,7 +36,7 @@ def normalise_sheet(sheet: DataFrame, day: str | None = None, order: str | None
 
     A unit row ("[s]" under a header) has no parsable start. Missing labels become
     "Unknown", missing or non-numeric durations 30 s, and a missing end is start plus
-    duration. ``reason`` is ok, no_start or unit_row.
+    duration. ``reason`` is ok, no_start, no_day (a bare clock without its day) or unit_row.
     """
     cols = resolve_headers([c for c in sheet.columns if c not in (day, order)])
     if cols["start"] is None:
@@ -53,7 +53,7 @@ def normalise_sheet(sheet: DataFrame, day: str | None = None, order: str | None
         F.coalesce(F.nullif(F.trim(get("label").cast("string")), F.lit("")), F.lit(DEFAULT_LABEL)).alias("label"),
         duration.alias("duration"), start.alias("start"), F.coalesce(end, start + span).alias("end"),
         F.coalesce(get("spikes").cast("string").try_cast("int"), F.lit(0)).alias("spikes"),
-        F.when(raw.isNull() | (raw == ""), "no_start").when(start.isNull(), "unit_row").otherwise("ok").alias("reason"),
+        F.when(raw.isNull() | (raw == ""), "no_start").when(start.isNull() & raw.rlike(r"^\d{1,2}:\d{2}:\d{2}$"), "no_day").when(start.isNull(), "unit_row").otherwise("ok").alias("reason"),
     )
 
 
