@@ -114,3 +114,11 @@ def test_asof_past_the_end_takes_the_last_value(spark):
     assert got == {0.0: 0.5, 5.0: 0.5, 10.0: 0.7, 11.0: 0.7}
     top = {r["t"]: r["p"] for r in ev.fuse(left, right, "or").collect()}
     assert top[11.0] == 0.7 and ev.fuse(left, right, "and").agg(F.max("p")).collect()[0][0] == 0.0
+
+
+def test_match_takes_overlapping_detections(spark):
+    """Five overlapping detections and five truths all find a partner; equal starts are told apart by their ends."""
+    det = spark.createDataFrame([("s", "v", 0.5, float(k), 100.0 + k) for k in range(4)] + [("s", "v", 0.5, 0.0, 101.0)], "session string, modality string, thr double, t_start double, t_end double")
+    gt = spark.createDataFrame([("s", k, 0.0, 100.0 + k / 10) for k in range(5)], "session string, truth_id long, t_start double, t_end double")
+    rows = ev.match_events(det, gt, 0.3).collect()
+    assert len(rows) == 5 and len({(r["t_start"], r["t_end"]) for r in rows}) == 5
