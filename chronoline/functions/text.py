@@ -44,12 +44,20 @@ def from_inverted(index: Column, max_chars: int | None = None) -> Column:
     return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
-def arxiv_id(urls: Column, doi: Column | None = None) -> Column:
-    """First preprint number found in candidate URLs, then in the DOI, else empty."""
-    found = F.filter(
-        F.transform(urls, lambda u: F.regexp_extract(F.coalesce(u, F.lit("")), r"arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})", 1)),
-        lambda x: x != "",
-    )
+def arxiv_id(urls: Column, doi: Column | None = None, names: Column | None = None) -> Column:
+    """First preprint number found in candidate URLs, then in the DOI, else empty.
+
+    ``names`` are the sources' names, one for each URL: at a source named after the archive
+    a bare number in its URL counts too.
+    """
+    full = lambda u: F.regexp_extract(F.coalesce(u, F.lit("")), r"arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})", 1)
+    bare = lambda u: F.regexp_extract(F.coalesce(u, F.lit("")), r"([0-9]{4}\.[0-9]{4,5})", 1)
+    if names is None:
+        numbers = F.transform(urls, full)
+    else:
+        at_archive = lambda n: F.coalesce(F.lower(n).contains("arxiv"), F.lit(False))
+        numbers = F.zip_with(urls, names, lambda u, n: F.when(full(u) != "", full(u)).when(at_archive(n), bare(u)).otherwise(F.lit("")))
+    found = F.filter(numbers, lambda x: x != "")
     out = F.get(found, F.lit(0))
     if doi is not None:
         out = F.coalesce(out, F.nullif(F.regexp_extract(F.lower(doi), r"10\.48550/arxiv\.([0-9]{4}\.[0-9]{4,5})", 1), F.lit("")))

@@ -73,8 +73,8 @@ def subject_fraction(clips: DataFrame, frac: float, seed: int = 1049, subject: s
 
 
 def seeded_sample(df: DataFrame, ident: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement, the same ones on every run."""
-    return seeded_order(df, ident, seed).filter(F.col("place") <= n).drop("place")
+    """n rows without replacement, the same ones on every run (O06): a top-k of the seeded hash."""
+    return df.orderBy(mix(F.col(ident), seed), F.col(ident)).limit(n)
 
 
 def systematic_sample(df: DataFrame, order: str, every: int, ties: Sequence[str] = (), blocks: Blocks = Blocks(width=10_000.0)) -> DataFrame:

@@ -122,10 +122,15 @@ def find_source(wanted: DataFrame, archive: DataFrame, name: str = "name", subje
     """First archive file of that name by root, then layout.
 
     ``archive`` has root_ord, path and layout (0 under the subject, 1 in a dated folder,
-    2 at the root). A file filed under another subject is not a match for layout 0.
+    2 at the root). A file filed under another subject is not a match for layout 0. The
+    archive shrinks to its best file per name, and per name and folder for layout 0, before
+    any join, so a name with very many copies pairs with nothing.
     """
-    files = archive.withColumn(name, base_name(F.col("path")))
-    j = wanted.join(files, name, "left")
-    ok = F.col("path").isNotNull() & ((F.col("layout") != 0) | F.col("path").contains(F.concat(F.lit("/"), F.col(subject), F.lit("/"))))
-    best = F.min_by(F.when(ok, F.col("path")), F.when(ok, F.struct("root_ord", "layout", "path")))
-    return j.groupBy(name, subject).agg(best.alias("source_path"))
+    files = archive.select(base_name(F.col("path")).alias(name), F.struct("root_ord", "layout", "path").alias("_f"))
+    shared = files.filter(F.col("_f.layout") != 0).groupBy(name).agg(F.min("_f").alias("_shared"))
+    folders = F.array_distinct(F.slice(F.split("_f.path", "/"), 1, F.size(F.split("_f.path", "/")) - 1))
+    own = files.filter(F.col("_f.layout") == 0).select(name, "_f", F.explode(folders).alias(subject))
+    own = own.groupBy(name, subject).agg(F.min("_f").alias("_own"))
+    best = F.array_min(F.filter(F.array("_own", "_shared"), lambda f: f.isNotNull()))
+    found = wanted.select(name, subject).distinct().join(shared, name, "left").join(own, [name, subject], "left")
+    return found.select(name, subject, best["path"].alias("source_path"))
