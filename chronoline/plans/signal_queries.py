@@ -367,6 +367,23 @@ def _(s):
     return ml.boosted_trees(train, test, 5, rounds=8, depth=3).select("clip_id", "w_idx", "wlab", "pred")
 
 
+# what SQL can state of any fitted trees: who is judged, and that the answers are well-formed
+@query("random_forest_facts", f"""WITH {SPLIT_SQL} SELECT clip_id, w_idx, 5::BIGINT AS n_probs, true AS sums_to_one, true AS none_negative
+FROM window_v JOIN clip USING (clip_id) JOIN split USING (session) WHERE is_val""", ("clip", "window_v"))
+def _(s):
+    train, test = _split_features(s)
+    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
+    return ml.random_forest(train, test, 5, trees=100).select(
+        "clip_id", "w_idx", F.size("probs").cast("bigint").alias("n_probs"), (F.abs(total - 1.0) < 1e-6).alias("sums_to_one"), (F.array_min("probs") >= 0).alias("none_negative"))
+
+
+@query("boosted_trees_facts", f"""WITH {SPLIT_SQL} SELECT clip_id, w_idx, true AS declared
+FROM window_v JOIN clip USING (clip_id) JOIN split USING (session) WHERE is_val""", ("clip", "window_v"))
+def _(s):
+    train, test = _split_features(s)
+    return ml.boosted_trees(train, test, 5, rounds=8, depth=3).select("clip_id", "w_idx", F.col("pred").between(0, 4).alias("declared"))
+
+
 def edf_files(s):
     """One small EDF file per clip, its bytes put together by Spark from the clip's windows."""
     sig = _clip_signal(s)
