@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from chronoline.functions.paths import base_name, clip_class, clip_dir, session_of, subject_of
 
 
-def list_sessions(files: DataFrame, with_sheet: bool = False) -> DataFrame:
-    """Session folders, optionally only those holding an annotation sheet."""
+def list_sessions(files: DataFrame, with_sheet: bool = False, sheet: str = r"\.(xlsx|csv)$") -> DataFrame:
+    """Session folders, optionally only those holding a file whose name matches ``sheet``."""
     s = files.withColumn("session_key", session_of(clip_dir(F.col("path"))))
     if with_sheet:
-        return s.groupBy("session_key").agg(F.count_if(base_name(F.col("path")) == "info.txt").alias("_n"), F.count(F.lit(1)).alias("files")).filter("_n > 0").drop("_n")
+        return s.groupBy("session_key").agg(F.count_if(base_name(F.col("path")).rlike(sheet)).alias("_n"), F.count(F.lit(1)).alias("files")).filter("_n > 0").drop("_n")
     return s.groupBy("session_key").agg(F.count(F.lit(1)).alias("files"))
 
 

@@ -139,6 +139,9 @@ def cover_join(
     The first recording in start order with an end beyond the point is always one
     that raises the running maximum of ends, so the lookup is one as-of pass over
     those, and the cover test is left to a comparison. No pairs are formed.
+
+    ``how`` is left, inner, or first: points that nothing covers then take the first
+    recording of their keys.
     """
     rec = settle(leading_records(recordings, "t_start", "t_end", keys, ties, blocks))
     fields = list(dict.fromkeys(["t_start", "t_end", *values]))
@@ -150,7 +153,15 @@ def cover_join(
         F.when(covered, F.col("next.t_end")).alias("rec_end"),
         *[F.when(covered, F.col(f"next.{v}")).alias(v) for v in values],
     )
-    return out if how == "left" else out.filter(F.col("rec_start").isNotNull())
+    if how == "first":
+        start = recordings.groupBy(*keys).agg(F.min_by(
+            F.struct("t_start", "t_end", *values), F.struct("t_start", *ties)
+        ).alias("_first"))
+        pick = lambda c, f: F.when(F.col("rec_start").isNotNull(), F.col(c)).otherwise(F.col(f"_first.{f}")).alias(c)
+        out = out.join(start, list(keys), "left").select(
+            *points.columns, pick("rec_start", "t_start"), pick("rec_end", "t_end"), *[pick(v, v) for v in values],
+        )
+    return out.filter(F.col("rec_start").isNotNull()) if how == "inner" else out
 
 
 def nearest_recording(

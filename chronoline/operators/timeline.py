@@ -68,6 +68,21 @@ def session_qc(recordings: DataFrame, annotations: DataFrame, keys: Sequence[str
     )
 
 
+def recording_length(
+    files: DataFrame, start: str = "t_start", frames: str = "frames", fps: str = "fps", default_fps: float = 15.0
+) -> DataFrame:
+    """Length and end of each file from its frames, and why a file is not usable.
+
+    A missing or zero rate counts as ``default_fps``. ``reason`` is ok, no_start or unreadable
+    (no frames); the length and end of a file that is not ok are null.
+    """
+    reason = F.when(F.col(start).isNull(), "no_start").when(F.coalesce(F.col(frames), F.lit(0)) <= 0, "unreadable").otherwise("ok")
+    rate = F.coalesce(F.when(F.col(fps) > 0, F.col(fps)), F.lit(default_fps))
+    return files.withColumn("reason", reason).withColumn(
+        "dur_s", F.when(F.col("reason") == "ok", F.col(frames) / rate)
+    ).withColumn("t_end", F.col(start) + F.col("dur_s"))
+
+
 def recorded_hours(recordings: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
     """Hours of usable recordings, and how many files had no length."""
     return recordings.groupBy(*keys).agg(

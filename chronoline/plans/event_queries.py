@@ -274,6 +274,13 @@ def _(s):
     return _round(iv.cover_join(s.annotation, s.recording_iv, blocks=BLOCKS).select("idx", "path", "rec_start"), "rec_start")
 
 
+@query("cover_or_first", """
+SELECT idx, path FROM (SELECT p.idx, r.path, row_number() OVER (PARTITION BY p.idx ORDER BY (r.t_start <= p.t_start AND p.t_start < r.t_end) DESC, r.t_start, r.path) AS rn
+  FROM annotation p LEFT JOIN recording_iv r ON r.session = p.session) WHERE rn = 1""", ("annotation", "recording_iv"))
+def _(s):
+    return iv.cover_join(s.annotation, s.recording_iv, how="first", blocks=BLOCKS).select("idx", "path")
+
+
 @query("window_coverage", """
 SELECT session, modality, round(t, 6) AS t, path FROM (
   SELECT w.session, w.modality, w.t, r.path, row_number() OVER (PARTITION BY w.session, w.modality, w.t ORDER BY r.t_start, r.path) AS rn
@@ -460,6 +467,19 @@ def _(s):
     return _round(timeline.recorded_hours(s.recording), "hours")
 
 
+@query("recording_length", """
+WITH f AS (SELECT session, path, CASE WHEN file_no % 7 = 3 THEN NULL ELSE t_start END AS t_start, (file_no % 5) * 300 AS frames, CASE WHEN file_no % 3 = 0 THEN 0.0 ELSE 25.0 END AS fps
+  FROM (SELECT *, length(path) + round(t_start)::BIGINT AS file_no FROM recording))
+SELECT session, path, CASE WHEN t_start IS NULL THEN 'no_start' WHEN frames <= 0 THEN 'unreadable' ELSE 'ok' END AS reason,
+  round(CASE WHEN t_start IS NOT NULL AND frames > 0 THEN frames / (CASE WHEN fps > 0 THEN fps ELSE 15.0 END)::DOUBLE END, 6) AS dur_s FROM f""", ("recording",))
+def _(s):
+    no = F.length("path") + F.round("t_start").cast("bigint")
+    files = s.recording.select(
+        "session", "path", F.when(no % 7 != 3, F.col("t_start")).alias("t_start"), ((no % 5) * 300).alias("frames"), F.when(no % 3 == 0, 0.0).otherwise(25.0).alias("fps"),
+    )
+    return _round(timeline.recording_length(files).select("session", "path", "reason", "dur_s"), "dur_s")
+
+
 @query("session_documents",
        f"WITH {det_sql()}, {MATCH_SQL}, {SCORE_SQL.format(vals=values(ev.THRESHOLDS))}, q AS (SELECT session, count(*) AS n_recordings FROM recording GROUP BY session) "
        "SELECT q.session, n_recordings, count(s.thr) AS sweep_rows, coalesce(sum(s.tp), 0)::BIGINT AS tp FROM q LEFT JOIN scored s ON s.session = q.session GROUP BY q.session, n_recordings",

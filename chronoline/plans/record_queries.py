@@ -46,7 +46,7 @@ def _(s):
 
 @query("list_sessions_with_sheet", f"WITH {_SES} SELECT session_key, count(*) AS files FROM ses GROUP BY session_key HAVING count(*) FILTER (path LIKE '%/info.txt') > 0", ("manifest",))
 def _(s):
-    return co.list_sessions(s.manifest, with_sheet=True)
+    return co.list_sessions(s.manifest, with_sheet=True, sheet=r"^info\.txt$")  # the stand-in files have no sheets
 
 
 @query("distinct_files", "SELECT path, max(length) AS length FROM (SELECT * FROM manifest UNION ALL SELECT * FROM manifest) GROUP BY path", ("manifest",))

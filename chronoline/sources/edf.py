@@ -55,6 +55,9 @@ def _open(path: str):
 
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
+    for scheme in ("s3a://", "s3n://"):  # Spark's names of the store
+        if path.startswith(scheme):
+            path = "s3://" + path[len(scheme):]
     system, where = fs.FileSystem.from_uri(path)
     return system.open_input_file(where)
 

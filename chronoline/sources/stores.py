@@ -11,12 +11,19 @@ from chronoline.operators.blocks import BLK, Run, carry_over
 from chronoline.session import settle
 
 
-def read_manifest(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Every file below a root: path, length, modification time; content is never read."""
+def read_manifest(spark: SparkSession, root: str, glob: str | None = None, depth: int | None = None) -> DataFrame:
+    """Every file below a root: path, length, modification time; content is never read.
+
+    ``depth`` is the number of folders between the root and a file, at most; no bound if not given.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(root).select("path", "length", F.col("modificationTime").alias("modified")).dropDuplicates(["path"])
+    files = reader.load(root).select("path", "length", F.col("modificationTime").alias("modified")).dropDuplicates(["path"])
+    if depth is None:
+        return files
+    below = F.regexp_replace(F.substring_index("path", root.rstrip("/").rsplit(":", 1)[-1].rstrip("/") + "/", -1), r"/+", "/")
+    return files.filter(F.size(F.split(below, "/")) - 1 <= depth)
 
 
 def read_windows(spark: SparkSession, path: str, optional: Sequence[str] = ("clip_path",)) -> DataFrame:
