@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from chronoline.functions import paths as pt, text as tx, timefmt as tf
@@ -12,7 +10,7 @@ from chronoline.operators import cohort as co, records as rc
 from chronoline.plans.catalog import query, values
 from chronoline.plans.event_queries import GAP, MIN_DUR, WIN, _round, det_sql, r6s
 from chronoline.operators import events as ev
-from chronoline.session import checkpoint_dir
+from chronoline.session import scratch_path
 from chronoline.sources import sheets, sidecars, stores
 from chronoline.streaming import events as st
 
@@ -395,20 +393,23 @@ def _(s):
 # ---- streams ---------------------------------------------------------------
 
 def _sink(s) -> tuple[str, str]:
-    base = f"{checkpoint_dir(s.spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch_path(s.spark)
     return f"{base}/out", f"{base}/state"
 
 
-@query("stream_events", f"WITH {det_sql()}, m AS (SELECT max(t) AS hi FROM trace) SELECT session, modality, thr, {r6s('t_start', 't_end', 'peak')}, n_hits FROM det, m "
-       f"WHERE t_end + {GAP} <= floor((hi - 60.0) * 1000) / 1000", ("trace",))
+@query("stream_events", f"WITH {det_sql()} SELECT session, modality, thr, {r6s('t_start', 't_end', 'peak')}, n_hits FROM det", ("trace",))
 def _(s):
-    e = s.spark.readStream.schema(s.events.schema).option("pathGlobFilter", "events.parquet").parquet(s.sf_dir)
-    scores = e.select(F.col("user_id").alias("session"), F.when(F.col("event_id") % 2 == 0, "video").otherwise("eeg").alias("modality"),
-                      F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / (F.col("value") + 50.0)).alias("p"))
+    def scores(e):
+        return e.select(F.col("user_id").alias("session"), F.when(F.col("event_id") % 2 == 0, "video").otherwise("eeg").alias("modality"),
+                        F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / (F.col("value") + 50.0)).alias("p"))
+
     out, state = _sink(s)
-    stream = st.stream_events(scores, ev.THRESHOLDS, WIN, MIN_DUR, GAP)
+    source = s.spark.readStream.schema(s.events.schema).option("pathGlobFilter", "events.parquet").parquet(s.sf_dir)
+    stream = st.stream_events(scores(source), ev.THRESHOLDS, WIN, MIN_DUR, GAP)
     st.drain(stream, out, state)
-    return _round(s.spark.read.schema(stream.schema).parquet(out), "t_start", "t_end", "peak")
+    closed = s.spark.read.schema(stream.schema).parquet(out)
+    rest = st.open_events(scores(s.events), closed, ev.THRESHOLDS, WIN, MIN_DUR, GAP)
+    return _round(closed.unionByName(rest), "t_start", "t_end", "peak")
 
 
 @query("stream_new_sessions", f"WITH {_SES} SELECT DISTINCT session_key FROM ses", ("manifest",))
@@ -419,3 +420,18 @@ def _(s):
     out, state = _sink(s)
     st.drain(stream, out, state)
     return s.spark.read.schema(stream.schema).parquet(out)
+
+
+@query("window_store", "SELECT clip_id, w_idx, wlab, true AS without_path FROM window_v", ("window_v",))
+def _(s):
+    path = scratch_path(s.spark)
+    s.window_v.write.parquet(path)
+    return stores.read_windows(s.spark, path).select("clip_id", "w_idx", "wlab", F.col("clip_path").isNull().alias("without_path"))
+
+
+@query("prediction_store", "SELECT run_id, clip, y, pred, true AS without_part FROM prediction WHERE run_id <= 2", ("prediction",))
+def _(s):
+    path = scratch_path(s.spark)
+    s.prediction.write.partitionBy("run_id").parquet(path)
+    kept = stores.read_predictions(s.spark, path, ("path", "sub", "part")).filter("run_id <= 2")  # prunes the store's folders
+    return kept.select(F.col("run_id").cast(s.prediction.schema["run_id"].dataType).alias("run_id"), "clip", "y", "pred", F.col("part").isNull().alias("without_part"))

@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, functions as F
 from chronoline.operators.events import THRESHOLDS, threshold_array
 
 
+def _hits(scores: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    return scores.withColumn("thr", F.explode(F.filter(threshold_array(thresholds), lambda x: x <= F.col("p"))))
+
+
+def _sessions(hits: DataFrame, win: float, min_dur: float, merge_gap: float, keys: Sequence[str], ts: str) -> DataFrame:
+    gap = f"{int(round((win + merge_gap) * 1e6))} microseconds"
+    seconds = lambda c: F.unix_micros(c) / F.lit(1e6)
+    events = hits.groupBy(*keys, "thr", F.session_window(ts, gap)).agg(
+        seconds(F.min(ts)).alias("t_start"), (seconds(F.max(ts)) + F.lit(win)).alias("t_end"), F.max("p").alias("peak"), F.count(F.lit(1)).alias("n_hits")
+    )
+    return events.filter(F.col("t_end") - F.col("t_start") >= F.lit(min_dur)).select(*keys, "thr", "t_start", "t_end", "peak", "n_hits")
+
+
 def stream_events(
     scores: DataFrame, thresholds: Sequence[float] = THRESHOLDS, win: float = 4.0, min_dur: float = 4.0, merge_gap: float = 4.0,
     watermark: str = "1 minute", keys: Sequence[str] = ("session", "modality"), ts: str = "ts",
@@ -16,17 +29,21 @@ def stream_events(
     """Closed events of a score stream with columns keys, ts (timestamp) and p.
 
     Session windows join hits whose distance is at most the gap, as the batch operator
-    does. Rows later than the watermark are dropped.
+    does. Rows later than the watermark are dropped. Events that the watermark has not
+    closed when a source ends come from :func:`open_events`.
     """
-    hits = scores.withWatermark(ts, watermark).withColumn(
-        "thr", F.explode(F.filter(threshold_array(thresholds), lambda x: x <= F.col("p")))
-    )
-    gap = f"{int(round((win + merge_gap) * 1e6))} microseconds"
-    seconds = lambda c: F.unix_micros(c) / F.lit(1e6)
-    events = hits.groupBy(*keys, "thr", F.session_window(ts, gap)).agg(
-        seconds(F.min(ts)).alias("t_start"), (seconds(F.max(ts)) + F.lit(win)).alias("t_end"), F.max("p").alias("peak"), F.count(F.lit(1)).alias("n_hits")
-    )
-    return events.filter(F.col("t_end") - F.col("t_start") >= F.lit(min_dur)).select(*keys, "thr", "t_start", "t_end", "peak", "n_hits")
+    return _sessions(_hits(scores.withWatermark(ts, watermark), thresholds), win, min_dur, merge_gap, keys, ts)
+
+
+def open_events(
+    scores: DataFrame, emitted: DataFrame, thresholds: Sequence[float] = THRESHOLDS, win: float = 4.0, min_dur: float = 4.0,
+    merge_gap: float = 4.0, keys: Sequence[str] = ("session", "modality"), ts: str = "ts",
+) -> DataFrame:
+    """Events still open when a drained stream ends: a batch pass over the hits after the last closed ones."""
+    closed = emitted.groupBy(*keys, "thr").agg(F.max("t_end").alias("_closed"))
+    hits = _hits(scores, thresholds).join(closed, [*keys, "thr"], "left")
+    after = F.col("_closed").isNull() | (F.unix_micros(ts) / F.lit(1e6) + F.lit(win) > F.col("_closed"))
+    return _sessions(hits.filter(after), win, min_dur, merge_gap, keys, ts)
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
