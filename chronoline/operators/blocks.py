@@ -22,6 +22,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from chronoline.session import settle
+
 BLK = "_blk"
 
 
@@ -39,6 +41,8 @@ DAILY = Blocks()
 # block numbers are integers: a floating-point key would be normalised in every
 # exchange and hide that two of them agree. The low bits number the parts of a block.
 _PARTS = 1 << 20
+# hot blocks that may be broadcast
+MAX_LISTED = 100_000
 
 
 def _base(t: Column, blocks: Blocks) -> Column:
@@ -46,7 +50,11 @@ def _base(t: Column, blocks: Blocks) -> Column:
 
 
 def hot_blocks(frames: Sequence[tuple[DataFrame, str]], keys: Sequence[str], blocks: Blocks):
-    """Blocks holding more than ``hot_rows`` rows over all frames, with a part count."""
+    """Blocks holding more than ``hot_rows`` rows over all frames, with a part count; None if there are none.
+
+    Counted once, here: without hot blocks, the usual case, later plans read their input for
+    its rows alone. A list of at most ``MAX_LISTED`` blocks is broadcast, a longer one joined.
+    """
     if blocks.hot_rows is None:
         return None
     counts = [
@@ -56,9 +64,13 @@ def hot_blocks(frames: Sequence[tuple[DataFrame, str]], keys: Sequence[str], blo
     merged = reduce(DataFrame.unionByName, counts)
     if len(counts) > 1:
         merged = merged.groupBy(*keys, BLK).agg(F.sum("_n").alias("_n"))
-    return merged.filter(F.col("_n") > blocks.hot_rows).select(
+    hot = merged.filter(F.col("_n") > blocks.hot_rows).select(
         *keys, BLK, F.least(F.ceil(F.col("_n") / F.lit(blocks.hot_rows)), F.lit(_PARTS)).cast("double").alias("_parts")
     )
+    rows = hot.limit(MAX_LISTED + 1).collect()
+    if not rows:
+        return None
+    return F.broadcast(hot.sparkSession.createDataFrame(rows, hot.schema)) if len(rows) <= MAX_LISTED else settle(hot)
 
 
 def assign(df: DataFrame, keys: Sequence[str], t: str, blocks: Blocks, hot: DataFrame | None) -> DataFrame:
@@ -70,7 +82,7 @@ def assign(df: DataFrame, keys: Sequence[str], t: str, blocks: Blocks, hot: Data
     nth = F.least(F.floor((x - F.floor(x)) * F.col("_parts")), F.col("_parts") - 1)
     part = F.floor(nth * F.lit(float(_PARTS)) / F.col("_parts")).cast("bigint")
     return (
-        df.join(F.broadcast(hot), [*keys, BLK], "left")
+        df.join(hot, [*keys, BLK], "left")
         .withColumn(BLK, F.col(BLK) + F.coalesce(part, F.lit(0)))
         .drop("_parts")
     )
