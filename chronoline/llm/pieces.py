@@ -29,9 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bound of a worker's memory of words and pairs, and the longest word that is remembered.
-WORDS_KEPT, PAIRS_KEPT, LONG_WORD = 80_000, 200_000, 48
+WORDS_KEPT, PAIRS_KEPT, LONG_WORD = 50_000, 150_000, 48
 
-_LOADED: dict[int, "Pieces"] = {}
 _SPLIT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -195,22 +194,13 @@ class Pieces:
         return raw.removeprefix(b" ").decode(errors="replace")
 
 
-def load(proto: bytes) -> Pieces:
-    """One set of pieces for a worker process, kept between its tasks."""
-    key = hash(proto)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Pieces(proto)
-    return _LOADED[key]
-
-
 def read_model(path: str = MODEL) -> bytes:
     with open(path, "rb") as f:
         return f.read()
 
 
 #: Bytes of text that share one sorted walk.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def _groups(texts: pa.Array):
@@ -241,7 +231,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids")
     kept = [c for c in docs.columns if c != ids or c == text]
 
     def run(batches):
-        pieces = load(model)
+        pieces = Pieces(model)  # for one task: workers live on and would keep it
         for b in batches:
             # a batch for each group of texts, so ids don't pile up
             for first, texts in _groups(b.column(text)):
@@ -262,7 +252,7 @@ def encode_and_check(docs: DataFrame, model: bytes, text: str = "text", ids: str
     kept = [c for c in docs.columns if c not in (text, ids, same)]
 
     def run(batches):
-        pieces = load(model)
+        pieces = Pieces(model)  # for one task: workers live on and would keep it
         for b in batches:
             for first, texts in _groups(b.column(text)):
                 part = b.slice(first, len(texts))
@@ -282,7 +272,7 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded
     kept = [c for c in docs.columns if c != text]
 
     def run(batches):
-        pieces = load(model)
+        pieces = Pieces(model)  # for one task: workers live on and would keep it
         for b in batches:
             column = b.column(ids)
             flat, offsets = np.asarray(column.values), np.asarray(column.offsets)
