@@ -22,7 +22,7 @@ def test_sheet_headers_units_and_defaults(spark, tmp_path):
     assert a["label"] == "Stage 3" and str(a["end"]) == "2024-01-01 10:00:12.500000" and a["spikes"] == 4
     b = by["2024-01-01 11:00:00.500000"]
     assert b["label"] == "Unknown" and b["duration"] == 30.0 and str(b["end"]) == "2024-01-01 11:02:00"
-    assert sorted(r["reason"] for r in rows) == ["no_start", "ok", "ok", "unit_row", "unit_row"]
+    assert sorted(r["reason"] for r in rows) == ["no_day", "no_start", "ok", "ok", "unit_row"]
     day = spark.createDataFrame([("10:30:00", "2024-05-06")], "start string, day string")
     assert str(sheets.normalise_sheet(day, "day").collect()[0]["start"]) == "2024-05-06 10:30:00"
     with pytest.raises(ValueError):
