@@ -25,6 +25,8 @@ from chronoline.llm.common import WORD
 MAX_SOURCES, MAX_CELLS = 100_000, 8_000_000
 #: Documents in one leaf window, about.
 LEAF_ROWS = 1500
+#: Output shards.
+SHARDS = 64
 #: Weights by the sources' order, repeating.
 WEIGHTS = (3, 1, 2)
 
@@ -78,7 +80,7 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = 1.5, most: int = 2, shards: int = 64, seed: int = 7, ident: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = 1.5, most: int = 2, shards: int = SHARDS, seed: int = 7, ident: str = "doc_id") -> DataFrame:
     """All rows and columns of ``docs`` with size, source_size, target, taken and pieces.
 
     ``docs`` has the id, ``text`` or a ``size`` column, and ``source``; sources are ordered by code
@@ -154,19 +156,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = 1.5
     )
 
 
+def deal(mixed: DataFrame, seed: int = 7, ident: str = "doc_id") -> DataFrame:
+    """One row per piece of a mix with its copy, words, shard and a local order within the shard."""
+    return (
+        mixed.drop("copy", "words", "shard", "shard_order")
+        .withColumn("_piece", F.explode("pieces"))
+        .withColumns({c: F.col(f"_piece.{c}") for c in ("copy", "words", "shard")})
+        .withColumn("shard_order", F.xxhash64(F.lit(seed), "shard", F.col(ident), "copy"))
+        .drop("_piece", "pieces")
+    )
+
+
 def mixed_texts(mixed: DataFrame, seed: int = 7, ident: str = "doc_id") -> DataFrame:
-    """One row per piece of a mix with its text, its shard and a local order within the shard.
+    """The pieces of ``deal`` with their texts.
 
     A whole read keeps the text as it is; the one that a source's target cuts short ends after
     its last taken word.
     """
-    each = mixed.withColumn("_piece", F.explode("pieces"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    head = F.array_join(F.slice(words, F.lit(1), F.col("_piece.words").cast("int")), "")
-    cut = F.col("_piece.words") < F.col("size")
-    return (
-        each.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
-        .withColumn("shard", F.col("_piece.shard"))
-        .withColumn("shard_order", F.xxhash64(F.lit(seed), "shard", F.col(ident), F.col("_piece.copy")))
-        .drop("_piece")
-    )
+    head = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")
+    return deal(mixed, seed, ident).withColumn("text", F.when(F.col("words") < F.col("size"), head).otherwise(F.col("text")))
+
+
+def in_shards(dealt: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The rows with one partition for each shard, in the shard's local order."""
+    return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard_order")

@@ -94,6 +94,15 @@ def op3_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+# the tree's draws are numpy's, beyond SQL; tests compare with its quotas
+@query("op3_mixing_shards")
+def op3_mixing_shards(spark, sf_dir):
+    """Where the same mix puts each read of a document: one partition for each shard, in its local order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    dealt = mixing.in_shards(mixing.deal(mixing.mix(settle(docs))))
+    return dealt.select("doc_id", "source", "copy", "words", "shard", "shard_order")
+
+
 # --- 5: URL filters ---------------------------------------------------------------------------
 
 HOST_RULES = [

@@ -57,8 +57,8 @@ def redacted(spark, docs, sf_dir):
 
 @_stage
 def mixed(spark, docs, sf_dir):
-    """Documents as a mix of the sources reads them: one row for each read."""
-    texts = mixing.mixed_texts(mixing.mix(docs.select(*COLUMNS), factor=FACTOR, most=MOST))
+    """Documents as a mix of the sources reads them: one row for each read, one ordered file for each shard."""
+    texts = mixing.in_shards(mixing.mixed_texts(mixing.mix(docs.select(*COLUMNS), factor=FACTOR, most=MOST)))
     return texts.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -70,3 +70,30 @@ def test_prefix_levels(spark, monkeypatch):
     whole = {r["doc_id"]: r["taken"] for r in M.mix(docs).collect()}
     monkeypatch.setattr(M, "LEAF_ROWS", 1)
     assert {r["doc_id"]: r["taken"] for r in M.mix(docs.where("doc_id < 3000")).collect()} == whole
+
+
+def test_shards_hold_the_trees_quotas_in_local_order(spark, tmp_path):
+    """The registered deal and the pipeline's files, shard by shard."""
+    import __spark_entry__ as entry
+    import corpus_pipeline as C
+
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(1 + k * 7 % 23)), "en", "stu"[k % 5 % 3], 0) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    dealt = [r.asDict() for r in entry.queries()["op3_mixing_shards"](spark, str(tmp_path)).collect()]
+    sizes = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in "stu"}
+    words = [int(np.floor(t + 0.5)) for t in M.targets(list(sizes.values()), list(M.WEIGHTS), 1.5, 2)]
+    width = max(1, -(-sum(words) // (64 * 256)))
+    quotas = M.split_quotas([-(-w // width) for w in words], 64, 7)
+    for k, s in enumerate(sizes):
+        for shard in range(64):
+            got = sum(r["words"] for r in dealt if r["source"] == s and r["shard"] == shard)
+            assert abs(got - width * quotas[k, shard]) <= 23 + width, (s, shard)
+    # the stage's files: one for each shard, its reads in the shard's order
+    C.mixed(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).write.parquet(str(tmp_path / "mixed"))
+    files = sorted((tmp_path / "mixed").glob("part-*"))
+    assert len(files) == 64
+    for shard, file in enumerate(files):
+        want = sorted((r for r in dealt if r["shard"] == shard), key=lambda r: r["shard_order"])
+        got = spark.read.parquet(str(file)).collect()
+        assert [(r["doc_id"], len(r["text"].split())) for r in got] == [(r["doc_id"], r["words"]) for r in want]
