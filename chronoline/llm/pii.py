@@ -5,8 +5,11 @@ long strings that mix letters and digits are the seeds. What stands before a see
 and the signs between, is a lexical pattern (``password|=``). Patterns and the identifier-like
 strings that follow them form a graph; Spark scores it in rounds: a pattern is as sure as the
 share of *all* its occurrences in the corpus, whatever follows, that lead to sure strings, and a
-string is as sure as its patterns make it together. Patterns of high confidence and enough
-support then mark the identifiers that follow them, also those that no seed rule knows.
+string is as sure as its patterns make it together. A pattern has support by the strings that are
+sure in the current round, so strings found through one pattern bring in others. What follows an
+accepted pattern is a string too, whatever its form: its other places in the corpus are looked up,
+and the graph is scored again until no pattern is added. Accepted patterns then mark the whole
+token behind them, with or without a digit and of any length.
 
 Counts cover every text. Tasks send sums, so a word that stands before a third of all tokens is a
 few rows. The accepted patterns are a lexicon: their number is checked before they are shipped.
@@ -24,12 +27,19 @@ from pyspark.sql import DataFrame, functions as F
 from chronoline.session import settle
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: A pattern is accepted from this confidence on, with so many different seeds at least.
+#: A pattern is accepted from this confidence on, with so many different sure strings at least;
+#: the graph is scored in so many rounds at least.
 CONFIDENCE, SUPPORT, ROUNDS = 0.5, 3, 3
+#: Confidences that move less than this between two rounds, all together, stand still.
+STILL = 0.01
 #: Bound of the accepted patterns.
 MAX_PATTERNS = 1_000_000
 #: Entries that a task gathers before it sends them.
 HELD = 200_000
+#: Bits of the sieve that finds strings again; what it lets through is joined exactly.
+SIEVE = 1 << 24
+#: Texts without any of the patterns' words are passed over if there are so many words at most.
+FEW_WORDS = 64
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match begins where its digits do: looking back keeps long runs of digits or letters linear
@@ -43,6 +53,8 @@ _ACCESS = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
 _PART = re.compile(r"[A-Za-z0-9_+/.-]+")
 _BEFORE = re.compile(r"([^\W\d_]+)(\W{1,8})\Z")
 _ANY = re.compile(r"(?<![^\W\d_])[^\W\d_]++\W{1,8}(?=\w)")
+#: A whole token, whatever its form.
+_TOKEN = re.compile(r"[^\s\"'`<>()\[\]{},;&|]+")
 
 
 def luhn(digits: str) -> bool:
@@ -165,34 +177,130 @@ def _key(s: str) -> int:
     return zlib.crc32(raw) << 31 | zlib.adler32(raw) & 0x7FFFFFFF
 
 
-def learn_patterns(docs: DataFrame, text: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> list[str]:
-    """The lexical patterns that the graph of all texts makes sure of."""
-    found = settle(_edges(docs, text))
-    totals = found.where("string IS NULL").select("pattern", F.col("n").alias("total"))
-    edges = found.where("string IS NOT NULL")
-    seeded = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds")).where(F.col("seeds") >= support)
-    edges = settle(edges.join(seeded, "pattern").join(totals, "pattern", "left"))
+def _token(t: str, start: int) -> int:
+    """The end of the whole token that begins at a word character; closing punctuation is not part of it."""
+    end = _TOKEN.match(t, start).end()
+    while t[end - 1] in ".:!?+/-":
+        end -= 1
+    return end
+
+
+def words_of(known: frozenset[str]) -> list[str] | None:
+    """The patterns' words, or None if they are too many to look for one by one."""
+    words = {p.partition("|")[0] for p in known}
+    return sorted(words) if len(words) <= FEW_WORDS else None
+
+
+def behind(t: str, known: frozenset[str], words: list[str] | None) -> list[tuple[int, int]]:
+    """(start, end) of the whole tokens that follow the patterns."""
+    if not known or not t or words is not None and not any(w in low for low in [t.lower()] for w in words):
+        return []
+    starts = (m.end() for m in _ANY.finditer(t))
+    return [(a, _token(t, a)) for a in starts if pattern(t, a) in known]
+
+
+def _keys_behind(docs: DataFrame, text: str, known: frozenset[str]) -> DataFrame:
+    """(string): the distinct whole tokens that follow the patterns."""
+    words = words_of(known)
+
+    def run(batches):
+        held: set = set()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held.update(_key(t[a:e]) for a, e in behind(t, known, words))
+                if len(held) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], ["string"])
+                    held.clear()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], ["string"])
+
+    return docs.select(text).mapInArrow(run, "string long").distinct()
+
+
+def _found_again(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
+    """(pattern, string, seed, n) of every place where one of the strings is a whole token behind any pattern."""
+    place = f"CAST((string >> 31) % {SIEVE} AS INT)"
+    bits = keys.groupBy(F.expr(f"{place} >> 3").alias("at")).agg(F.expr(f"bit_or(shiftleft(1, {place} & 7))").alias("bits"))
+    sieve = np.zeros(SIEVE >> 3, np.uint8)
+    for r in bits.collect():  # at most SIEVE / 8 rows
+        sieve[r["at"]] = r["bits"]
+    sieve = sieve.tobytes()
+
+    def run(batches):
+        edges: Counter = Counter()
+
+        def flush():
+            cols = list(zip(*((p, s, n) for (p, s), n in edges.items())))
+            edges.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["pattern", "string", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                for m in _ANY.finditer(t or ""):
+                    key = _key(t[m.end() : _token(t, m.end())])
+                    k = (key >> 31) % SIEVE
+                    if sieve[k >> 3] >> (k & 7) & 1:
+                        edges[pattern(t, m.end()), key] += 1
+                if len(edges) > HELD:
+                    yield flush()
+        if edges:
+            yield flush()
+
+    found = docs.select(text).mapInArrow(run, "pattern string, string long, n long").groupBy("pattern", "string").agg(F.sum("n").alias("n"))
+    return found.join(keys, "string", "left_semi").select("pattern", "string", F.lit(False).alias("seed"), "n")
+
+
+def _accepted(edges: DataFrame, confidence: float, support: int, rounds: int) -> frozenset[str]:
+    """The patterns that the graph accepts, scored until a round adds none and the confidences stand still.
+
+    They only rise from round to round, so their sum says how far any of them has moved.
+    """
     sure = edges.groupBy("string").agg(F.max(F.col("seed").cast("double")).alias("sure"))
-    scored = None
-    for _ in range(rounds):
-        scored = edges.join(sure, "string").groupBy("pattern").agg(
-            (F.sum(F.col("n") * F.col("sure")) / (F.greatest(F.max(F.coalesce("total", F.lit(0))), F.sum("n")) + 1)).alias("confidence")
-        )
+    accepted, total, done = frozenset(), 0.0, 0
+    while True:
+        # sums of all strings; support is by those that are sure by now
+        scored = settle(edges.join(sure, "string").groupBy("pattern").agg(
+            (F.sum(F.col("n") * F.col("sure")) / (F.greatest(F.max(F.coalesce("total", F.lit(0))), F.sum("n")) + 1)).alias("confidence"),
+            F.count_if(F.col("sure") >= confidence).alias("support"),
+        ).where(F.col("support") >= support))
+        rows = scored.where(F.col("confidence") >= confidence).select("pattern").limit(MAX_PATTERNS + 1).collect()
+        if len(rows) > MAX_PATTERNS:
+            raise ValueError(f"more than {MAX_PATTERNS} accepted patterns")
+        before, accepted, done = accepted, frozenset(r["pattern"] for r in rows), done + 1
+        last, total = total, scored.agg(F.coalesce(F.sum("confidence"), F.lit(0.0))).first()[0]
+        if accepted <= before and total - last < STILL and done >= rounds:
+            return accepted
         # noisy or of a string's patterns; seeds stay sure
-        sure = settle(edges.join(scored, "pattern").groupBy("string").agg(
-            F.greatest(F.max(F.col("seed").cast("double")), 1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("sure")
+        sure = settle(edges.join(scored, "pattern", "left").groupBy("string").agg(
+            F.greatest(F.max(F.col("seed").cast("double")), 1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("confidence", F.lit(0.0))))))).alias("sure")
         ))
-    rows = scored.where(F.col("confidence") >= confidence).select("pattern").limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} accepted patterns")
-    return sorted(r["pattern"] for r in rows)
 
 
-def find(t: str, known: frozenset[str]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: also strong strings and those that an accepted pattern leads to."""
+def learn_patterns(docs: DataFrame, text: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> list[str]:
+    """The lexical patterns that the graph of all texts makes sure of."""
+    found = settle(_edges(docs, text))
+    totals = found.where("string IS NULL").select("pattern", F.col("n").alias("total"))
+    edges, accepted = found.where("string IS NOT NULL"), frozenset()
+    while True:
+        joined = settle(edges.groupBy("pattern", "string").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")).join(totals, "pattern", "left"))
+        before, accepted = accepted, _accepted(joined, confidence, support, rounds)
+        if accepted <= before:
+            return sorted(accepted)
+        # what follows the new patterns and is no string of the graph yet
+        keys = settle(_keys_behind(docs, text, accepted - before).join(joined.select("string"), "string", "left_anti"))
+        if keys.isEmpty():
+            return sorted(accepted)
+        edges = edges.unionByName(settle(_found_again(docs, text, keys)))
+
+
+def find(t: str, known: frozenset[str], words: list[str] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and all spans: also strong strings and the whole tokens that an accepted pattern leads to."""
     base = base_spans(t)
-    more = [(a, 4, b) for a, b, strong in strings(t, base) if strong or pattern(t, a) in known]
-    return base, sorted(base + more)
+    more = {a: b for a, b, strong in strings(t, base) if strong or pattern(t, a) in known}
+    for a, b in behind(t, known, words):
+        if not any(x <= a and b <= y for x, _, y in base):
+            more[a] = max(b, more.get(a, b))
+    return base, sorted(base + [(a, 4, b) for a, b in more.items()])
 
 
 def _name(spans: list[tuple[int, int, int]]) -> str:
@@ -208,6 +316,7 @@ def extract(docs: DataFrame, patterns: list[str] | None = None, text: str = "tex
     given. Columns with the new names are replaced.
     """
     known = frozenset(learn_patterns(docs, text) if patterns is None else patterns)
+    words = words_of(known)
     new = ["n_email", "n_ip", "n_card", "n_phone", "base", "spans"]
     kept = [c for c in docs.columns if c not in new and c != text]
 
@@ -215,7 +324,7 @@ def extract(docs: DataFrame, patterns: list[str] | None = None, text: str = "tex
         for b in batches:
             counts, names, alls = [], [], []
             for t in b.column(text).to_pylist():
-                base, spans = find(t or "", known)
+                base, spans = find(t or "", known, words)
                 counts.append(np.bincount([k for _, k, _ in base], minlength=4))
                 names.append(_name(base))
                 alls.append(_name(spans))
@@ -243,10 +352,11 @@ def redact(docs: DataFrame, patterns: list[str] | None = None, text: str = "text
     Null texts stay null.
     """
     known, names = frozenset(learn_patterns(docs, text) if patterns is None else patterns), docs.columns
+    words = words_of(known)
 
     def run(batches):
         for b in batches:
-            out = pa.array([None if t is None else redacted(t, find(t, known)[1]) for t in b.column(text).to_pylist()], pa.string())
+            out = pa.array([None if t is None else redacted(t, find(t, known, words)[1]) for t in b.column(text).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([out if c == text else b.column(c) for c in names], names)
 
     return docs.mapInArrow(run, docs.schema)

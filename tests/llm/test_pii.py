@@ -58,3 +58,24 @@ def test_redaction(spark, odd, none):
 
 def test_overlaps_become_one():
     assert P.redacted("abcdef", [(0, 0, 3), (1, 2, 5)]) == "<EMAIL>f"
+
+
+def test_found_strings_bring_in_patterns(spark):
+    """Keys behind a known pattern admit a second one, and what follows that one a third."""
+    rng = random.Random(5)
+    first, second = ["ab1", "swordfish", "4821", "x", "k9!z", "opensesame"], ["zebra", "lion", "7"]
+    texts = ["words here password=" + "".join(rng.choice("0123456789abcdef") for _ in range(32)) + " and more" for _ in range(8)]
+    texts += [f"login password={s} now" for s in first] + [f"use pwd: {s}, then" for s in first + second] + [f"the pin - {s}." for s in [*second, "blue"]]
+    texts += ["a swordfish and the zebra saw the lion in blue water " * 2] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert P.learn_patterns(docs) == ["password|=", "pin|-", "pwd|:"]
+    got = [r["text"] for r in P.redact(docs).orderBy("doc_id").collect()]
+    assert got[:8] == ["words here password=<SECRET> and more"] * 8 and got[8:14] == ["login password=<SECRET> now"] * 6
+    assert got[14:23] == ["use pwd: <SECRET>, then"] * 9 and got[23:27] == ["the pin - <SECRET>."] * 4 and got[27:] == texts[27:]
+
+
+def test_tokens_behind_patterns_keep_base_spans():
+    known = frozenset(["mail|:"])
+    t = "mail: a.b@c.de, mail: none! MAIL : x; remail: y, mail: +1 (555) 555-1234"
+    for words in (P.words_of(known), None):
+        assert [(t[a:b], P.KINDS[k]) for a, k, b in P.find(t, known, words)[1]] == [("a.b@c.de", "email"), ("none", "secret"), ("x", "secret"), ("+1 (555) 555-1234", "phone")]
