@@ -119,7 +119,7 @@ PATTERN_RULES = [
     url_rules.PatternRule("casino", r"(^|[^a-z0-9])casino([^a-z0-9]|$)", ("casino",)),
     url_rules.PatternRule("pills", r"(^|[^a-z0-9])cheap-pills([^a-z0-9]|$)", ("cheap", "pills")),
     url_rules.PatternRule("spam-farm", r"(^|[^a-z0-9])spam-farm([^a-z0-9]|$)", ("spam", "farm")),
-    url_rules.PatternRule("login-trap", r"[/=]login([^a-z0-9]).*verify([^a-z0-9]|$)", ("login", "verify")),
+    url_rules.PatternRule("login-trap", r"[/=]login([^a-z0-9]).*verify([^a-z0-9]|$)", ("login",)),  # verify may end a longer token
     url_rules.PatternRule("long-number-host", r"://[0-9]{1,3}(\.[0-9]{1,3}){3}([:/?#]|$)", ()),
 ]
 

@@ -38,3 +38,18 @@ def test_no_python_on_the_path(spark):
     pages = spark.createDataFrame([(1, "http://x")], "page_id long, url string")
     plan = U.filter_urls(pages, HOST_RULES, PATTERN_RULES)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_a_pattern_is_found_where_its_word_ends_a_longer_token(spark):
+    """Rules are filed so that no match is lost, whichever token is rare."""
+    urls = ["http://x.org/login?a=preverify", "http://x.org/login/reverify", "http://x.org/login?a=verify"] + ["http://x.org/login"] * 5
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["pattern_rule"]) for r in U.filter_urls(pages, HOST_RULES, PATTERN_RULES).collect()}
+    assert got == {k: ("block", "login-trap") if k < 3 else ("allow", None) for k in range(8)}
+
+
+def test_declared_tokens_stand_between_signs_in_their_patterns():
+    for r in PATTERN_RULES:
+        plain = re.sub(r"\((\^\|)?\[\^a-z0-9\](\|\$)?\)", "-", r.pattern)
+        for t in r.tokens:
+            assert re.search(rf"(?:-|\[[/.=]+\]){t}-", plain), (r.name, t)
