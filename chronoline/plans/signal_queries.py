@@ -364,7 +364,7 @@ def _(s):
 @query("boosted_trees_windows")
 def _(s):
     train, test = _split_features(s)
-    return ml.boosted_trees(train, test, 5, rounds=8, depth=3).select("clip_id", "w_idx", "wlab", "pred")
+    return ml.boosted_trees(train, test, 5).select("clip_id", "w_idx", "wlab", "pred")
 
 
 # what SQL can state of any fitted trees: who is judged, and that the answers are well-formed
@@ -381,7 +381,7 @@ def _(s):
 FROM window_v JOIN clip USING (clip_id) JOIN split USING (session) WHERE is_val""", ("clip", "window_v"))
 def _(s):
     train, test = _split_features(s)
-    return ml.boosted_trees(train, test, 5, rounds=8, depth=3).select("clip_id", "w_idx", F.col("pred").between(0, 4).alias("declared"))
+    return ml.boosted_trees(train, test, 5).select("clip_id", "w_idx", F.col("pred").between(0, 4).alias("declared"))
 
 
 def edf_files(s):

@@ -137,3 +137,27 @@ def test_injected_scorer(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "i int, z array<double>")
     got = {r["i"]: r["p"] for r in ml.score_windows(df, ml.linear_scorer([1.0, -2.0]), 2).collect()}
     assert got[3] == pytest.approx(1 / (1 + math.exp(-1.0)))
+
+
+def test_registered_boosted_trees_are_the_operators(monkeypatch):
+    """Both queries fit the full model: 300 rounds of depth 6."""
+    import inspect
+    from unittest.mock import MagicMock
+
+    from chronoline.operators import ml
+    from chronoline.plans import load_catalog, signal_queries
+
+    fit, full = inspect.signature(ml.boosted_trees), []
+
+    def seen(*args, **kwargs):
+        bound = fit.bind(*args, **kwargs)
+        bound.apply_defaults()
+        full.append((bound.arguments["rounds"], bound.arguments["depth"]))
+        return MagicMock()
+
+    monkeypatch.setattr(ml, "boosted_trees", seen)
+    monkeypatch.setattr(signal_queries, "_split_features", lambda s: (MagicMock(), MagicMock()))
+    monkeypatch.setattr(signal_queries, "F", MagicMock())
+    for name in ("boosted_trees_windows", "boosted_trees_facts"):
+        load_catalog().QUERIES[name](MagicMock(), "")
+    assert full == [(300, 6)] * 2
