@@ -429,9 +429,21 @@ def _(s):
     return stores.read_windows(s.spark, path).select("clip_id", "w_idx", "wlab", F.col("clip_path").isNull().alias("without_path"))
 
 
-@query("prediction_store", "SELECT run_id, clip, y, pred, true AS without_part FROM prediction WHERE run_id <= 2", ("prediction",))
-def _(s):
+def _stored_predictions(s):
     path = scratch_path(s.spark)
     s.prediction.write.partitionBy("run_id").parquet(path)
-    kept = stores.read_predictions(s.spark, path, ("path", "sub", "part")).filter("run_id <= 2")  # prunes the store's folders
+    return stores.read_predictions(s.spark, path, ("path", "sub", "part"))
+
+
+def _prediction_rows(s, kept):
     return kept.select(F.col("run_id").cast(s.prediction.schema["run_id"].dataType).alias("run_id"), "clip", "y", "pred", F.col("part").isNull().alias("without_part"))
+
+
+@query("prediction_store", "SELECT run_id, clip, y, pred, true AS without_part FROM prediction WHERE run_id <= 2", ("prediction",))
+def _(s):
+    return _prediction_rows(s, _stored_predictions(s).filter("run_id <= 2"))  # prunes the store's folders
+
+
+@query("prediction_store_runs", "SELECT run_id, clip, y, pred, true AS without_part FROM prediction", ("prediction",))
+def _(s):
+    return _prediction_rows(s, _stored_predictions(s))

@@ -155,3 +155,17 @@ def test_catalogue_against_sql(spark):
     for name in ("event_scores", "cover_join", "free_intervals", "classification_report", "pool_windows", "session_split", "time_features", "merge_records"):
         assert compare(queries[name](spark, sf).toPandas(), con.execute(sql[name]).df()).startswith("ok"), name
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_prediction_store_reads_whole_and_prunes_folders(spark, tmp_path):
+    from chronoline.plans import load_catalog
+    from chronoline.sources import stores
+    from chronoline.standins import StandIns
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, StandIns(spark, sf).prediction.select("run_id", "clip", "y", "pred").collect()))
+    got = load_catalog().QUERIES["prediction_store_runs"](spark, sf).select("run_id", "clip", "y", "pred").collect()
+    assert sorted(map(tuple, got)) == want and len({r[0] for r in want}) == 5
+    spark.range(10).selectExpr("id AS clip", "id % 5 AS run_id").write.partitionBy("run_id").parquet(str(tmp_path / "store"))
+    kept = stores.read_predictions(spark, str(tmp_path / "store")).filter("run_id <= 2")
+    assert kept.count() == 6 and "PartitionFilters: [isnotnull(run_id" in kept._jdf.queryExecution().toString()
