@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoline.llm import digest, graph_search, kneser_ney, language, mixing, ngram_join, pieces, pii, quality, url_rules
+from chronoline.llm import decontaminate, digest, graph_search, kneser_ney, language, mixing, ngram_join, pieces, pii, quality, url_rules
 from chronoline.llm.common import table
 from chronoline.session import settle
 
@@ -216,3 +216,35 @@ def op4_language_id(spark, sf_dir):
     return found.select("doc_id", F.lit(None).cast("long").alias("page_id"), F.col("lang").alias("declared"), *columns[1:]).union(
         pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", *columns)
     )
+
+
+# --- 11: benchmark decontamination --------------------------------------------------------------
+
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11_SQL = rf"""
+WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (
+    SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k : k + 9], ' ') AS g
+    FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM i WHERE len(w) > 0)),
+d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (
+    SELECT r, n, k, array_to_string(w[k : k + n - 1], ' ') AS g
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM v))),
+h AS (SELECT r, k, p.n, item FROM p JOIN v ON p.n = v.n AND p.g = v.g),
+c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS k FROM h) GROUP BY r),
+o AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN o USING (r)"""
+
+
+@query("op11_benchmark_decontamination", _OP11_SQL)
+def op11_benchmark_decontamination(spark, sf_dir):
+    """Every document with the words and items of the benchmark that it holds, ten words in a row."""
+    judged = decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
