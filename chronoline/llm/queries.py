@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoline.llm import decontaminate, digest, graph_search, kneser_ney, language, mixing, ngram_join, pieces, pii, quality, url_rules
+from chronoline.llm import decontaminate, digest, graph_search, kneser_ney, language, mixing, ngram_join, pieces, pii, quality, spelling, url_rules
 from chronoline.llm.common import table
 from chronoline.session import settle
 
@@ -248,3 +248,44 @@ def op11_benchmark_decontamination(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+# --- 12: spelling variants ----------------------------------------------------------------------
+
+_OP12_SQL = r"""
+WITH RECURSIVE step AS (
+    SELECT i, 0 AS k, i::BIGINT AS v FROM range(256) x(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM step WHERE k = 8),
+o AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc, count(*) AS n, word
+    FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS word FROM documents)
+    WHERE len(word) >= 7 GROUP BY ALL),
+x AS (SELECT *, hex(encode(doc || ':' || word)) AS h FROM o),
+s AS (
+    SELECT n, word, xor(list_reduce(
+        list_transform(range(1, len(h) + 1, 2), lambda i: ('0x' || h[i : i + 1])::BIGINT),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS c
+    FROM x, crc),
+r AS (
+    SELECT CASE WHEN c % 31 = 0 THEN left(word, (c % len(word))::INT) || substr(word, (c % len(word))::INT + 2) ELSE word END AS word, n FROM s),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM r WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+holes AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT *, unnest(range(1, len(word) + 1)) AS i FROM w)),
+pairs AS (
+    SELECT x.word, y.word AS other, y.n FROM holes x JOIN holes y ON x.a = y.a AND x.b = y.b AND x.i = y.i AND x.word <> y.word
+    UNION SELECT x.word, y.word, y.n FROM holes x JOIN w y ON x.a || x.b = y.word
+    UNION SELECT y.word, x.word, x.n FROM holes x JOIN w y ON x.a || x.b = y.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS most FROM pairs GROUP BY word),
+f AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN other END AS form, CASE WHEN most >= 10 * w.n THEN most END AS form_n
+    FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON chain.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n
+FROM f JOIN (SELECT chain.word, chain.at FROM chain JOIN f ON chain.at = f.word WHERE f.form IS NULL) c ON c.word = f.word"""
+
+
+@query("op12_spelling_variants", _OP12_SQL)
+def op12_spelling_variants(spark, sf_dir):
+    """Words of all documents with their near words, their form and its root; some runs lose a letter."""
+    counts = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=31)
+    return spelling.group_variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
