@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronoline.llm import decontaminate, digest, graph_search, kneser_ney, language, mixing, ngram_join, pieces, pii, quality, spelling, url_rules
+from chronoline.llm import decontaminate, digest, graph_search, kneser_ney, language, mixing, ngram_join, pieces, pii, quality, ranked_search, spelling, url_rules
 from chronoline.llm.common import table
 from chronoline.session import settle
 
@@ -289,3 +289,27 @@ def op12_spelling_variants(spark, sf_dir):
     """Words of all documents with their near words, their form and its root; some runs lose a letter."""
     counts = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=31)
     return spelling.group_variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# --- 13: ranked lexical search ------------------------------------------------------------------
+
+_OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+h AS (SELECT r, doc_id, len(w)::BIGINT AS n, w FROM d WHERE len(w) > 0),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM h),
+i AS (
+    SELECT item_id, t, count(*) AS c
+    FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM h) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+q AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY t, docs),
+g AS (SELECT f.r, f.t, q.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (25 + (75 * h.n * s.docs) // s.terms))) AS gain FROM f JOIN q USING (t) JOIN h USING (r), s),
+e AS (SELECT item_id, r, sum(c * gain)::BIGINT AS score FROM i JOIN g USING (t) GROUP BY item_id, r),
+k AS (
+    SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score FROM e JOIN h USING (r) WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10"""
+
+
+@query("op13_ranked_search", _OP13_SQL)
+def op13_ranked_search(spark, sf_dir):
+    """The ten highest-scoring documents of every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
