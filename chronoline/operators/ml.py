@@ -6,12 +6,14 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from chronoline.functions.numbers import argmax
+from chronoline.operators import boosting
 from chronoline.operators.features import FEATURES
 from chronoline.operators.splits import class_weights
 
@@ -41,15 +43,14 @@ def random_forest(
 
 def boosted_trees(
     train: DataFrame, test: DataFrame, n_classes: int, label: str = "wlab", features: Sequence[str] = FEATURES, rounds: int = 300,
-    depth: int = 6, rate: float = 0.1, seed: int = 42,
+    depth: int = 6, rate: float = 0.1, fit_rows: int = boosting.FIT_ROWS,
 ) -> DataFrame:
-    """Gradient-boosted trees, one class against the rest; adds ``pred``."""
-    gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-    ovr = OneVsRest(classifier=gbt, featuresCol="_x", labelCol=label, weightCol="weight", predictionCol="_pred")
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep"), ovr]).fit(
-        _weighted(train, n_classes, label).withColumn(label, F.col(label).cast("double"))
-    )
-    return model.transform(test).withColumn("pred", F.col("_pred").cast("int")).select(*test.columns, "pred")
+    """Balanced gradient-boosted trees over all classes; adds ``probs`` and ``pred``.
+
+    Fitted on at most ``fit_rows`` labelled rows; see ``boosting.boosted_trees``.
+    """
+    scored = boosting.boosted_trees(_weighted(train, n_classes, label), test, n_classes, label, features, "weight", rounds, depth, rate, fit_rows)
+    return scored.withColumn("pred", argmax(F.col("probs")).cast("int"))
 
 
 def linear_scorer(weights: Sequence[float], bias: float = 0.0) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:

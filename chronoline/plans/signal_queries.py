@@ -364,24 +364,46 @@ def _(s):
 @query("boosted_trees_windows")
 def _(s):
     train, test = _split_features(s)
-    return ml.boosted_trees(train, test, 5).select("clip_id", "w_idx", "wlab", "pred")
+    scored = ml.boosted_trees(train, test, 5)
+    return scored.select("clip_id", "w_idx", "wlab", "pred", F.round(F.array_max("probs"), 6).alias("confidence"))
 
 
-# what SQL can state of any fitted trees: who is judged, and that the answers are well-formed
-@query("random_forest_facts", f"""WITH {SPLIT_SQL} SELECT clip_id, w_idx, 5::BIGINT AS n_probs, true AS sums_to_one, true AS none_negative
-FROM window_v JOIN clip USING (clip_id) JOIN split USING (session) WHERE is_val""", ("clip", "window_v"))
+# a class that the window itself gives away, so that fitted trees must tell it in held-out windows
+_TOLD_SQL = """told AS (
+    SELECT *, (list_avg(samples::DOUBLE[]) > 0)::INT + 2 * (list_max(samples)::DOUBLE + list_min(samples)::DOUBLE > 0)::INT AS told
+    FROM window_v JOIN clip USING (clip_id) JOIN split USING (session) WHERE is_val)"""
+
+
+def _told(f):
+    return f.withColumn("told", (F.col("mean") > 0).cast("int") + 2 * (F.col("max") + F.col("min") > 0).cast("int"))
+
+
+def _judged(scored):
+    """Form of the probabilities, and whether the predictions are right more often than the commonest class is, by 0.3."""
+    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
+    judged = scored.withColumn("pred", argmax(F.col("probs")))
+    ahead = judged.groupBy("told").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("told")).alias("hits")).agg(
+        (F.sum("hits") / F.sum("n") > F.max("n") / F.sum("n") + 0.3).alias("beats_majority"))
+    return judged.select(
+        "clip_id", "w_idx", "told", F.size("probs").cast("bigint").alias("n_probs"), (F.abs(total - 1.0) < 1e-6).alias("sums_to_one"),
+        (F.array_min("probs") >= 0).alias("none_negative"), (F.get("probs", F.lit(4)) == 0).alias("unseen_is_zero"), ahead.scalar().alias("beats_majority"))
+
+
+# what SQL can state of fitted trees: who is judged, that the answers are well-formed, and that they tell the classes
+_FACTS_SQL = f"""WITH {SPLIT_SQL}, {_TOLD_SQL}
+SELECT clip_id, w_idx, told, 5::BIGINT AS n_probs, true AS sums_to_one, true AS none_negative, true AS unseen_is_zero, true AS beats_majority FROM told"""
+
+
+@query("random_forest_facts", _FACTS_SQL, ("clip", "window_v"))
 def _(s):
     train, test = _split_features(s)
-    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
-    return ml.random_forest(train, test, 5, trees=100).select(
-        "clip_id", "w_idx", F.size("probs").cast("bigint").alias("n_probs"), (F.abs(total - 1.0) < 1e-6).alias("sums_to_one"), (F.array_min("probs") >= 0).alias("none_negative"))
+    return _judged(settle(ml.random_forest(_told(train), _told(test), 5, label="told", trees=100)))
 
 
-@query("boosted_trees_facts", f"""WITH {SPLIT_SQL} SELECT clip_id, w_idx, true AS declared
-FROM window_v JOIN clip USING (clip_id) JOIN split USING (session) WHERE is_val""", ("clip", "window_v"))
+@query("boosted_trees_facts", _FACTS_SQL, ("clip", "window_v"))
 def _(s):
     train, test = _split_features(s)
-    return ml.boosted_trees(train, test, 5).select("clip_id", "w_idx", F.col("pred").between(0, 4).alias("declared"))
+    return _judged(settle(ml.boosted_trees(_told(train), _told(test), 5, label="told")))
 
 
 def edf_files(s):

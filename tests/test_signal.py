@@ -157,7 +157,8 @@ def test_registered_boosted_trees_are_the_operators(monkeypatch):
 
     monkeypatch.setattr(ml, "boosted_trees", seen)
     monkeypatch.setattr(signal_queries, "_split_features", lambda s: (MagicMock(), MagicMock()))
-    monkeypatch.setattr(signal_queries, "F", MagicMock())
+    for name in ("F", "settle", "_told", "_judged"):
+        monkeypatch.setattr(signal_queries, name, MagicMock())
     for name in ("boosted_trees_windows", "boosted_trees_facts"):
         load_catalog().QUERIES[name](MagicMock(), "")
     assert full == [(300, 6)] * 2
