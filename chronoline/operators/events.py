@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
-from chronoline.operators.blocks import BLK, DAILY, Blocks, assign, hot_blocks, neighbours
+from chronoline.operators.blocks import BLK, DAILY, Blocks, assign, blocked, hot_blocks, neighbours
 from chronoline.session import settle
-from chronoline.operators.intervals import _final_start, _local_islands, _stitch, assign_islands, inside_any
+from chronoline.operators.intervals import _final_start, _local_islands, _stitch, inside_any
 
 THRESHOLDS = (0.5, 0.7, 0.9, 0.95, 0.99)
 
@@ -103,6 +108,77 @@ def candidate_pairs(
     )
 
 
+def _runs_of(t: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """True where a row differs from the one before in any of the columns; nulls equal nulls."""
+    new = np.ones(t.num_rows, bool)
+    if t.num_rows > 1:
+        new[1:] = False
+        for n in names:
+            c = t.column(n).combine_chunks()
+            a, b = c.slice(1), c.slice(0, t.num_rows - 1)
+            differ = pc.fill_null(pc.not_equal(a, b), False)
+            new[1:] |= pc.or_(differ, pc.xor(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+    return new
+
+
+def _settle_truths(full: Sequence[str]):
+    """Decide the truths of each block in order, as far as the block alone allows.
+
+    Rows are pairs, sorted by block, truth and preference. A truth takes its best free detection
+    unless an earlier truth that is still open, here or in another block (``_o``), may take that one;
+    then it stays open with its free pairs. Sends the pairs taken and those left open.
+    """
+    truth = ["truth_id", "g_start", "g_end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used: set = set()
+        waiting: set = set()
+        held: pa.Table | None = None
+        last: pa.Table | None = None  # the last row decided: the block may go on
+
+        def decide(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal last
+            whole = t if last is None else pa.concat_tables([last, t])
+            fresh = _runs_of(whole, [*full, BLK])[0 if last is None else 1 :]
+            first = np.flatnonzero(_runs_of(t, [*full, BLK, *truth]) | fresh)
+            s, e = t.column("t_start").to_pylist(), t.column("t_end").to_pylist()
+            own = list(zip(*(t.column(c).to_pylist() for c in truth)))
+            rival = t.column("_o").to_pylist()
+            taken, left = [], []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), t.num_rows]):
+                if fresh[a]:
+                    used.clear()
+                    waiting.clear()
+                free = [k for k in range(a, b) if (s[k], e[k]) not in used]
+                if not free:
+                    continue
+                k = free[0]
+                o = rival[k]
+                if (s[k], e[k]) in waiting or o is not None and (o["truth_id"], o["g_start"], o["g_end"]) < own[k]:
+                    waiting.update((s[j], e[j]) for j in free)
+                    left += free
+                else:
+                    used.add((s[k], e[k]))
+                    taken.append(k)
+            last = t.slice(t.num_rows - 1)
+            for rows, open_ in ((taken, False), (left, True)):
+                if rows:
+                    out = t.take(pa.array(rows)).drop_columns(["_o"]).append_column("_open", pa.array([open_] * len(rows)))
+                    yield from out.to_batches()
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            ends = np.flatnonzero(_runs_of(held, [*full, BLK, *truth]))
+            if len(ends) and ends[-1] > 0:  # the last truth may go on in the next batch
+                yield from decide(held.slice(0, int(ends[-1])))
+                held = held.slice(int(ends[-1]))
+        if held is not None and held.num_rows:
+            yield from decide(held)
+
+    return run
+
+
 def match_events(
     events: DataFrame,
     truth: DataFrame,
@@ -113,60 +189,45 @@ def match_events(
 ) -> DataFrame:
     """Greedy one-to-one matching of truths, in order, to their best unused event.
 
-    Detections may overlap; one is told by its start and end. Of the truths that share
-    one set of candidates only as many can ever match as the set has members, so later
-    copies are left out. What is left is cut into runs of overlapping pairs, and the
-    greedy choice is a fold inside each run: choices in different runs cannot touch
-    each other.
+    Detections may overlap; one is told by its start and end. The pairs are a conflict graph that
+    is settled by rounds. In a round the truths of each time block are decided in order, in one
+    task; a truth whose best free detection an earlier open truth of another block shares waits.
+    What is left open, with detections taken elsewhere removed, goes to a round with wider blocks.
+    The earliest open truth is always decided, so the rounds end; without pairs across blocks
+    there is one. A block with too many pairs is cut, so no task holds a session or a chain.
 
     Output: keys, groups, truth_id, t_start, t_end, g_start, g_end, iou.
     """
     if not 0.0 < min_iou <= 1.0:
         raise ValueError("min_iou must be in (0, 1]")
     full = [*keys, *groups]
-    cand = candidate_pairs(events, truth, min_iou, keys)
-    per_truth = cand.groupBy(*full, "truth_id", "g_start", "g_end").agg(
-        F.array_sort(F.collect_list(F.struct(
-            (-F.col("iou")).alias("neg"), F.col("t_start").alias("s"), F.col("t_end").alias("e")
-        ))).alias("opts")
-    )
-    # equal option sets in any preference order; sort them for the key
-    place = lambda o: F.struct(o["s"].alias("s"), o["e"].alias("e"))
-    per_truth = per_truth.withColumn("_set", F.array_sort(F.transform("opts", place)))
-    spec = W.partitionBy(*full, "_set").orderBy("truth_id")
-    ranked = per_truth.withColumn("_rn", F.row_number().over(spec)).filter(F.col("_rn") <= F.size("_set"))
-    hulls = ranked.select(
-        *full, "truth_id", "g_start", "g_end", "opts",
-        F.least(F.col("g_start"), F.array_min(F.transform("opts", lambda o: o["s"]))).alias("_h0"),
-        F.greatest(F.col("g_end"), F.array_max(F.transform("opts", lambda o: o["e"]))).alias("_h1"),
-    )
-    runs = assign_islands(settle(hulls), "_h0", "_h1", 0.0, full, ties=("truth_id",), out="_run", blocks=blocks)
-    packed = runs.groupBy(*full, "_run").agg(
-        F.array_sort(F.collect_list(F.struct("truth_id", "g_start", "g_end", "opts"))).alias("todo")
-    )
-    start = F.expr(
-        "named_struct('used', cast(array() as array<struct<s:double,e:double>>), 'won', "
-        "cast(array() as array<struct<truth_id:bigint,g_start:double,g_end:double,iou:double,s:double,e:double>>))"
-    )
-
-    def step(acc: Column, item: Column) -> Column:
-        free = F.filter(item["opts"], lambda o: ~F.array_contains(acc["used"], place(o)))
-        best = F.get(free, F.lit(0))
-        won = F.struct(
-            item["truth_id"].cast("bigint").alias("truth_id"), item["g_start"].alias("g_start"),
-            item["g_end"].alias("g_end"), (-best["neg"]).alias("iou"), best["s"].alias("s"), best["e"].alias("e"),
+    columns = [*full, "truth_id", "t_start", "t_end", "g_start", "g_end", "iou"]
+    pairs = candidate_pairs(events, truth, min_iou, keys).withColumn("truth_id", F.col("truth_id").cast("bigint"))
+    open_ = settle(pairs.select(*columns))
+    det, rounds = [*full, "t_start", "t_end"], []
+    while True:
+        placed = blocked(open_, full, "g_start", blocks)
+        # detections with pairs in several blocks: the earliest truth of each block, then of the others
+        per = placed.groupBy(*det, BLK).agg(F.min(F.struct("truth_id", "g_start", "g_end")).alias("_m"))
+        across = per.groupBy(*det).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_m", BLK)).alias("_1")).filter("_n > 1").drop("_n")
+        across = settle(across)
+        if across.isEmpty():
+            ready = placed.withColumn("_o", F.lit(None).cast("struct<truth_id:bigint,g_start:double,g_end:double>"))
+        else:
+            others = per.join(across, det).filter(F.col(BLK) != F.col(f"_1.{BLK}")).groupBy(*det).agg(F.min("_m").alias("_2"))
+            rival = F.when(F.col(f"_1.{BLK}") == F.col(BLK), F.col("_2")).otherwise(F.col("_1._m"))
+            ready = placed.join(across.join(others, det), det, "left").withColumn("_o", rival).drop("_1", "_2")
+        ready = ready.select(*columns, BLK, "_o").repartition(*full, BLK).sortWithinPartitions(
+            *full, BLK, "truth_id", "g_start", "g_end", F.desc("iou"), "t_start", "t_end"
         )
-        hit = F.size(free) > 0
-        return F.struct(
-            F.when(hit, F.concat(acc["used"], F.array(place(best)))).otherwise(acc["used"]).alias("used"),
-            F.when(hit, F.concat(acc["won"], F.array(won))).otherwise(acc["won"]).alias("won"),
-        )
-
-    folded = packed.select(*full, F.aggregate("todo", start, step)["won"].alias("won"))
-    return folded.select(*full, F.explode("won").alias("m")).select(
-        *full, "m.truth_id", F.col("m.s").alias("t_start"), F.col("m.e").alias("t_end"),
-        "m.g_start", "m.g_end", "m.iou",
-    )
+        schema = ready.drop("_o").withColumn("_open", F.lit(True)).schema
+        done = settle(ready.mapInArrow(_settle_truths(full), schema))
+        rounds.append(done.filter(~F.col("_open")).select(*columns))
+        left = done.filter("_open").select(*columns)
+        if across.isEmpty() or left.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+        open_ = settle(left.join(rounds[-1].select(*det), det, "left_anti"))
+        blocks = replace(blocks, width=blocks.width * 8)
 
 
 def trace_hours(trace: DataFrame, preferred: str = "video", keys: Sequence[str] = ("session",)) -> DataFrame:

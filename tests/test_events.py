@@ -122,3 +122,34 @@ def test_match_takes_overlapping_detections(spark):
     gt = spark.createDataFrame([("s", k, 0.0, 100.0 + k / 10) for k in range(5)], "session string, truth_id long, t_start double, t_end double")
     rows = ev.match_events(det, gt, 0.3).collect()
     assert len(rows) == 5 and len({(r["t_start"], r["t_end"]) for r in rows}) == 5
+
+
+def test_a_long_chain_of_shared_detections_ends(spark):
+    """100,000 pairs in one session, each truth sharing detections with the next, over many blocks: settled by a few rounds."""
+    n = 50_000
+    det = spark.range(n).selectExpr("1 AS session", "'v' AS modality", "0.5D AS thr", "id * 10D AS t_start", "id * 10D + 10 AS t_end")
+    gt = spark.range(n).selectExpr("1 AS session", "id AS truth_id", "id * 10D + 4 AS t_start", "id * 10D + 14 AS t_end")  # nearer to its own detection
+    back = spark.range(n).selectExpr("1 AS session", f"{n} - id AS truth_id", "id * 10D + 6 AS t_start", "id * 10D + 16 AS t_end")  # nearer to the next
+    for truth in (gt, back):
+        got = {r["truth_id"]: r["t_start"] for r in ev.match_events(det, truth, 0.2, blocks=Blocks(100_000.0, hot_rows=20_000)).collect()}
+        used, want = set(), {}
+        for t in sorted(truth.collect(), key=lambda t: t["truth_id"]):
+            near = [10.0 * k for k in range(int(t["t_start"] // 10) - 1, int(t["t_start"] // 10) + 3) if 0 <= k < n and 10.0 * k not in used]
+            iou = lambda d: max(0.0, min(d + 10, t["t_end"]) - max(d, t["t_start"])) / (max(d + 10, t["t_end"]) - min(d, t["t_start"]))
+            best = max(near, key=lambda d: (iou(d), -d), default=None)
+            if best is not None and iou(best) >= 0.2:
+                used.add(best)
+                want[t["truth_id"]] = best
+        assert got == want and len(want) >= n - 1
+
+
+@pytest.mark.parametrize("width", [2.0, 9.0, 1e6])
+def test_dense_overlaps_across_blocks_equal_the_loop(spark, width):
+    r = random.Random(4)
+    dets = sorted({("s", "v", 0.5, a, a + n) for a, n in ((r.randint(0, 80) / 2, r.choice([2.0, 3.0, 7.0, 20.0])) for _ in range(120))})
+    gts = [("s", i, a, a + n) for i, (a, n) in enumerate((r.randint(0, 80) / 2, r.choice([2.0, 3.0, 7.0, 20.0])) for _ in range(150))]
+    det = spark.createDataFrame(dets, "session string, modality string, thr double, t_start double, t_end double")
+    gt = spark.createDataFrame(gts, "session string, truth_id long, t_start double, t_end double").repartition(3)
+    rows = ev.match_events(det, gt, 0.3, blocks=Blocks(width, hot_rows=40)).collect()
+    want = greedy([d[3:] for d in dets], [g[2:] for g in gts], 0.3)
+    assert sorted((x["truth_id"], x["t_start"]) for x in rows) == sorted(want)
