@@ -7,8 +7,8 @@ strings that follow them form a graph; Spark scores it in rounds: a pattern is a
 share of *all* its occurrences in the corpus, whatever follows, that lead to sure strings, and a
 string is as sure as its patterns make it together. A pattern has support by the strings that are
 sure in the current round, so strings found through one pattern bring in others. What follows an
-accepted pattern is a string too, whatever its form: its other places in the corpus are looked up,
-and the graph is scored again until no pattern is added. Accepted patterns then mark the whole
+accepted pattern is a string too, whatever its form, up to 256 code points: its other places in the corpus are
+looked up, and the graph is scored again until no pattern is added. Accepted patterns then mark the whole
 token behind them, with or without a digit and of any length.
 
 Counts cover every text. Tasks send sums, so a word that stands before a third of all tokens is a
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from chronoline.llm.terms import Sieve
 from chronoline.session import settle
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -36,9 +37,12 @@ STILL = 0.01
 MAX_PATTERNS = 1_000_000
 #: Entries that a task gathers before it sends them.
 HELD = 200_000
-#: Bits of the sieve that finds strings again; what it lets through is joined exactly.
-SIEVE = 1 << 24
-#: Texts without any of the patterns' words are passed over if there are so many words at most.
+#: The longest token, before its closing punctuation is cut, that is a string of the graph.
+LONGEST = 256
+#: Code points of the texts whose tokens a task looks up together.
+TOGETHER = 1 << 21
+#: Texts without any of the patterns' words are passed over if there are so many words at most. No
+#: result depends on it: a text that has a word at a pattern's place has it somewhere.
 FEW_WORDS = 64
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -53,8 +57,11 @@ _ACCESS = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
 _PART = re.compile(r"[A-Za-z0-9_+/.-]+")
 _BEFORE = re.compile(r"([^\W\d_]+)(\W{1,8})\Z")
 _ANY = re.compile(r"(?<![^\W\d_])[^\W\d_]++\W{1,8}(?=\w)")
-#: A whole token, whatever its form.
+_PARTS = re.compile(r"(?<![^\W\d_])([^\W\d_]++)(\W{1,8})(?=\w)")
+#: A whole token, whatever its form, and the places of words with the token behind each, cut where it is too long.
 _TOKEN = re.compile(r"[^\s\"'`<>()\[\]{},;&|]+")
+_PLACE = re.compile(r"(?<![^\W\d_])[^\W\d_]++\W{1,8}(?=(\w[^\s\"'`<>()\[\]{},;&|]{0,%d}+))" % LONGEST)
+_CLOSING = ".:!?+/-"
 
 
 def luhn(digits: str) -> bool:
@@ -128,10 +135,19 @@ def strings(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, bo
     return sorted(out)
 
 
+def named(word: str, signs: str) -> str:
+    """A pattern's name. Case is folded code point by code point, so a word folds alike alone and in its text."""
+    return f"{word.casefold()}|{''.join(signs.split())}"
+
+
 def pattern(t: str, start: int) -> str | None:
-    """What stands before a string: the last word in lower case and the signs between."""
-    m = _BEFORE.search(t[max(0, start - 64) : start])
-    return f"{m[1].lower()}|{''.join(m[2].split())}" if m else None
+    """What stands before a string: the last whole word, its case folded, and the signs between."""
+    back = 64
+    while True:
+        m = _BEFORE.search(t[max(0, start - back) : start])
+        if not m or m.start() or back >= start:
+            return named(m[1], m[2]) if m else None
+        back *= 8  # the word may begin before
 
 
 def _edges(docs: DataFrame, text: str) -> DataFrame:
@@ -145,7 +161,7 @@ def _edges(docs: DataFrame, text: str) -> DataFrame:
             found: Counter = Counter()
             for raw, n in totals.items():
                 word = re.match(r"[^\W\d_]+", raw)[0]
-                found[f"{word.lower()}|{''.join(raw[len(word):].split())}"] += n
+                found[named(word, raw[len(word) :])] += n
             rows = [(p, s, seed, n) for (p, s, seed), n in edges.items()] + [(p, None, False, n) for p, n in found.items()]
             edges.clear()
             totals.clear()
@@ -177,14 +193,6 @@ def _key(s: str) -> int:
     return zlib.crc32(raw) << 31 | zlib.adler32(raw) & 0x7FFFFFFF
 
 
-def _token(t: str, start: int) -> int:
-    """The end of the whole token that begins at a word character; closing punctuation is not part of it."""
-    end = _TOKEN.match(t, start).end()
-    while t[end - 1] in ".:!?+/-":
-        end -= 1
-    return end
-
-
 def words_of(known: frozenset[str]) -> list[str] | None:
     """The patterns' words, or None if they are too many to look for one by one."""
     words = {p.partition("|")[0] for p in known}
@@ -192,22 +200,32 @@ def words_of(known: frozenset[str]) -> list[str] | None:
 
 
 def behind(t: str, known: frozenset[str], words: list[str] | None) -> list[tuple[int, int]]:
-    """(start, end) of the whole tokens that follow the patterns."""
-    if not known or not t or words is not None and not any(w in low for low in [t.lower()] for w in words):
+    """(start, end) of the whole tokens that follow the patterns, without closing punctuation."""
+    if not known or not t or words is not None and not any(w in folded for folded in [t.casefold()] for w in words):
         return []
-    starts = (m.end() for m in _ANY.finditer(t))
-    return [(a, _token(t, a)) for a in starts if pattern(t, a) in known]
+    out, stop, end = [], -1, -1
+    for m in _PARTS.finditer(t):
+        if named(m[1], m[2]) in known:
+            a = m.end()
+            if a >= stop:  # else still inside the last token, which ends at one place
+                stop = end = _TOKEN.match(t, a).end()
+                while t[end - 1] in _CLOSING:
+                    end -= 1
+            out.append((a, end))
+    return out
 
 
 def _keys_behind(docs: DataFrame, text: str, known: frozenset[str]) -> DataFrame:
-    """(string): the distinct whole tokens that follow the patterns."""
-    words = words_of(known)
+    """(string): the distinct whole tokens, of ``LONGEST`` code points at most, that follow the patterns."""
+    words, sent = words_of(known), docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         held: set = set()
         for b in batches:
             for t in b.column(0).to_pylist():
-                held.update(_key(t[a:e]) for a, e in behind(t, known, words))
+                for a, e in behind(t, sent.value, words):
+                    if _TOKEN.match(t[a : a + LONGEST + 1]).end() <= LONGEST:
+                        held.add(_key(t[a:e]))
                 if len(held) > HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], ["string"])
                     held.clear()
@@ -218,13 +236,12 @@ def _keys_behind(docs: DataFrame, text: str, known: frozenset[str]) -> DataFrame
 
 
 def _found_again(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
-    """(pattern, string, seed, n) of every place where one of the strings is a whole token behind any pattern."""
-    place = f"CAST((string >> 31) % {SIEVE} AS INT)"
-    bits = keys.groupBy(F.expr(f"{place} >> 3").alias("at")).agg(F.expr(f"bit_or(shiftleft(1, {place} & 7))").alias("bits"))
-    sieve = np.zeros(SIEVE >> 3, np.uint8)
-    for r in bits.collect():  # at most SIEVE / 8 rows
-        sieve[r["at"]] = r["bits"]
-    sieve = sieve.tobytes()
+    """(pattern, string, seed, n) of every place where one of the strings is a whole token behind any pattern.
+
+    The distinct tokens of some texts are looked up at once, and only texts that hold one are read
+    place by place. What the sieve lets through is joined exactly.
+    """
+    sieve = Sieve(docs.sparkSession, keys, "string")
 
     def run(batches):
         edges: Counter = Counter()
@@ -234,15 +251,32 @@ def _found_again(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
             edges.clear()
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["pattern", "string", "n"])
 
+        def look_up(texts):
+            tokens = [set(_PLACE.findall(t) if len(t) <= TOGETHER else (m[1] for m in _PLACE.finditer(t))) for t in texts]
+            every = [x for x in set().union(*tokens) if len(x) <= LONGEST]
+            found = np.array([_key(x.rstrip(_CLOSING)) for x in every], np.int64)
+            wanted = {every[k]: int(found[k]) for k in np.flatnonzero(sieve.passes(found))}
+            for t, own in zip(texts, tokens):
+                if not own.isdisjoint(wanted):
+                    for m in _PLACE.finditer(t):
+                        if m[1] in wanted:
+                            edges[pattern(t, m.end()), wanted[m[1]]] += 1
+
         for b in batches:
+            texts, size = [], 0
             for t in b.column(0).to_pylist():
-                for m in _ANY.finditer(t or ""):
-                    key = _key(t[m.end() : _token(t, m.end())])
-                    k = (key >> 31) % SIEVE
-                    if sieve[k >> 3] >> (k & 7) & 1:
-                        edges[pattern(t, m.end()), key] += 1
-                if len(edges) > HELD:
-                    yield flush()
+                if t:
+                    texts.append(t)
+                    size += len(t)
+                if size > TOGETHER:
+                    look_up(texts)
+                    texts, size = [], 0
+                    if len(edges) > HELD:
+                        yield flush()
+            if texts:
+                look_up(texts)
+            if len(edges) > HELD:
+                yield flush()
         if edges:
             yield flush()
 
@@ -297,8 +331,12 @@ def find(t: str, known: frozenset[str], words: list[str] | None = None) -> tuple
     """Base spans, and all spans: also strong strings and the whole tokens that an accepted pattern leads to."""
     base = base_spans(t)
     more = {a: b for a, b, strong in strings(t, base) if strong or pattern(t, a) in known}
+    k, reach = 0, 0
     for a, b in behind(t, known, words):
-        if not any(x <= a and b <= y for x, _, y in base):
+        while k < len(base) and base[k][0] <= a:  # both lists are in order
+            reach = max(reach, base[k][2])
+            k += 1
+        if b > reach:
             more[a] = max(b, more.get(a, b))
     return base, sorted(base + [(a, 4, b) for a, b in more.items()])
 
@@ -316,7 +354,7 @@ def extract(docs: DataFrame, patterns: list[str] | None = None, text: str = "tex
     given. Columns with the new names are replaced.
     """
     known = frozenset(learn_patterns(docs, text) if patterns is None else patterns)
-    words = words_of(known)
+    words, sent = words_of(known), docs.sparkSession.sparkContext.broadcast(known)
     new = ["n_email", "n_ip", "n_card", "n_phone", "base", "spans"]
     kept = [c for c in docs.columns if c not in new and c != text]
 
@@ -324,7 +362,7 @@ def extract(docs: DataFrame, patterns: list[str] | None = None, text: str = "tex
         for b in batches:
             counts, names, alls = [], [], []
             for t in b.column(text).to_pylist():
-                base, spans = find(t or "", known, words)
+                base, spans = find(t or "", sent.value, words)
                 counts.append(np.bincount([k for _, k, _ in base], minlength=4))
                 names.append(_name(base))
                 alls.append(_name(spans))
@@ -352,11 +390,11 @@ def redact(docs: DataFrame, patterns: list[str] | None = None, text: str = "text
     Null texts stay null.
     """
     known, names = frozenset(learn_patterns(docs, text) if patterns is None else patterns), docs.columns
-    words = words_of(known)
+    words, sent = words_of(known), docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         for b in batches:
-            out = pa.array([None if t is None else redacted(t, find(t, known, words)[1]) for t in b.column(text).to_pylist()], pa.string())
+            out = pa.array([None if t is None else redacted(t, find(t, sent.value, words)[1]) for t in b.column(text).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([out if c == text else b.column(c) for c in names], names)
 
     return docs.mapInArrow(run, docs.schema)

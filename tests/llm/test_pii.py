@@ -79,3 +79,80 @@ def test_tokens_behind_patterns_keep_base_spans():
     t = "mail: a.b@c.de, mail: none! MAIL : x; remail: y, mail: +1 (555) 555-1234"
     for words in (P.words_of(known), None):
         assert [(t[a:b], P.KINDS[k]) for a, k, b in P.find(t, known, words)[1]] == [("a.b@c.de", "email"), ("none", "secret"), ("x", "secret"), ("+1 (555) 555-1234", "phone")]
+
+
+def test_many_patterns_find_what_few_find():
+    """Texts are passed over by the patterns' words up to 64 of them, and never beyond; spans don't tell."""
+    texts = ["ΠΑΣ:αβγ", "straße=x1, STRASSE= y2; Straße =z3", "İd: q", "ﬁle:abc", "a" * 200 + ":long", "b" + "a" * 200 + ":long", "nothing here"]
+    names = {P.pattern(t, m.end()) for t in texts for m in P._ANY.finditer(t)}
+    for count in (64, 65):
+        known = frozenset(names | {f"word{k}|" for k in range(count - len({n.partition("|")[0] for n in names}))})
+        words = P.words_of(known)
+        assert (words is None) == (count == 65)
+        assert [P.find(t, known, words)[1] for t in texts] == [P.find(t, known, None)[1] for t in texts]
+        assert P.find(texts[0], known, words)[1] == [(4, 4, 7)] and len(P.find(texts[1], known, words)[1]) == 3
+    assert P.pattern(texts[4], 201) == "a" * 200 + "|:" and P.pattern(texts[5], 202) == "b" + "a" * 200 + "|:"
+
+
+def test_long_texts_with_many_spans_are_linear():
+    import time
+
+    known = frozenset(["mail|:", "a|.", "pin|:"])
+    for t in ("mail: some.body@example.org " * 75_000, "a." * 1_000_000, "pin:a-" * 300_000, "a" * 2_000_000 + ":b"):
+        started = time.process_time()
+        P.find(t, known, P.words_of(known))
+        assert time.process_time() - started < 6  # under 2 s on a free machine
+    spans = P.find("mail: some.body@example.org " * 3, known, None)[1]
+    assert [k for _, k, _ in spans] == [0, 0, 0]
+
+
+def graph_by_hand(texts, confidence=0.5, support=3):
+    """The accepted patterns by the definition: whole-corpus counts, plain loops."""
+    import math
+    from collections import Counter, defaultdict
+
+    places = [(P.pattern(t, m.end()), m[1]) for t in texts for m in P._PLACE.finditer(t)]
+    total, edges, seed = Counter(p for p, _ in places), Counter(), defaultdict(bool)
+    for t in texts:
+        base = P.base_spans(t)
+        for a, b, strong in [(x[0], x[2], True) for x in base] + P.strings(t, base):
+            if P.pattern(t, a) is not None:
+                edges[P.pattern(t, a), t[a:b]] += 1
+                seed[P.pattern(t, a), t[a:b]] |= strong
+    accepted = set()
+    while True:
+        strings = {s for _, s in edges}
+        sure = {s: float(any(seed[e] for e in edges if e[1] == s)) for s in strings}
+        held, now, last, rounds = set(), set(), -1.0, 0
+        while True:
+            score = {}
+            for p in {p for p, _ in edges}:
+                own = [(s, n) for (q, s), n in edges.items() if q == p]
+                if sum(sure[s] >= confidence for s, _ in own) >= support:
+                    score[p] = sum(n * sure[s] for s, n in own) / (max(total[p], sum(n for _, n in own)) + 1)
+            held, now, rounds = now, {p for p, c in score.items() if c >= confidence}, rounds + 1
+            if now <= held and sum(score.values()) - last < 0.01 and rounds >= 3:
+                break
+            last = sum(score.values())
+            for s in strings:
+                ps = [p for p, x in edges if x == s]
+                first = float(any(seed[p, s] for p in ps))
+                sure[s] = max(first, 1 - math.prod(1 - score.get(p, 0.0) for p in ps))
+        if now <= accepted:
+            return sorted(now)
+        new = {x.rstrip(".:!?+/-") for p, x in places if p in now - accepted} - strings
+        accepted = now
+        if not new:
+            return sorted(now)
+        for p, x in places:
+            if x.rstrip(".:!?+/-") in new:
+                edges[p, x.rstrip(".:!?+/-")] += 1
+
+
+def test_the_graph_equals_plain_loops(spark):
+    rng = random.Random(11)
+    token = lambda: rng.choice(["ab1", "swordfish", "4821", "k9z", "zebra", "lion", "blue", "house", "".join(rng.choice("0123456789abcdef") for _ in range(24))])
+    for _ in range(3):
+        texts = [" ".join(rng.choice(["password=", "pwd: ", "pin - ", "the ", "a ", "KEY:"]) + token() + rng.choice(["", ",", "."]) for _ in range(4)) for _ in range(60)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        assert P.learn_patterns(docs) == graph_by_hand(texts)
