@@ -10,8 +10,8 @@ from chronoline.operators import features as ft, intervals as iv, ml, pooling, s
 from chronoline.plans.catalog import query
 from chronoline.plans.event_queries import _round, r6s
 from chronoline.plans.metric_queries import SPLIT_SQL
-from chronoline.session import settle
-from chronoline.sources import edf
+from chronoline.session import scratch_path, settle
+from chronoline.sources import edf, edf_format
 
 L, WIN, STRIDE = 64, 96, 48
 
@@ -430,3 +430,35 @@ def _(s):
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return d.select("path", "label", "sfreq", "t0", F.size("samples").cast("bigint").alias("n"), (F.round(total, 3) + 0.0).alias("total"),
                     F.round(F.array_max("samples").cast("double"), 5).alias("hi"))
+
+
+def edf_folder(s) -> str:
+    """A folder of EDF files, one for each clip, in the session's shared folder."""
+    folder = scratch_path(s.spark)
+    named = edf_files(s).withColumn("path", F.concat("path", F.lit(".edf")))
+    edf.write_files(named, folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+_PATH = r"(clip/\d+)\.edf$"
+
+
+@query("edf_headers", """
+SELECT 'clip/' || clip_id AS file, 'EEG L' AS label, 1706756645.0::DOUBLE AS start_s, 5::BIGINT AS n_records, 64.0::DOUBLE AS sfreq, -1.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+FROM window_v GROUP BY clip_id HAVING count(*) = 5""", ("window_v",))
+def _(s):
+    h = edf.read_headers(s.spark, edf_folder(s))
+    return h.select(F.regexp_extract("path", _PATH, 1).alias("file"), "label", "start_s", "n_records", "sfreq", "lo", "hi")
+
+
+@query("edf_format", """
+WITH d AS (SELECT clip_id, w_idx // 2 AS block_id, unnest(samples)::DOUBLE AS x FROM window_v QUALIFY count(*) OVER (PARTITION BY clip_id) = 5),
+p AS (SELECT clip_id, block_id, floor((x + 1.0) * 32767.5) * (2.0 / 65535) - 1.0 AS y FROM d WHERE block_id >= 1)
+SELECT 'clip/' || clip_id AS file, block_id, 1706756645.0 + 2 * block_id AS t0, count(*) AS n, round(sum(y), 3) + 0.0 AS total, round(max(y), 5) AS hi
+FROM p GROUP BY clip_id, block_id""", ("window_v",))
+def _(s):
+    signals = edf_format.register(s.spark).read.format("edf").option("records", 2).load(edf_folder(s))
+    part = signals.where("label = 'EEG L' AND t0 >= 1706756647")
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return part.select(F.regexp_extract("path", _PATH, 1).alias("file"), "block_id", "t0", F.size("samples").cast("bigint").alias("n"),
+                       (F.round(total, 3) + 0.0).alias("total"), F.round(F.array_max("samples").cast("double"), 5).alias("hi"))

@@ -50,18 +50,50 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_names(schema))
 
 
-def _open(path: str):
+def file_system(path: str):
+    """(file system, path on it, what to put before its paths) of a path as Spark writes it."""
     from pyarrow import fs
 
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
     for scheme in ("s3a://", "s3n://"):  # Spark's names of the store
         if path.startswith(scheme):
             path = "s3://" + path[len(scheme):]
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/"), "file:"
     system, where = fs.FileSystem.from_uri(path)
+    return system, where, path[: len(path) - len(where.rstrip("/"))] if path.rstrip("/").endswith(where.rstrip("/")) else ""
+
+
+def _open(path: str):
+    system, where, _ = file_system(path)
     return system.open_input_file(where)
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write (path, content) rows as files under a folder that all executors share; gives the paths written.
+
+    Each file is written beside its place and then moved there, so a task that is run again, or
+    twice, leaves the same files.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        system, where, prefix = file_system(folder)
+        for b in batches:
+            done = []
+            for p, raw in zip(b["path"], b["content"]):
+                target = f"{where}/{p}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                beside = f"{target}.{uuid.uuid4().hex}"
+                with system.open_output_stream(beside) as f:
+                    f.write(bytes(raw))
+                system.move(beside, target)
+                done.append(prefix + target)
+            yield pd.DataFrame({"path": done})
+
+    return files.select("path", "content").mapInPandas(write, "path string")
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """Channel rows of every EDF file under a folder, from header bytes only."""
     files = (
