@@ -5,10 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chronoline.functions.hashing import uniform
 from chronoline.functions.numbers import let
@@ -53,23 +50,51 @@ def mcnemar(pred: DataFrame, run_a: int, run_b: int, key: str = "clip") -> DataF
     return n.withColumn("p", binomial_two_sided(F.col("a_only"), F.col("a_only") + F.col("b_only")))
 
 
-def pairwise_mcnemar(pred: DataFrame, key: str = "clip", run: str = "run_id") -> DataFrame:
-    """McNemar test of every unordered pair of runs, and whether their labels agree.
+#: Rows of predictions in one bucket of clips, about.
+BUCKET = 1 << 15
+
+
+def correctness_bitmaps(pred: DataFrame, key: str = "clip", run: str = "run_id", bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(flags, labels): 64 clips to a word, what each run has seen and has right, and its clips of each label.
 
-    A clip carries one correctness flag per run; the number of runs is small and
-    fixed by the study, so pairs are formed inside the clip's own row.
+    Clips are numbered inside buckets of their hash, of about ``bucket`` rows each. ``flags`` has _b, _w, r, seen
+    and right; ``labels`` has _b, _w, y, r and bits.
     """
-    per_clip = pred.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(run).alias("r"), F.col("y"), (F.col("pred") == F.col("y")).alias("ok")))).alias("runs")
+    flags = pred.groupBy(key, run).agg(F.max("y").alias("y"), F.max((F.col("pred") == F.col("y")).cast("int")).alias("_ok"))
+    flags = settle(flags.select(F.col(key).alias("_k"), F.col(run).alias("r"), "y", "_ok"))
+    buckets = max(1, -(-flags.count() // bucket))
+    placed = flags.withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(buckets)))
+    placed = placed.withColumn("_i", F.dense_rank().over(W.partitionBy("_b").orderBy("_k")) - 1)
+    words = placed.withColumn("_w", F.shiftright("_i", 6)).withColumn("_bit", F.expr("shiftleft(1L, _i & 63)"))
+    none = F.lit(0).cast("bigint")
+    seen = words.groupBy("_b", "_w", "r").agg(
+        F.bit_or("_bit").alias("seen"), F.coalesce(F.bit_or(F.when(F.col("_ok") == 1, F.col("_bit"))), none).alias("right")
     )
-    a = per_clip.select(F.col("runs"), F.explode("runs").alias("a"))
-    ab = a.select("a", F.explode(F.filter("runs", lambda b: b["r"] > F.col("a.r"))).alias("b"))
-    n = ab.groupBy(F.col("a.r").alias("run_a"), F.col("b.r").alias("run_b")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("a.ok") & ~F.col("b.ok")).alias("a_only"),
-        F.count_if(~F.col("a.ok") & F.col("b.ok")).alias("b_only"),
-        F.count_if(F.col("a.y") != F.col("b.y")).alias("label_conflicts"),
+    return settle(seen), settle(words.filter(F.col("y").isNotNull()).groupBy("_b", "_w", "y", "r").agg(F.bit_or("_bit").alias("bits")))
+
+
+def pairwise_mcnemar(pred: DataFrame, key: str = "clip", run: str = "run_id", bucket: int = BUCKET) -> DataFrame:
+    """McNemar test of every unordered pair of runs, and whether their labels agree.
+
+    Runs meet word by word of their bitmaps, and bits count the clips: rows are runs x words of 64
+    clips. Pairs without a common clip are left out.
+    """
+    flags, labels = correctness_bitmaps(pred, key, run, bucket)
+    sides = lambda d, columns: (d.withColumnsRenamed({c: f"{c}_{s}" for c in ("r", *columns)}) for s in "ab")
+    a, b = sides(flags, ("seen", "right"))
+    both = F.col("seen_a").bitwiseAND(F.col("seen_b"))
+    only = lambda x, y: both.bitwiseAND(F.col(x)).bitwiseAND(F.bitwise_not(F.col(y)))
+    bits = lambda c: F.sum(F.bit_count(c)).cast("bigint")
+    n = a.join(b, ["_b", "_w"]).filter("r_a < r_b").groupBy(F.col("r_a").alias("run_a"), F.col("r_b").alias("run_b")).agg(
+        bits(both).alias("n"), bits(only("right_a", "right_b")).alias("a_only"), bits(only("right_b", "right_a")).alias("b_only")
+    ).filter("n > 0")
+    x, y = sides(labels, ("bits",))
+    same = x.join(y, ["_b", "_w", "y"]).filter("r_a < r_b").groupBy(F.col("r_a").alias("run_a"), F.col("r_b").alias("run_b")).agg(
+        bits(F.col("bits_a").bitwiseAND(F.col("bits_b"))).alias("_same")
     )
-    return n.withColumn("p", binomial_two_sided(F.col("a_only"), F.col("a_only") + F.col("b_only")))
+    joined = n.join(same, ["run_a", "run_b"], "left")
+    out = joined.withColumn("label_conflicts", F.col("n") - F.coalesce("_same", F.lit(0))).drop("_same")
+    return out.withColumn("p", binomial_two_sided(F.col("a_only"), F.col("a_only") + F.col("b_only")))
 
 
 def null_calibration(pred: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -86,72 +111,64 @@ def null_calibration(pred: DataFrame, alpha: float = 0.05) -> DataFrame:
     return pairs.withColumn("_f", f1.select(F.struct("*")).scalar()).select(*pairs.columns, "_f.*")
 
 
-def _packed(cells: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """All cells as one row: at most K^3 of them, however many clips there are."""
-    packed = cells.agg(F.array_sort(F.collect_list(F.struct(*fields, "n"))).alias("cells"), F.sum("n").alias("total"))
-    bounds = F.transform(
-        F.sequence(F.lit(1), F.size("cells")),
-        lambda i: F.aggregate(F.slice("cells", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, c: a + c["n"]),
+def binomial_draw(n: Column, p: Column, u: Column) -> Column:
+    """A binomial count of n trials (1 or more) at 0 < p < 1 by inverse sums: the first k whose sum of terms passes u.
+
+    Terms are summed where they can change a double, ten standard deviations around the mean, so a
+    draw takes steps with the root of n. The same u gives the same count on every engine.
+    """
+    nd = n.cast("double")
+    spread = F.sqrt(nd * p * (1.0 - p)) * 10.0 + 20.0
+    low = F.greatest(F.lit(0.0), F.floor(nd * p - spread)).cast("bigint")
+    high = F.least(n, F.ceil(nd * p + spread).cast("bigint"))
+    log_head = lambda k: (
+        log_gamma(nd + 1.0) - log_gamma(k + 1.0) - log_gamma(nd - k + 1.0) + k * F.log(p) + (nd - k) * F.log(1.0 - p)
     )
-    return packed.withColumn("bounds", bounds)
 
+    def step(a: Column, k: Column) -> Column:
+        total = a["total"] + a["term"]
+        return F.struct(
+            total.alias("total"), (a["term"] * (n - k) / (k + 1) * p / (1.0 - p)).alias("term"), F.when(u >= total, k + 1).otherwise(a["x"]).alias("x")
+        )
 
-def _parts(df: DataFrame) -> int:
-    """Partitions for replicates: they are tiny before they multiply, so none may be merged."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    start = lambda lo: F.struct(F.lit(0.0).alias("total"), F.exp(log_head(lo.cast("double"))).alias("term"), lo.alias("x"))
+    return let(F.struct(low.alias("lo"), high.alias("hi")), lambda r: F.aggregate(F.sequence(r["lo"], r["hi"] - 1), start(r["lo"]), step)["x"])
 
 
-def resample_draws(cells: DataFrame, fields: Sequence[str], n_rep: int, seed: int) -> DataFrame:
-    """Bootstrap counts per replicate from portable seeded draws.
+def resample(cells: DataFrame, fields: Sequence[str], n_rep: int, seed: int) -> DataFrame:
+    """Bootstrap counts per replicate: multinomial draws over the cells, as conditional binomials.
 
-    Draw j of replicate r falls into the cell that holds position floor(u * n).
+    The metrics depend on clips only through the cell counts (at most K^3), and resampling n clips with
+    replacement makes those multinomial. Cell after cell takes its share of the draws that are
+    left, by one seeded uniform for each replicate and cell; clips are never repeated.
     """
-    packed = settle(_packed(cells, fields))
+    packed = cells.agg(F.array_sort(F.collect_list(F.struct(*fields, "n"))).alias("cells"), F.sum("n").alias("total"))
     base = packed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
-    base = base.repartition(_parts(cells), "rep")
-    draws = base.select("rep", "bounds", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1)).alias("j"))
-    at = F.floor(uniform(F.col("j"), F.lit(seed) + F.col("rep") * 7919 + 1) * F.col("total"))
-    cell = let(at, lambda a: F.size(F.filter("bounds", lambda b: b <= a)))
-    counts = draws.select("rep", cell.alias("_i")).groupBy("rep", "_i").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    names = packed.select(F.posexplode("cells").alias("_i", "c")).select("_i", *[f"c.{f}" for f in fields])
-    return counts.join(F.broadcast(names), "_i").drop("_i")
-
-
-def resample_multinomial(cells: DataFrame, fields: Sequence[str], n_rep: int, seed: int) -> DataFrame:
-    """Bootstrap counts per replicate as multinomial draws over the cells.
-
-    The metrics depend on clips only through the cell counts, and resampling n clips
-    with replacement makes those multinomial; the cost no longer depends on n.
-    """
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def draw(rep: pd.Series, sizes: pd.Series) -> pd.Series:
-        out = []
-        for r, c in zip(rep, sizes):
-            c = np.asarray(c, dtype=np.float64)
-            out.append(np.random.default_rng([seed, int(r)]).multinomial(int(c.sum()), c / c.sum()).tolist())
-        return pd.Series(out)
-
-    base = _packed(cells, fields).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
-    base = base.repartition(_parts(cells), "rep")
-    drawn = base.select("rep", "cells", draw("rep", F.transform("cells", lambda c: c["n"])).alias("_n"))
+    # replicates are tiny before they multiply, so a given number of partitions, which none may merge
+    base = base.filter("total > 0").repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
+    start = F.struct(F.col("total").alias("left"), F.col("total").alias("weight"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(a: Column, i: Column) -> Column:
+        c = F.get("cells", i)["n"]
+        u = uniform(i.cast("bigint"), F.lit(seed) + F.col("rep") * 7919 + 1)
+        drawn = F.when(c == a["weight"], a["left"]).when(a["left"] == 0, F.lit(0).cast("bigint")).otherwise(
+            binomial_draw(a["left"], c.cast("double") / a["weight"], u)
+        )
+        return let(drawn, lambda x: F.struct((a["left"] - x).alias("left"), (a["weight"] - c).alias("weight"), F.concat(a["out"], F.array(x)).alias("out")))
+
+    drawn = base.select("rep", "cells", F.aggregate(F.sequence(F.lit(0), F.size("cells") - 1), start, step)["out"].alias("_n"))
     return drawn.select("rep", F.explode(F.arrays_zip("cells", "_n")).alias("z")).select(
         "rep", *[F.col(f"z.cells.{f}").alias(f) for f in fields], F.col("z._n").alias("n")
     ).filter(F.col("n") > 0)
 
 
-_RESAMPLE = {"draws": resample_draws, "multinomial": resample_multinomial}
-
-
 def bootstrap_diff(
     pred: DataFrame, run_a: int, run_b: int, metric: str = "macro_f1", n: int = 2000, seed: int = 0,
-    level: float = 0.95, method: str = "multinomial", key: str = "clip",
+    level: float = 0.95, key: str = "clip",
 ) -> DataFrame:
     """Paired bootstrap of the metric difference a - b: mean and interval."""
     cells = paired_runs(pred, run_a, run_b, key).groupBy("y", "pred_a", "pred_b").agg(F.count(F.lit(1)).alias("n"))
-    res = _RESAMPLE[method](cells, ("y", "pred_a", "pred_b"), n, seed)
+    res = resample(cells, ("y", "pred_a", "pred_b"), n, seed)
     sides = res.select(
         "rep", "y", "n", F.explode(F.array(
             F.struct(F.lit(1).alias("side"), F.col("pred_a").alias("pred")),
@@ -168,11 +185,10 @@ def bootstrap_diff(
 
 def bootstrap_interval(
     pred: DataFrame, run_id: int, metric: str = "macro_f1", n: int = 2000, seed: int = 0, level: float = 0.95,
-    method: str = "multinomial",
 ) -> DataFrame:
     """Bootstrap mean and interval of one run's metric."""
     cells = pred.filter(F.col("run_id") == run_id).groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n"))
-    res = _RESAMPLE[method](cells, ("y", "pred"), n, seed)
+    res = resample(cells, ("y", "pred"), n, seed)
     m = summarise_classes(per_class(res, ("rep",)), ("rep",))
     lo = (1.0 - level) / 2.0
     return m.agg(

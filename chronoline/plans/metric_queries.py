@@ -246,43 +246,64 @@ def _(s):
 N_REP = 2000
 
 
+# a binomial count by inverse sums from the seeded uniform u: n trials left, share c of what is left of the weight t
+_BINOMIAL = """CASE WHEN c = t THEN n WHEN n = 0 THEN 0 ELSE list_reduce(
+    list_transform(range(lo, hi), lambda k: {'total': 0.0::DOUBLE, 'term': 0.0::DOUBLE, 'x': k}),
+    lambda a, e: {'total': a.total + a.term, 'term': a.term * (n - e.x) / (e.x + 1) * p / (1 - p), 'x': CASE WHEN u >= a.total + a.term THEN e.x + 1 ELSE a.x END},
+    {'total': 0.0::DOUBLE, 'term': exp(lgamma(n + 1) - lgamma(lo + 1) - lgamma(n - lo + 1) + lo * ln(p) + (n - lo) * ln(1 - p)), 'x': lo}).x END"""
+
+
 def _boot_sql(runs_: str, fields: str, side_rows: str, tail: str) -> str:
+    """Multinomial resamples of the cells of ``runs_``, cell after cell."""
+    u = f"{mix_sql('i', '0 + rep * 7919 + 1')} / 2147483647.0::DOUBLE"
     return f"""
-WITH {runs_},
-c1 AS (SELECT {fields}, count(*) AS n FROM base GROUP BY ALL),
-c2 AS (SELECT *, sum(n) OVER (ORDER BY {fields} ROWS UNBOUNDED PRECEDING) AS hi, sum(n) OVER () AS total FROM c1),
-reps AS (SELECT unnest(range({N_REP})) AS rep), tot AS (SELECT max(total)::BIGINT AS total FROM c2),
-d AS (SELECT rep, unnest(range(total)) AS j, total FROM reps, tot),
-hit AS (SELECT rep, floor({mix_sql('j', '0 + rep * 7919 + 1')} / 2147483647.0 * total)::BIGINT AS pos FROM d),
-res AS (SELECT rep, {fields}, count(*) AS n FROM hit JOIN c2 ON pos >= hi - c2.n AND pos < hi GROUP BY ALL),
+WITH RECURSIVE {runs_},
+c0 AS (SELECT {fields}, count(*) AS c FROM base GROUP BY ALL), c1 AS (SELECT *, row_number() OVER (ORDER BY {fields}) - 1 AS i FROM c0),
+d AS (
+    SELECT rep, -1::BIGINT AS i, 0::BIGINT AS x, (SELECT sum(c) FROM c1)::BIGINT AS n, (SELECT sum(c) FROM c1)::BIGINT AS t FROM range({N_REP}) r(rep)
+    UNION ALL
+    SELECT rep, i, x, (n - x)::BIGINT, (t - c)::BIGINT FROM (
+        SELECT *, {_BINOMIAL} AS x FROM (
+            SELECT *, greatest(0, floor(n * p - spread))::BIGINT AS lo, least(n, ceil(n * p + spread))::BIGINT AS hi FROM (
+                SELECT *, sqrt(n * p * (1 - p)) * 10 + 20 AS spread FROM (
+                    SELECT d.rep, c1.i, c1.c, d.n, d.t, c1.c / d.t::DOUBLE AS p, {u.replace('(i AS', '(c1.i AS')} AS u FROM d d JOIN c1 c1 ON c1.i = d.i + 1))))),
+res AS (SELECT rep, {fields}, x AS n FROM d JOIN c1 USING (i) WHERE x > 0),
 {side_rows}, {tail}"""
 
 
-@query("bootstrap_difference", _boot_sql(
+_DIFFERENCE = _boot_sql(
     "base AS (SELECT a.y, a.pred AS pred_a, b.pred AS pred_b FROM prediction a JOIN prediction b ON a.clip = b.clip WHERE a.run_id = 1 AND b.run_id = 2)",
     "y, pred_a, pred_b",
     "cells AS (SELECT rep, 1 AS side, y, pred_a AS pred, sum(n)::BIGINT AS n FROM res GROUP BY ALL UNION ALL SELECT rep, -1, y, pred_b, sum(n)::BIGINT FROM res GROUP BY ALL)",
     report_sql("rep, side", "cells") + ", df AS (SELECT rep, sum(macro_f1 * side) AS d FROM rep GROUP BY rep) "
-    "SELECT round(avg(d), 6) AS mean_diff, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi FROM df"), ("prediction",))
+    "SELECT round(avg(d), 6) AS mean_diff, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi FROM df")
+
+
+@query("bootstrap_difference", _DIFFERENCE, ("prediction",))
 def _(s):
-    out = stats.bootstrap_diff(s.prediction, 1, 2, n=N_REP, seed=0, method="draws")
-    return _round(out, "mean_diff", "lo", "hi")
+    return _round(stats.bootstrap_diff(s.prediction, 1, 2, n=N_REP, seed=0), "mean_diff", "lo", "hi")
 
 
-@query("bootstrap_interval", _boot_sql(
-    "base AS (SELECT y, pred FROM prediction WHERE run_id = 1)", "y, pred", "cells AS (SELECT rep, y, pred, n FROM res)",
-    report_sql("rep", "cells") + " SELECT 1 AS run_id, round(avg(macro_f1), 6) AS mean, round(quantile_cont(macro_f1, 0.025), 6) AS lo, "
-    "round(quantile_cont(macro_f1, 0.975), 6) AS hi FROM rep"), ("prediction",))
+@query("bootstrap_difference_multinomial", _DIFFERENCE, ("prediction",))
 def _(s):
-    return _round(stats.bootstrap_interval(s.prediction, 1, n=N_REP, method="draws"), "mean", "lo", "hi")
+    return _round(stats.bootstrap_diff(s.prediction, 1, 2, n=N_REP, seed=0), "mean_diff", "lo", "hi")
+
+
+def _interval_sql(run: int) -> str:
+    return _boot_sql(
+        f"base AS (SELECT y, pred FROM prediction WHERE run_id = {run})", "y, pred", "cells AS (SELECT rep, y, pred, n FROM res)",
+        report_sql("rep", "cells") + f" SELECT {run} AS run_id, round(avg(macro_f1), 6) AS mean, round(quantile_cont(macro_f1, 0.025), 6) AS lo, "
+        "round(quantile_cont(macro_f1, 0.975), 6) AS hi FROM rep")
 
 
-@query("bootstrap_difference_multinomial")
+@query("bootstrap_interval", _interval_sql(1), ("prediction",))
 def _(s):
-    return _round(stats.bootstrap_diff(s.prediction, 1, 2, n=2000, seed=0), "mean_diff", "lo", "hi")
+    return _round(stats.bootstrap_interval(s.prediction, 1, n=N_REP), "mean", "lo", "hi")
 
 
-@query("bootstrap_overlap")
+@query("bootstrap_overlap", f"""
+SELECT a.run_id AS run_a, a.lo AS lo_a, a.hi AS hi_a, b.run_id AS run_b, b.lo AS lo_b, b.hi AS hi_b, NOT (a.lo > b.hi OR b.lo > a.hi) AS overlap
+FROM ({_interval_sql(1)}) a, ({_interval_sql(2)}) b""", ("prediction",))
 def _(s):
     p = s.prediction
     return _round(stats.intervals_overlap(stats.bootstrap_interval(p, 1), stats.bootstrap_interval(p, 2)), "lo_a", "hi_a", "lo_b", "hi_b")

@@ -109,17 +109,59 @@ def test_mcnemar_without_discordant_pairs(spark):
     assert stats.mcnemar(df, 1, 2).collect()[0]["p"] == 1.0
 
 
-def test_both_resampling_methods_agree(spark):
+def test_resampling_agrees_with_draws_of_clips(spark):
+    """The cells' multinomial draws against numpy resamples of the clips themselves."""
+    import numpy as np
+
     r = random.Random(5)
     rows = []
     for c in range(400):
         y = r.randint(0, 1)
         rows += [(1, c, y, y if r.random() < 0.9 else 1 - y), (2, c, y, y if r.random() < 0.8 else 1 - y)]
     df = spark.createDataFrame(rows, PRED)
-    a = stats.bootstrap_diff(df, 1, 2, n=400, method="draws").collect()[0]
-    b = stats.bootstrap_diff(df, 1, 2, n=400).collect()[0]
-    assert a["mean_diff"] == pytest.approx(b["mean_diff"], abs=0.01)
-    assert a["lo"] == pytest.approx(b["lo"], abs=0.02) and a["hi"] == pytest.approx(b["hi"], abs=0.02)
+    got = stats.bootstrap_diff(df, 1, 2, n=800).collect()[0]
+    ok = np.array([[x[3] for x in rows if x[0] == k] for k in (1, 2)]), np.array([x[2] for x in rows if x[0] == 1])
+    rng, diffs = np.random.default_rng(1), []
+    for _ in range(800):
+        at = rng.integers(0, 400, 400)
+        y = ok[1][at]
+        f1 = [np.mean([2 * ((p == c) & (y == c)).sum() / ((p == c).sum() + (y == c).sum()) for c in (0, 1)]) for p in ok[0][:, at]]
+        diffs.append(f1[0] - f1[1])
+    assert got["mean_diff"] == pytest.approx(np.mean(diffs), abs=0.005)
+    assert got["lo"] == pytest.approx(np.quantile(diffs, 0.025), abs=0.015) and got["hi"] == pytest.approx(np.quantile(diffs, 0.975), abs=0.015)
+
+
+def test_resampled_counts_are_multinomial(spark):
+    """Totals hold, means and variances are the multinomial's, also for cells of millions of clips."""
+    import numpy as np
+
+    cells = spark.createDataFrame([(0, 7_000_000), (1, 2_999_990), (2, 10)], "y int, n long")
+    rows = stats.resample(cells, ("y",), 200, 7).groupBy("rep").pivot("y", [0, 1, 2]).agg(F.sum("n")).fillna(0).collect()
+    x = np.array([[r["0"], r["1"], r["2"]] for r in rows], float)
+    assert len(x) == 200 and (x.sum(axis=1) == 10_000_000).all()
+    assert abs(x[:, 0].mean() - 7e6) < 4 * np.sqrt(2.1e6 / 200) and 0.75 < x[:, 0].var() / 2.1e6 < 1.3
+    assert 9 < x[:, 2].mean() < 11 and 6 < x[:, 2].var() < 14
+    small = spark.createDataFrame([(0, 1), (1, 1)], "y int, n long")
+    assert {r["n"] for r in stats.resample(small, ("y",), 50, 1).groupBy("rep").agg(F.sum("n").alias("n")).collect()} == {2}
+    assert stats.resample(small.filter("n > 5"), ("y",), 5, 1).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [50, 1 << 15])
+def test_pairs_of_runs_equal_loops(spark, bucket):
+    r = random.Random(9)
+    rows = [(run, f"c{c}", r.randint(0, 2) if c % 7 == 0 else c % 3, r.randint(0, 2)) for run in range(6) for c in range(500) if (c + run) % 5]
+    df = spark.createDataFrame([*rows, (9, "other", 1, 1)], "run_id int, clip string, y int, pred int").repartition(3)
+    got = {(x["run_a"], x["run_b"]): (x["n"], x["a_only"], x["b_only"], x["label_conflicts"]) for x in stats.pairwise_mcnemar(df, bucket=bucket).collect()}
+    by = {run: {c: (y, p) for k, c, y, p in rows if k == run} for run in range(6)}
+    want = {}
+    for a in range(6):
+        for b in range(a + 1, 6):
+            both = [(by[a][c], by[b][c]) for c in by[a] if c in by[b]]
+            right = [(x[0] == x[1], y[0] == y[1]) for x, y in both]
+            want[a, b] = (len(both), sum(p and not q for p, q in right), sum(q and not p for p, q in right), sum(x[0] != y[0] for x, y in both))
+    assert got == want
+    flags, labels = stats.correctness_bitmaps(df, bucket=bucket)
+    assert flags.count() <= 7 * (500 // 64 + 2 + 3000 // bucket * 2) and stats.pairwise_mcnemar(df.filter("run_id = 1")).count() == 0
 
 
 def clips_frame(spark, seed=1):
