@@ -198,11 +198,10 @@ def signal_quality(
 def quality_overview(quality: DataFrame) -> DataFrame:
     """Share of each kind and spread of the distinct counts."""
     is_ = lambda k: F.avg((F.col("kind") == k).cast("double"))
-    return quality.agg(
-        F.count(F.lit(1)).alias("n"), is_("flat").alias("flat"), is_("degenerate").alias("degenerate"), is_("normal").alias("normal"),
-        F.percentile("n_uniq", F.lit(0.5)).alias("median_uniq"), F.percentile("n_uniq", F.lit(0.1)).alias("p10_uniq"),
-        F.percentile("n_uniq", F.lit(0.9)).alias("p90_uniq"),
-    )
+    shares = quality.agg(F.count(F.lit(1)).alias("n"), is_("flat").alias("flat"), is_("degenerate").alias("degenerate"), is_("normal").alias("normal"))
+    spread = exact_quantiles(quality, [], "n_uniq", (0.5, 0.1, 0.9)).select(
+        F.struct(F.col("q_0").alias("median_uniq"), F.col("q_1").alias("p10_uniq"), F.col("q_2").alias("p90_uniq")).alias("_q"))
+    return shares.withColumn("_q", spread.scalar()).select(*shares.columns, "_q.*")
 
 
 def _bad() -> Column:
@@ -336,14 +335,24 @@ def motion_energy(frames: DataFrame, keys: Sequence[str] = ("clip_id",), order:
 
 
 def quantisation_audit(signal: DataFrame, file: str = "file", channel: str = "channel", samples: str = "samples", levels: int = 65535) -> DataFrame:
-    """Step size and distinct levels of a channel under the file's and its own range."""
-    x = signal.select(file, channel, F.explode(samples).alias("x")).withColumn("x", F.col("x").cast("double"))
-    own = x.groupBy(file, channel).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    """Step size and distinct levels of a channel under the file's and its own range.
+
+    Ranges come from the blocks' array bounds. Levels are numbered inside each block's array; a block
+    sends its distinct ones only, and they are set as bits of the channel's bitmaps, combined before
+    the shuffle: 8 KB for 65,536 levels, however many samples there are.
+    """
+    blocks = signal.select(file, channel, F.transform(samples, lambda v: v.cast("double")).alias("_x"))
+    own = settle(blocks.groupBy(file, channel).agg(F.min(F.array_min("_x")).alias("_lo"), F.max(F.array_max("_x")).alias("_hi")))
     shared = own.groupBy(file).agg(F.min("_lo").alias("_flo"), F.max("_hi").alias("_fhi"))
     ranges = own.join(shared, file).withColumn("shared_step", (F.col("_fhi") - F.col("_flo")) / levels).withColumn("own_step", (F.col("_hi") - F.col("_lo")) / levels)
-    j = x.join(ranges, [file, channel])
-    level = lambda lo, st: F.floor((F.col("x") - F.col(lo)) / F.when(F.col(st) > 0, F.col(st)).otherwise(F.lit(1.0)))
-    return j.groupBy(file, channel).agg(
-        F.max("shared_step").alias("shared_step"), F.max("own_step").alias("own_step"),
-        F.count_distinct(level("_flo", "shared_step")).alias("shared_levels"), F.count_distinct(level("_lo", "own_step")).alias("own_levels"),
-    )
+    level = lambda lo, st: F.transform("_x", lambda v: F.floor((v - F.col(lo)) / F.when(F.col(st) > 0, F.col(st)).otherwise(F.lit(1.0))))
+    own_kind = lambda kind, lo, st: F.transform(F.array_distinct(F.array_compact(level(lo, st))), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+    sent = blocks.join(ranges, [file, channel]).select(
+        file, channel, F.explode(F.concat(own_kind("shared", "_flo", "shared_step"), own_kind("own", "_lo", "own_step"))).alias("_l"))
+    maps = sent.groupBy(file, channel, "_l.kind", F.bitmap_bucket_number("_l.v").alias("_b")).agg(
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("_l.v"))).alias("_n"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("_n"))), F.lit(0)).cast("bigint")
+    counts = maps.groupBy(file, channel).agg(of("shared").alias("shared_levels"), of("own").alias("own_levels"))
+    zero = F.lit(0).cast("bigint")
+    return ranges.join(counts, [file, channel], "left").select(
+        file, channel, "shared_step", "own_step", F.coalesce("shared_levels", zero).alias("shared_levels"), F.coalesce("own_levels", zero).alias("own_levels"))

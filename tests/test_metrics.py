@@ -206,12 +206,47 @@ def test_run_tables(spark):
     assert gate["passed"] and gate["worst"] == 0.0
 
 
-@pytest.mark.parametrize("blocks", [Blocks(1e6), Blocks(0.5), Blocks(100.0, hot_rows=4)])
-def test_exact_quantiles(spark, blocks):
+@pytest.mark.parametrize("few", [2, 4096])
+def test_exact_quantiles(spark, few):
     r = random.Random(8)
     rows = [(k, r.choice([r.random() * 9, 3.0, None])) for k in (1, 1, 2) for _ in range(60)] + [(3, 7.0)]
-    got = {x["k"]: x for x in ranking.exact_quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", (0.1, 0.5, 0.9), blocks).collect()}
+    got = {x["k"]: x for x in ranking.exact_quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", (0.1, 0.5, 0.9), few).collect()}
     for k in (1, 2, 3):
         mine = [v for g, v in rows if g == k and v is not None]
         assert got[k]["n"] == len(mine)
         assert [got[k][f"q_{i}"] for i in range(3)] == pytest.approx(list(np.percentile(mine, [10, 50, 90])))
+
+
+def test_keys_keep_the_order_of_doubles(spark):
+    import struct
+
+    r = random.Random(4)
+    xs = [0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), 1.0, 0.9999999999999999, 2.0, 4.0, 1.9999999999999998]
+    xs += [struct.unpack("<d", struct.pack("<Q", r.getrandbits(64)))[0] for _ in range(3000)] + [2.0**k for k in range(-1074, 1024)] + [-(3.0**k) for k in range(-600, 600)]
+    xs = [x for x in xs if x == x]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", ranking.order_key(F.col("x")).alias("k")).collect()
+    for row in rows:  # the bit pattern, mirrored below zero
+        bits = struct.unpack("<q", struct.pack("<d", abs(row["x"])))[0]
+        assert row["k"] == (-bits if row["x"] < 0 else bits), row
+    assert spark.range(1).select(ranking.order_key(F.lit(float("nan"))) > ranking.order_key(F.lit(float("inf")))).first()[0]
+
+
+@pytest.mark.parametrize("few", [3, 200, 4096])
+def test_quantiles_by_radix_selection(spark, few):
+    import numpy as np
+
+    r = random.Random(6)
+    rows = [("a", r.random()) for _ in range(900)] + [("b", 0.25)] * 700 + [("b", r.gauss(0, 1e-3)) for _ in range(300)] + [("c", 7.0), ("d", -1.0), ("d", 2.0), ("e", None)]
+    rows += [("f", r.choice([-1, 1]) * 10.0 ** r.uniform(-300, 300)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    qs = (0.5, 0.1, 0.975, 0.0, 1.0)
+    got = {x["g"]: x for x in ranking.exact_quantiles(df, ["g"], "v", qs, few=few).collect()}
+    assert set(got) == set("abcdf")
+    for g in got:
+        own = np.array([v for k, v in rows if k == g and v is not None])
+        assert got[g]["n"] == len(own)
+        for j, q in enumerate(qs):
+            assert got[g][f"q_{j}"] == pytest.approx(np.quantile(own, q), rel=1e-12), (g, q)
+    whole = ranking.exact_quantiles(df.filter("g in ('a', 'b')"), [], "v", (0.5,), few=few).first()
+    assert whole["n"] == 1900 and whole["q_0"] == pytest.approx(np.median([v for k, v in rows if k in "ab"]))
+    assert ranking.exact_quantiles(df.filter("false"), ["g"], "v", (0.5,)).count() == 0
