@@ -439,11 +439,44 @@ def _prediction_rows(s, kept):
     return kept.select(F.col("run_id").cast(s.prediction.schema["run_id"].dataType).alias("run_id"), "clip", "y", "pred", F.col("part").isNull().alias("without_part"))
 
 
-@query("prediction_store", "SELECT run_id, clip, y, pred, true AS without_part FROM prediction WHERE run_id <= 2", ("prediction",))
+@query("prediction_store", "SELECT run_id, clip, y, pred, true AS without_part FROM prediction", ("prediction",))
 def _(s):
-    return _prediction_rows(s, _stored_predictions(s).filter("run_id <= 2"))  # prunes the store's folders
+    return _prediction_rows(s, _stored_predictions(s))
 
 
 @query("prediction_store_runs", "SELECT run_id, clip, y, pred, true AS without_part FROM prediction", ("prediction",))
 def _(s):
     return _prediction_rows(s, _stored_predictions(s))
+
+
+@query("append_log", f"WITH {_SES} SELECT DISTINCT session_key, session_key LIKE '%/s1%' AS first_batch FROM ses", ("manifest",))
+def _(s):
+    """Two batches that overlap, each run twice: every session is logged once, with the first batch it came in."""
+    path = scratch_path(s.spark)
+    ses = s.manifest.select(pt.session_of(pt.clip_dir(F.col("path"))).alias("session_key"))
+    for rows, batch in ((ses.filter("session_key LIKE '%/s1%'"), 1), (ses, 2)) * 2:
+        stores.append_log(rows, path, "session_key", batch)
+    return stores.read_log(s.spark, path).select("session_key", (F.col("batch") == "1").alias("first_batch"))
+
+
+@query("logged_sessions", f"WITH {_SES} SELECT DISTINCT session_key FROM ses", ("manifest",))
+def _(s):
+    path = scratch_path(s.spark)
+    p = s.spark.readStream.schema(s.part.schema).option("pathGlobFilter", "part.parquet").parquet(s.sf_dir)
+    key = F.concat(F.lit("RN"), (F.lit(197) + F.col("p_partkey") % 20).cast("string"), F.lit("/s"), (F.col("p_partkey") % 40).cast("string"))
+    for replay in range(2):  # the second stream starts from nothing again
+        stores.log_stream(p.select(key.alias("session_key")), path, f"{path}/state{replay}", "session_key")
+    return stores.read_log(s.spark, path).select("session_key")
+
+
+@query("sheet_ordinal", """
+SELECT o_orderkey AS row_id, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) AS idx, 'Stage ' || (o_orderkey % 6) AS label, epoch(o_orderdate)::DOUBLE AS start_s
+FROM orders""")
+def _(s):
+    path, k = scratch_path(s.spark), F.col("o_orderkey")
+    sheet = s.orders.select(
+        (k % 8).alias("part"), k.cast("string").alias("row_id"), F.concat(F.lit("Stage "), (k % 6).cast("string")).alias("Event Stage"),
+        F.date_format(F.col("o_orderdate"), "yyyy-MM-dd HH:mm:ss").alias("Start Time"), k)
+    sheet.repartition("part").sortWithinPartitions("part", "o_orderkey").drop("o_orderkey").write.partitionBy("part").option("header", True).csv(path)
+    out = sheets.read_sheet(s.spark, path)
+    return out.select(F.col("row_id").cast("bigint").alias("row_id"), "idx", "label", tf.epoch(F.col("start")).alias("start_s"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from chronoline.functions.timefmt import flexible_timestamp
+from chronoline.session import settle
 
 # fixed values: header fragments that name a field, best first
 HEADER_ALIASES = {
@@ -57,7 +58,22 @@ def normalise_sheet(sheet: DataFrame, day: str | None = None, order: str | None
     )
 
 
+def number_rows(raw: DataFrame, out: str = "idx") -> DataFrame:
+    """Add each row's number in its file, from 1, to rows read from files in splits.
+
+    A split is read in order by one task, so rows are numbered inside it as they come, and by the rows of the
+    splits before it: one count for each split, whatever the size of a file. ``raw`` must be read from files.
+    """
+    placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_m"))
+    placed = settle(placed)
+    splits = placed.groupBy("_file", "_at").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("_file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    starts = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    joined = placed.join(starts, ["_file", "_at"])
+    return joined.select(*raw.columns, (F.col("_m") - F.col("_first") + F.col("_before") + 1).alias(out))
+
+
 def read_sheet(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
-    """A sheet exported as CSV, every cell as text until its field is known."""
+    """A sheet exported as CSV, every cell as text until its field is known; ``idx`` is the row below the header."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return normalise_sheet(raw, day)
+    return normalise_sheet(number_rows(raw), day, order="idx")

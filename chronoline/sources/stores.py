@@ -115,8 +115,45 @@ def pending(sessions: DataFrame, done: DataFrame, key: str = "session") -> DataF
     return sessions.join(done.select(key), key, "left_anti")
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_log(rows: DataFrame, path: str, key: str = "session", batch: int | str | None = None) -> None:
+    """Append rows whose key the log does not have, once however often the job is run.
+
+    A batch owns the folder ``batch=<id>``, which is its entry in the ledger: a batch that is run again
+    replaces what it wrote, and keys that other batches have logged are left out by an anti-join. Of
+    rows with one key one is kept. Without an id, the batch is named by its keys.
+    """
+    spark = rows.sparkSession
+    rows = settle(rows.dropDuplicates([key]))
+    if batch is None:
+        batch = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("h")).select(
+            F.concat(F.lit("k"), F.hex(F.xxhash64("n", "h")))).first()[0]
+    own = f"{path}/batch={batch}"
+    old = read_log(spark, path)
+    if old is not None:
+        others = old.filter(F.col("batch") != F.lit(str(batch))).select(key).distinct()
+        rows = settle(rows.join(others, key, "left_anti"))
+    rows.write.mode("overwrite").parquet(own)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame | None:
+    """The log's rows with the batch each came with, or None if there is no log yet.
+
+    Only batches that ended count: their folders carry Spark's success mark.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS"))
+    folders = [f.getPath().getParent().toString() for f in done or []]
+    if not folders:
+        return None
+    found = spark.read.option("basePath", path).parquet(*folders)
+    return found.withColumn("batch", F.col("batch").cast("string"))
+
+
+def log_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "session") -> None:
+    """Log a stream's new keys, all that is available now; a stream replayed from its start logs nothing twice."""
+    sink = stream.writeStream.foreachBatch(lambda rows, number: append_log(rows, path, key, number)).option("checkpointLocation", checkpoint)
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
 def skip_existing(wanted: DataFrame, outputs: DataFrame, key: str = "path") -> DataFrame:

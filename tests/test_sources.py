@@ -76,7 +76,7 @@ def test_logs_resume_and_documents(spark, tmp_path):
     log = str(tmp_path / "log")
     stores.append_log(sessions.filter("session = 1"), log)
     stores.append_log(sessions.filter("session = 3"), log)
-    assert [r["session"] for r in stores.pending(sessions, spark.read.parquet(log)).collect()] == [2]
+    assert [r["session"] for r in stores.pending(sessions, stores.read_log(spark, log)).collect()] == [2]
     ann = spark.createDataFrame([(1, 0, 5.0)], "session int, idx int, t double")
     qc = spark.createDataFrame([(1, 4), (2, 0)], "session int, n int")
     trace = spark.createDataFrame([(1, "v", 0.0, 0.5)], "session int, modality string, t double, p double")
@@ -169,3 +169,51 @@ def test_prediction_store_reads_whole_and_prunes_folders(spark, tmp_path):
     spark.range(10).selectExpr("id AS clip", "id % 5 AS run_id").write.partitionBy("run_id").parquet(str(tmp_path / "store"))
     kept = stores.read_predictions(spark, str(tmp_path / "store")).filter("run_id <= 2")
     assert kept.count() == 6 and "PartitionFilters: [isnotnull(run_id" in kept._jdf.queryExecution().toString()
+
+
+def test_a_batch_run_twice_is_logged_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = lambda *ks: spark.createDataFrame([(k, f"v{k}") for k in ks], "session int, v string")
+    assert stores.read_log(spark, log) is None
+    for _ in range(2):
+        stores.append_log(rows(1, 2, 2), log, batch=0)
+    stores.append_log(rows(2, 3), log, batch=1)
+    stores.append_log(rows(4), log)
+    stores.append_log(rows(4), log)
+    stores.append_log(rows(), log, batch=2)
+    got = sorted((r["session"], r["v"]) for r in stores.read_log(spark, log).collect())
+    assert got == [(1, "v1"), (2, "v2"), (3, "v3"), (4, "v4")]
+    stores.append_log(rows(1, 2, 2), log, batch=0)  # a late retry
+    assert stores.read_log(spark, log).count() == 4
+    next((tmp_path / "log" / "batch=1").glob("_SUCCESS")).unlink()  # a batch that never ended
+    assert stores.read_log(spark, log).count() == 3
+
+
+def test_a_replayed_stream_logs_nothing_twice(spark, tmp_path):
+    source, log = tmp_path / "in", str(tmp_path / "log")
+    spark.createDataFrame([(k % 5,) for k in range(20)], "session int").write.parquet(str(source))
+    stream = lambda: spark.readStream.schema("session int").parquet(str(source))
+    stores.log_stream(stream(), log, str(tmp_path / "s1"))
+    spark.createDataFrame([(7,), (3,)], "session int").write.mode("append").parquet(str(source))
+    stores.log_stream(stream(), log, str(tmp_path / "s1"))
+    stores.log_stream(stream(), log, str(tmp_path / "s2"))
+    assert sorted(r["session"] for r in stores.read_log(spark, log).collect()) == [0, 1, 2, 3, 4, 7]
+
+
+def test_rows_of_a_split_sheet_keep_their_numbers(spark, tmp_path):
+    lines = ["Event Label,Start,Note"] + [f"Stage {k % 5},2024-01-02 03:04:{k % 60:02d},{k}" for k in range(1, 3001)]
+    lines[7] = "[unit],[s],7"
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.csv").write_text("\n".join(lines[:11]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = sheets.read_sheet(spark, str(tmp_path)).collect()
+        assert spark.read.csv(str(tmp_path / "a.csv")).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert len(rows) == 3010 and all(r["idx"] == int(r["Note"]) for r in rows)
+    assert {r["reason"] for r in rows if r["idx"] == 7} == {"unit_row"}
