@@ -408,7 +408,7 @@ def _(s):
     stream = st.stream_events(scores(source), ev.THRESHOLDS, WIN, MIN_DUR, GAP)
     st.drain(stream, out, state)
     closed = s.spark.read.schema(stream.schema).parquet(out)
-    rest = st.open_events(scores(s.events), closed, ev.THRESHOLDS, WIN, MIN_DUR, GAP)
+    rest = st.open_events(s.spark, state, stream, WIN, MIN_DUR)  # from the stream's state
     return _round(closed.unionByName(rest), "t_start", "t_end", "peak")
 
 

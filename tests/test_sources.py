@@ -134,10 +134,44 @@ def test_stream_agrees_with_batch_at_gap_equality(spark, tmp_path):
     got = sorted((r["t_start"], r["t_end"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     want = sorted((r["t_start"], r["t_end"]) for r in ev.extract_events(df, (0.5,)).collect())
     assert got == want[:-1]  # the last event is still open
+    left = st.open_events(spark, str(tmp_path / "state"), stream).collect()
+    assert [(r["session"], r["modality"], r["thr"], r["t_start"], r["t_end"], r["peak"], r["n_hits"]) for r in left] == [(1, "v", 0.5, *want[-1], 0.9, 1)]
     # a new file continues from the checkpoint
     src.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(5000))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     st.drain(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(want)
+    # rows later than the watermark change nothing, closed or open
+    src.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(2000))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    st.drain(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(want)
+    assert [r["t_start"] for r in st.open_events(spark, str(tmp_path / "state"), stream).collect()] == [5000.0]
+
+
+def test_open_events_without_a_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = st.stream_events(spark.readStream.schema("session int, modality string, ts timestamp, p double").parquet(str(tmp_path / "in")))
+    st.drain(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert st.open_events(spark, str(tmp_path / "state"), stream).count() == 0
+
+
+def test_a_drained_stream_and_its_state_are_the_batch(spark, tmp_path):
+    """Closed and open events together, over several drains of random scores, are the batch operator's, without its source."""
+    import random
+
+    r = random.Random(3)
+    rows = [(k % 3, "v", float(t), r.random()) for t in range(0, 600, 2) for k in range(3) if r.random() < 0.8]
+    df = spark.createDataFrame(rows, "session int, modality string, t double, p double")
+    src = df.select("session", "modality", F.timestamp_micros((F.col("t") * 1e6).cast("bigint")).alias("ts"), "p", "t")
+    (tmp_path / "in").mkdir()
+    stream = st.stream_events(spark.readStream.schema(src.drop("t").schema).parquet(str(tmp_path / "in")), (0.5, 0.8), watermark="10 seconds")
+    for lo in (0, 300):
+        src.filter(F.col("t").between(lo, lo + 298)).drop("t").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        st.drain(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    for f in (tmp_path / "in").glob("*.parquet"):
+        f.write_bytes(b"")  # nothing is left to read again
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).unionByName(st.open_events(spark, str(tmp_path / "state"), stream))
+    columns = ["session", "modality", "thr", "t_start", "t_end", "peak", "n_hits"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, ev.extract_events(df, (0.5, 0.8)).select(*columns).collect()))
 
 
 def test_catalogue_against_sql(spark):
