@@ -98,31 +98,48 @@ TOPICS: dict[str, Topic] = {
 }
 
 
+def _keyed(records: DataFrame, title: str, min_key_len: int) -> DataFrame:
+    """Records with a digest of their title key; those of a short key are left out."""
+    keyed = records.withColumn("_key", title_key(F.col(title))).filter(F.length("_key") >= min_key_len)
+    return keyed.withColumn("title_digest", F.sha2("_key", 256)).drop("_key")
+
+
 def merge_records(
     records: DataFrame, order: str, fields: Sequence[str] = (), min_key_len: int = 12, title: str = "title",
-    source: str = "source_api", cites: str = "cited_by_count",
+    source: str = "source_api", cites: str = "cited_by_count", ident: str | None = None,
 ) -> DataFrame:
     """One record per normalised title.
 
     Keeps the first non-empty value of each field in the declared order, the largest
-    citation count and the sources in order of appearance. Groups are keyed by a
-    digest of the title key and aggregated before the shuffle, so a title with very
-    many copies costs one row per task.
+    citation count and the sources in order of appearance; with ``ident``, also the first
+    record id of each source, as ``record_ids``. Groups are keyed by a digest of the title key
+    and aggregated before the shuffle, so a title with very many copies costs one row per task.
     """
-    keyed = records.withColumn("_key", title_key(F.col(title))).filter(F.length("_key") >= min_key_len)
-    keyed = keyed.withColumn("title_digest", F.sha2("_key", 256)).drop("_key")
+    keyed = _keyed(records, title, min_key_len)
     filled = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+    own = [] if ident is None else [F.min_by(F.col(ident).cast("string"), order).alias("_i")]
     per_source = keyed.groupBy("title_digest", source).agg(
-        F.min(order).alias("_o"), F.count(F.lit(1)).alias("_n"), F.max(cites).alias("_c"),
+        F.min(order).alias("_o"), F.count(F.lit(1)).alias("_n"), F.max(cites).alias("_c"), *own,
         *[F.min_by(F.struct(F.col(order).alias("o"), F.col(f).alias("v")), F.when(filled(f), F.col(order))).alias(f"_f_{f}") for f in fields],
     )
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_o", c))), lambda x: x[c])
     return per_source.groupBy("title_digest").agg(
-        F.min("_o").alias(order), F.sum("_n").alias("n_records"), F.max("_c").alias(cites),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", source))), lambda x: x[source]), "+").alias("sources"),
+        F.min("_o").alias(order), F.sum("_n").alias("n_records"), F.max("_c").alias(cites), F.array_join(in_order(source), "+").alias("sources"),
+        *([] if ident is None else [F.array_join(in_order("_i"), " | ").alias("record_ids")]),
         *[F.min_by(F.col(f"_f_{f}.v"), F.col(f"_f_{f}.o")).alias(f) for f in fields],
     )
 
 
+def also_queries(records: DataFrame, order: str, query: str = "source_query", min_key_len: int = 12, title: str = "title") -> DataFrame:
+    """(title_digest, order, query) of the records merged into the first one of their title.
+
+    A table beside the merged records, in the declared order: a list inside one would grow with the copies.
+    """
+    keyed = _keyed(records, title, min_key_len)
+    first = keyed.groupBy("title_digest").agg(F.min(order).alias("_first"))
+    return keyed.join(first, "title_digest").filter(F.col(order) > F.col("_first")).select("title_digest", order, query)
+
+
 def count_records(records: DataFrame, by: str, doi: str | None = None) -> DataFrame:
     """Records per group and how many carry an identifier."""
     extra = [] if doi is None else [F.count_if(F.coalesce(F.col(doi), F.lit("")) != "").alias("with_doi")]

@@ -68,6 +68,38 @@ def session_qc(recordings: DataFrame, annotations: DataFrame, keys: Sequence[str
     )
 
 
+def session_inputs(
+    recordings: DataFrame, annotations: DataFrame, signals: DataFrame, keep: Sequence[str] = (), include_spikes: bool = False,
+    lo: float = 10.0, hi: float = 25.0, keys: Sequence[str] = ("session",),
+) -> DataFrame:
+    """The inputs' check of a session: missing sidecars, the signal file used and the clocks' distance (Q05).
+
+    ``recordings`` has t_start and has_sidecar; those without a sidecar count as missing and place nothing.
+    ``signals`` has path, t_start and t_end. The file used is the first, by path, that covers the start of the
+    first annotation kept, else the first of all; ``covers`` tells which. The delta is the first placed video's
+    start less that file's. Sessions without files, videos or annotations have nulls; nothing is
+    paired but a session's files with its one first annotation.
+    """
+    from chronoline.operators.clips import keep_label
+
+    keys = list(keys)
+    r = recordings.groupBy(*keys).agg(
+        F.count_if("has_sidecar").alias("n_recordings"), F.count_if(~F.col("has_sidecar")).alias("n_missing_sidecar"),
+        F.min(F.when(F.col("has_sidecar"), F.col("t_start"))).alias("_v"),
+    )
+    a = annotations.filter(keep_label(F.col("label"), keep, include_spikes)).groupBy(*keys).agg(F.min("t_start").alias("_a"))
+    covering = (F.col("t_start") <= F.col("_a")) & (F.col("_a") < F.col("t_end"))
+    e = signals.join(a, keys, "left").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_signals"), F.min(F.struct("path", "t_start")).alias("_any"), F.min(F.when(covering, F.struct("path", "t_start"))).alias("_own"),
+    )
+    used = F.coalesce("_own", "_any")
+    delta = F.col("_v") - used["t_start"]
+    return r.join(e, keys, "left").select(
+        *keys, "n_recordings", "n_missing_sidecar", F.coalesce("n_signals", F.lit(0).cast("bigint")).alias("n_signals"), used["path"].alias("signal_selected"),
+        F.col("_own").isNotNull().alias("covers"), delta.alias("clock_delta_s"), delta.between(lo, hi).alias("clocks_agree"),
+    )
+
+
 def recording_length(
     files: DataFrame, start: str = "t_start", frames: str = "frames", fps: str = "fps", default_fps: float = 15.0
 ) -> DataFrame:

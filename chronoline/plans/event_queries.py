@@ -460,6 +460,29 @@ def _(s):
     return timeline.session_qc(s.recording, s.annotation)
 
 
+# a signal file for every second day, started before the first video of the day by 3 to 27 seconds
+_SIGNALS = """sig AS (SELECT session, replace(path, '.mp4', '.edf') AS path, t_start - (3 + (day + session) % 25) AS t_start, t_start + 3600.0 * (1 + day % 50) AS t_end FROM recording WHERE day % 2 = 0),
+vid AS (SELECT session, t_start, day % 4 <> 3 AS has_sidecar FROM recording)"""
+
+
+@query("session_inputs", f"""
+WITH {_SIGNALS},
+r AS (SELECT session, count(*) FILTER (has_sidecar) AS n_recordings, count(*) FILTER (NOT has_sidecar) AS n_missing_sidecar, min(t_start) FILTER (has_sidecar) AS v FROM vid GROUP BY session),
+a AS (SELECT session, min(t_start) AS a FROM annotation WHERE NOT lower(label) LIKE '%spike%' GROUP BY session),
+e AS (SELECT session, count(*) AS n_signals, min({{'path': path, 't': t_start}}) AS f, min({{'path': path, 't': t_start}}) FILTER (t_start <= a AND a < t_end) AS own
+      FROM sig LEFT JOIN a USING (session) GROUP BY session)
+SELECT session, n_recordings, n_missing_sidecar, coalesce(n_signals, 0) AS n_signals, coalesce(own, f).path AS signal_selected, own IS NOT NULL AS covers,
+       round(v - coalesce(own, f).t, 6) AS clock_delta_s, v - coalesce(own, f).t BETWEEN 10 AND 25 AS clocks_agree
+FROM r LEFT JOIN e USING (session)""", ("recording", "annotation"))
+def _(s):
+    r = s.recording
+    signals = r.filter("day % 2 = 0").select(
+        "session", F.replace("path", F.lit(".mp4"), F.lit(".edf")).alias("path"), (F.col("t_start") - (3 + (F.col("day") + F.col("session")) % 25)).alias("t_start"),
+        (F.col("t_start") + 3600.0 * (1 + F.col("day") % 50)).alias("t_end"))
+    videos = r.select("session", "t_start", (F.col("day") % 4 != 3).alias("has_sidecar"))
+    return _round(timeline.session_inputs(videos, s.annotation, signals), "clock_delta_s")
+
+
 @query("recorded_hours", """
 SELECT session, count(*) AS n_files, count(*) FILTER (dur_s IS NULL) AS n_rejected, round(coalesce(sum(dur_s), 0.0) / 3600.0, 6) AS hours
 FROM recording GROUP BY session""", ("recording",))

@@ -269,6 +269,23 @@ def _(s):
     return rc.merge_records(s.record, "doc_id", ("topic",)).select("title_digest", "doc_id", "n_records", "cited_by_count", "sources", "topic")
 
 
+@query("merged_record_ids", f"""
+WITH k AS (SELECT *, {_KEY} AS key FROM record), k2 AS (SELECT *, sha256(key) AS title_digest FROM k WHERE length(key) >= 12),
+src AS (SELECT title_digest, source_api, min(doc_id) AS o FROM k2 GROUP BY ALL)
+SELECT title_digest, string_agg('r' || o, ' | ' ORDER BY o) AS record_ids FROM src GROUP BY title_digest""", ("record",))
+def _(s):
+    named = s.record.withColumn("record_id", F.concat(F.lit("r"), F.col("doc_id").cast("string")))
+    return rc.merge_records(named, "doc_id", ident="record_id").select("title_digest", "record_ids")
+
+
+@query("merged_queries", f"""
+WITH k AS (SELECT *, {_KEY} AS key FROM record), k2 AS (SELECT *, sha256(key) AS title_digest FROM k WHERE length(key) >= 12)
+SELECT title_digest, doc_id, 'query ' || (doc_id % 9) AS source_query FROM k2 QUALIFY doc_id > min(doc_id) OVER (PARTITION BY title_digest)""", ("record",))
+def _(s):
+    asked = s.record.withColumn("source_query", F.concat(F.lit("query "), (F.col("doc_id") % 9).cast("string")))
+    return rc.also_queries(asked, "doc_id")
+
+
 @query("count_records", "SELECT topic, count(*) AS n, count(*) FILTER (doc_id % 3 <> 0) AS with_doi FROM record GROUP BY topic", ("record",))
 def _(s):
     r = s.record.withColumn("doi", F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("10.1/"), F.col("doc_id").cast("string"))).otherwise(""))

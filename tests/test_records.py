@@ -66,3 +66,22 @@ def test_source_by_name_and_subject(spark):
     wanted = spark.createDataFrame([("f.edf", "RN1"), ("f.edf", "RN2"), ("f.edf", "RN3"), ("g.edf", "RN1")], "name string, subject string")
     got = {(r["name"], r["subject"]): r["source_path"] for r in stores.find_source(wanted, archive).collect()}
     assert got == {("f.edf", "RN1"): "/r/RN1/d/f.edf", ("f.edf", "RN2"): "/r/RN2/d/f.edf", ("f.edf", "RN3"): "/r/2024/f.edf", ("g.edf", "RN1"): None}
+
+
+def test_merged_ids_and_queries(spark):
+    t = "A long enough title here"
+    rows = [(1, t, "x", "x1", "q1", 3), (2, t.upper(), "x", "x2", "q2", 9), (3, t + "!", "y", "y1", "q1", 1), (4, "short", "x", "x3", "q3", 0), (5, "Another long enough title", "z", None, "q4", 0)]
+    df = spark.createDataFrame(rows, "ord int, title string, source_api string, record_id string, source_query string, cited_by_count int").repartition(3)
+    got = {r["ord"]: (r["sources"], r["record_ids"], r["cited_by_count"]) for r in rc.merge_records(df, "ord", ident="record_id").collect()}
+    assert got == {1: ("x+y", "x1 | y1", 9), 5: ("z", "", 0)}
+    assert sorted((r["ord"], r["source_query"]) for r in rc.also_queries(df, "ord").collect()) == [(2, "q2"), (3, "q1")]
+
+
+def test_session_inputs(spark):
+    from chronoline.operators import timeline
+
+    rec = spark.createDataFrame([(1, 100.0, True), (1, 50.0, False), (2, 10.0, True), (3, 5.0, False)], "session int, t_start double, has_sidecar boolean")
+    ann = spark.createDataFrame([(1, "Stage 1", 500.0), (1, "Spikes", 120.0), (2, "Stage 2", 5.0)], "session int, label string, t_start double")
+    sig = spark.createDataFrame([(1, "a.edf", 0.0, 400.0), (1, "b.edf", 85.0, 900.0), (2, "d.edf", 7.0, 9.0), (2, "c.edf", 6.0, 9.0)], "session int, path string, t_start double, t_end double")
+    got = {r["session"]: tuple(r)[1:] for r in timeline.session_inputs(rec, ann, sig).collect()}
+    assert got == {1: (1, 1, 2, "b.edf", True, 15.0, True), 2: (1, 0, 2, "c.edf", False, 4.0, False), 3: (0, 1, 0, None, False, None, None)}
