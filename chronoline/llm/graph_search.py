@@ -182,7 +182,10 @@ def search(index: DataFrame, queries: DataFrame, ident: str = "vec_id", vector:
         }])
 
     packed = asked.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, asked binary, q binary")
-    pairs = index.join(packed.hint("shuffle_hash"), "dim").repartition(max(1, index.count() * blocks), "dim", "shard", "block")
+    # each block goes to every shard by its number, so no task meets all shards or all blocks
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    pairs = index.join(sent, ["dim", "shard"]).repartition(max(1, shards * blocks), "dim", "shard", "block")
 
     def run(frames):
         for pdf in frames:

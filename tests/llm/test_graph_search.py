@@ -55,3 +55,12 @@ def test_pruning_keeps_diverse_edges():
     x = G._unit(np.array([[1, 0], [1, 0.1], [1, 0.11], [1, -0.3]], float))
     kept = G.robust_prune(x, np.array([0]), np.array([[1, 2, 3]], np.int32), 1.2, 3)
     assert kept.tolist() == [[1, 3, -1]]
+
+
+def test_blocks_meet_shards_by_number(spark):
+    """The index is never joined by the vectors' length alone, which is one value for a whole table."""
+    import re
+
+    rows = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(60)], "vec_id long, embedding array<float>")
+    plan = G.search(G.build_index(rows), rows.where("vec_id % 50 = 0"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join Inner", plan)) == 1 and re.search(r"Join Inner, \(\(dim#\d+ = dim#\d+\) AND \(shard#\d+ = shard#\d+\)\)", plan)
