@@ -177,6 +177,13 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(out)
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts as 32 bits; larger ones are an error, never cut."""
+    if len(counts) and int(counts.max()) >= 2**32:
+        raise ValueError("a pair of words occurs 2**32 times or more: its count needs wider arrays")
+    return counts.astype(np.uint32)
+
+
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Count a model over every row of ``docs``; null and empty texts are one end token each."""
     spark = docs.sparkSession
@@ -274,7 +281,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         p = int(pdf["part"].iloc[0])
         keys, counts = _sum_by_key(np.concatenate([_unpack(k) for k in pdf["keys"]]), np.concatenate([_unpack_counts(c) for c in pdf["counts"]]))
         save_array(f"{path}/pairs/{p}.keys", keys)
-        save_array(f"{path}/pairs/{p}.counts", counts.astype(np.uint32))
+        save_array(f"{path}/pairs/{p}.counts", narrow(counts))
         context, word = keys // np.uint64(types), keys % np.uint64(types)
         out = []
 

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from chronoline.llm import kneser_ney as K
@@ -62,3 +63,9 @@ def test_many_parts_and_slices(odd, odd_rows, monkeypatch):
 def test_empty_table(none, odd):
     assert K.held_out_scores(none).count() == 0
     assert all(r["score"] == r["base_score"] == 0 for r in K.score(odd.select("doc_id", "text"), K.train(none)).collect())
+
+
+def test_counts_beyond_32_bits_are_an_error():
+    assert K.narrow(np.array([0, 2**32 - 1])).tolist() == [0, 2**32 - 1] and not len(K.narrow(np.zeros(0, np.int64)))
+    with pytest.raises(ValueError, match="wider"):
+        K.narrow(np.array([1, 2**32]))
