@@ -28,6 +28,8 @@ from chronoline.session import settle
 
 #: Hashed trigrams, and the most languages and suffixes that are told apart (checked).
 BUCKETS, MAX_LANGUAGES, MAX_SUFFIXES = 1 << 14, 512, 100_000
+#: Bytes of text whose trigrams are counted together: numpy needs some fifty bytes for each.
+SLICE = 1 << 19
 #: The trigrams of a text are far from independent: their mean log-likelihood counts as so many.
 EFFECTIVE = 40.0
 #: Weight of the level above in a smoothed prior, and of a uniform guess in a table.
@@ -73,7 +75,7 @@ def trigram_model(rows: DataFrame, text: str, lang: str) -> tuple[list[str], np.
         total: dict[str, np.ndarray] = {}
         for b in batches:
             langs = b.column("lang").to_pylist()
-            for first, last, raw, at in S.slices(b.column("text")):
+            for first, last, raw, at in S.slices(b.column("text"), SLICE):
                 owner, bucket, count = trigram_counts(raw, at)
                 names, number = np.unique(np.array(langs[first:last], dtype=object).astype(str), return_inverse=True)
                 sums = np.bincount(number[owner] * BUCKETS + bucket, count, len(names) * BUCKETS).reshape(-1, BUCKETS)
@@ -104,7 +106,7 @@ def text_evidence(rows: DataFrame, text: str, languages: list[str], table: np.nd
     def run(batches):
         for b in batches:
             lls, sizes = [], []
-            for first, last, raw, at in S.slices(b.column(text)):
+            for first, last, raw, at in S.slices(b.column(text), SLICE):
                 owner, bucket, count = trigram_counts(raw, at)
                 size = np.bincount(owner, count, last - first)
                 ll = np.stack([np.bincount(owner, count * scores[k, bucket], last - first) for k in range(n)], axis=1)

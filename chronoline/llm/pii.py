@@ -36,11 +36,11 @@ STILL = 0.01
 #: Bound of the accepted patterns.
 MAX_PATTERNS = 1_000_000
 #: Entries that a task gathers before it sends them.
-HELD = 200_000
+HELD = 100_000
 #: The longest token, before its closing punctuation is cut, that is a string of the graph.
 LONGEST = 256
 #: Code points of the texts whose tokens a task looks up together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 19
 #: Texts without any of the patterns' words are passed over if there are so many words at most. No
 #: result depends on it: a text that has a word at a pattern's place has it somewhere.
 FEW_WORDS = 64

@@ -79,8 +79,8 @@ def shingle_hashes(raw: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple
     return rolled[index], ends
 
 
-def slices(texts: pa.Array):
-    """Pieces (first, last, bytes, offsets) of an Arrow text array; null counts as empty."""
+def slices(texts: pa.Array, size: int = SLICE):
+    """Pieces (first, last, bytes, offsets) of an Arrow text array, of about ``size`` bytes; null counts as empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
     _, offsets, data = texts.buffers()
@@ -88,7 +88,7 @@ def slices(texts: pa.Array):
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, side="right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + size, side="right")) - 1)
         yield first, last, raw[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
 
