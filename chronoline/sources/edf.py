@@ -18,7 +18,7 @@ HEADER = (
     "path string, start_s double, n_records bigint, record_s double, n_ch int, header_bytes int, record_bytes int, "
     "ordinal int, label string, sfreq double, per_record int, offset int, lo double, hi double, dig_lo double, dig_hi double"
 )
-BLOCKS = "path string, ordinal int, label string, sfreq double, block_id bigint, t0 double, samples array<float>"
+BLOCKS = "path string, ordinal int, label string, sfreq double, block_id bigint, t0 double, samples array<double>"
 
 
 def header_rows(path: str, raw: bytes) -> list[tuple]:
@@ -151,7 +151,7 @@ def block_rows(channels: pd.DataFrame, raw: bytes, n: int) -> list[tuple]:
     for c in channels.itertuples():
         words = np.frombuffer(raw, dtype="<i2").reshape(n, c.record_bytes // 2)
         x = words[:, c.offset // 2:c.offset // 2 + c.per_record].reshape(-1)
-        y = scale(x, c.lo, c.hi, c.dig_lo, c.dig_hi).astype(np.float32)
+        y = scale(x, c.lo, c.hi, c.dig_lo, c.dig_hi)
         rows.append((c.path, int(c.ordinal), c.label, float(c.sfreq), int(c.block_id), float(c.t0), y))
     return rows
 

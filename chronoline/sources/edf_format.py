@@ -100,7 +100,7 @@ class EdfReader(DataSourceReader):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.float32()))
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
     columns = list(zip(*rows))
     columns[5] = [None if np.isnan(t) else t for t in columns[5]]
     names = [f.strip().split(" ")[0] for f in BLOCKS.split(", ")]
