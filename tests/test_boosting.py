@@ -69,3 +69,11 @@ def test_rows_columns_and_bounds(spark, windows):
     assert fit(train, test.where("false")).count() == 0
     assert {r["pred"] for r in fit(train.where("false"), test).collect()} == {None}
     assert {r["pred"] for r in fit(train.where("wlab = 1"), test).collect()} == {1}
+
+
+def test_the_scale_of_weights_does_not_matter(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, *map(float, rng.normal(size=2))) for k in range(400)]
+    df = spark.createDataFrame([(k, a, b, int(a > 0), 1e-4) for k, a, b in rows], "id int, a double, b double, y int, w double")
+    got = B.boosted_trees(df.where("id < 300"), df.where("id >= 300"), 5, "y", ("a", "b"), "w", 20, 3, 0.3).collect()
+    assert sum((r["probs"][1] > 0.5) == (r["y"] == 1) for r in got) > 90
