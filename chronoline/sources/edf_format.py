@@ -4,8 +4,8 @@
     spark.read.format("edf").load(folder).where("label = 'EEG L' AND t0 >= 1706756645")
 
 Rows are those of ``edf.read_signals``: path, ordinal, label, sfreq, block_id, t0, samples, one for
-each channel and each ``records`` data records. A partition is a range of bytes of one file: planning
-lists names and sizes only, and the task that holds a block's first byte reads it. Filters on path drop
+each channel and each ``records`` data records. A partition is a range of bytes of one file, or several
+small files: planning lists names and sizes only, and the task that holds a block's first byte reads it. Filters on path drop
 partitions, on label channels, and on t0 and block_id the ranges that are read at all.
 
 Options: ``records`` in a block (60), ``split_bytes`` of a partition (64 MB).
@@ -27,20 +27,19 @@ from pyspark.sql.datasource import (
 from chronoline.sources.edf import BLOCKS, _frame, _open, HEADER, block_rows, file_system, header_rows
 
 _COMPARE = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
+#: A file counts as so many bytes at least when small ones share a partition, and so many share one at most.
+OPEN_BYTES, MOST_FILES = 1 << 18, 256
 _TEXT = {EqualTo: operator.eq, In: lambda x, v: x in v, StringStartsWith: str.startswith, StringEndsWith: str.endswith}
 
 
 @dataclass
 class Piece(InputPartition):
-    """The blocks of one file that begin in a range of its bytes."""
+    """Of each file, the blocks that begin in a range of its bytes: (path, low, high, size)."""
 
-    path: str
-    low: int
-    high: int
-    size: int
+    ranges: list[tuple[str, int, int, int]]
 
     def __post_init__(self):
-        super().__init__(self.path)
+        super().__init__(self.ranges[0][0])
 
 
 class EdfReader(DataSourceReader):
@@ -67,25 +66,40 @@ class EdfReader(DataSourceReader):
         files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(where, recursive=True))
         named = sorted((prefix + f.path, f.size) for f in files if f.type == fs.FileType.File and f.path.lower().endswith(".edf"))
         step = self.split_bytes
-        return [Piece(p, lo, lo + step, size) for p, size in named if self._text_fits("path", p) for lo in range(0, max(size, 1), step)]
+        out, room = [], 0
+        for p, size in named:
+            if not self._text_fits("path", p):
+                continue
+            cost = max(size, OPEN_BYTES)
+            if size > step or not out or room < cost or len(out[-1].ranges) == MOST_FILES:
+                out += [Piece([(p, lo, lo + step, size)]) for lo in range(0, max(size, 1), step)]
+                room = 0 if size > step else step - cost
+            else:
+                out[-1].ranges.append((p, 0, step, size))
+                room -= cost
+        return out
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        with _open(partition.path) as f:
+        for path, low, high, size in partition.ranges:
+            yield from self._read(path, low, high, size)
+
+    def _read(self, path: str, low: int, high: int, size: int) -> Iterator[pa.RecordBatch]:
+        with _open(path) as f:
             head = f.read(256)
-            rows = header_rows(partition.path, head + f.read(256 * int(head[252:256])))
+            rows = header_rows(path, head + f.read(256 * int(head[252:256])))
             channels = _frame(rows, HEADER)
             channels = channels[[self._text_fits("label", x) for x in channels["label"]]]
             if not len(channels):
                 return
             first = channels.iloc[0]
             begin, wide = int(first["header_bytes"]), int(first["record_bytes"])
-            whole = max(0, (partition.size - begin) // wide)  # the header may not know, and the last record may be cut
+            whole = max(0, (size - begin) // wide)  # the header may not know, and the last record may be cut
             n_records = whole if first["n_records"] < 0 else min(int(first["n_records"]), whole)
             block = wide * self.records
             every = -(-n_records // self.records)
-            low = max(0, -(-(partition.low - begin) // block))
-            high = min(every, max(0, -(-(partition.high - begin) // block)))
-            ids = np.arange(low, high)
+            begins = max(0, -(-(low - begin) // block))
+            ends = min(every, max(0, -(-(high - begin) // block)))
+            ids = np.arange(begins, ends)
             start = None if first["start_s"] is None or np.isnan(first["start_s"]) else float(first["start_s"])
             for name, kind, value in self.rules:
                 if name == "t0":

@@ -100,3 +100,13 @@ def test_written_files_are_read_again(spark, tmp_path):
     assert struct.unpack("<h", (tmp_path / "out" / "two.edf").read_bytes()[-2:]) == (49,)
     rows = edf_format.register(spark).read.format("edf").load(str(tmp_path / "out")).collect()
     assert len(rows) == 2 and len(rows[0]["samples"]) == 50
+
+
+def test_small_files_share_partitions(spark, tmp_path):
+    for k in range(300):
+        write_edf(tmp_path / f"{k:03}.edf", b"01.02.2403.04.05", [("EEG L", -1, 1, list(range(k, k + 50)))], 5, 10)
+    parts = edf_format.EdfReader(str(tmp_path), 2, 1 << 26).partitions()
+    assert [len(p.ranges) for p in parts] == [256, 44]
+    assert len(edf_format.EdfReader(str(tmp_path), 2, 1 << 9).partitions()) > 300  # files beyond the split size are still cut
+    rows = edf_format.register(spark).read.format("edf").option("records", 2).load(str(tmp_path)).collect()
+    assert len({r["path"] for r in rows}) == 300 and len(rows) == 900
