@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from chronoline.functions.numbers import let
 from chronoline.functions.text import citation_stem, clash_suffix, hits, title_key
 from chronoline.operators.blocks import Blocks, row_numbers
+from chronoline.session import settle
 
 # fixed values: notices that are not papers, as each ranking knows them
 BROAD_NOTICES = r"retract|erratum|correction to|editorial|comment on"
@@ -100,8 +102,12 @@ TOPICS: dict[str, Topic] = {
 
 def _keyed(records: DataFrame, title: str, min_key_len: int) -> DataFrame:
     """Records with a digest of their title key; those of a short key are left out."""
-    keyed = records.withColumn("_key", title_key(F.col(title))).filter(F.length("_key") >= min_key_len)
-    return keyed.withColumn("title_digest", F.sha2("_key", 256)).drop("_key")
+    return records.withColumn("title_digest", _digest(title, min_key_len)).filter("title_digest IS NOT NULL")
+
+
+def _digest(title: str, min_key_len: int) -> Column:
+    """Digest of the title key, which is computed once; null if the key is short."""
+    return let(title_key(F.col(title)), lambda k: F.when(F.length(k) >= min_key_len, F.sha2(k, 256)))
 
 
 def merge_records(
@@ -134,8 +140,9 @@ def also_queries(records: DataFrame, order: str, query: str = "source_query", mi
     """(title_digest, order, query) of the records merged into the first one of their title.
 
     A table beside the merged records, in the declared order: a list inside one would grow with the copies.
+    The titles are read once: what is kept of them is settled before it meets the first of each title.
     """
-    keyed = _keyed(records, title, min_key_len)
+    keyed = settle(records.select(_digest(title, min_key_len).alias("title_digest"), order, query)).filter("title_digest IS NOT NULL")
     first = keyed.groupBy("title_digest").agg(F.min(order).alias("_first"))
     return keyed.join(first, "title_digest").filter(F.col(order) > F.col("_first")).select("title_digest", order, query)
 

@@ -85,3 +85,9 @@ def test_session_inputs(spark):
     sig = spark.createDataFrame([(1, "a.edf", 0.0, 400.0), (1, "b.edf", 85.0, 900.0), (2, "d.edf", 7.0, 9.0), (2, "c.edf", 6.0, 9.0)], "session int, path string, t_start double, t_end double")
     got = {r["session"]: tuple(r)[1:] for r in timeline.session_inputs(rec, ann, sig).collect()}
     assert got == {1: (1, 1, 2, "b.edf", True, 15.0, True), 2: (1, 0, 2, "c.edf", False, 4.0, False), 3: (0, 1, 0, None, False, None, None)}
+
+
+def test_titles_are_keyed_once(spark):
+    df = spark.createDataFrame([(k, f"the same long title {k % 3}", f"q{k}") for k in range(9)], "ord int, title string, source_query string")
+    out = rc.also_queries(df, "ord")
+    assert out.count() == 6 and "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
