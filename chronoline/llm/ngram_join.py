@@ -34,6 +34,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 #: Values compared between two looks at the posterior, and where it drops a pair.
 STEP, TOLERANCE = 24, 1e-7
+#: Bytes of text whose shingles are hashed together: numpy needs some forty bytes for each.
+SLICE = 1 << 19
 #: The most texts of a band whose pairs are rows; texts of a block.
 SMALL, BLOCK = 24, 256
 
@@ -142,7 +144,7 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = THRESH
     def values(batches):
         for b in batches:
             out = []
-            for first, last, raw, at in S.slices(b.column("text")):
+            for first, last, raw, at in S.slices(b.column("text"), SLICE):
                 found, ends = S.shingle_hashes(raw, at, width)
                 sig = S.minhash(found, ends, hashes)
                 out += [sig[k].tobytes() if ends[k + 1] > ends[k] else None for k in range(last - first)]
@@ -201,7 +203,7 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = THRESH
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sets: list[np.ndarray] = []
         sigs = []
-        for first, last, raw, at in S.slices(pa.array(pdf["text"], pa.large_string())):
+        for first, last, raw, at in S.slices(pa.array(pdf["text"], pa.large_string()), SLICE):
             found, ends = S.shingle_hashes(raw, at, width)
             sigs.append(S.minhash(found, ends, hashes))
             sets += [np.unique(found[ends[k] : ends[k + 1]]) for k in range(last - first)]

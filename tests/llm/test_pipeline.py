@@ -52,3 +52,13 @@ def test_stages_equal_brute_force(spark, odd, odd_rows, tmp_path):
 def test_run_on_an_empty_table(spark, none, tmp_path):
     none.select(*C.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_send_small_batches(spark, odd, monkeypatch):
+    monkeypatch.setattr(C.language, "keep_identified", lambda docs: docs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    try:
+        C.identified(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), "")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == C.BATCH_ROWS
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
