@@ -10,7 +10,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chronoline.operators.blocks import BLK, DAILY, Blocks, assign, blocked, hot_blocks, neighbours
 from chronoline.session import settle
@@ -35,13 +35,16 @@ def extract_events(
     merge_gap: float = 4.0,
     keys: Sequence[str] = ("session", "modality"),
     blocks: Blocks = DAILY,
+    facts: bool = True,
 ) -> DataFrame:
     """Hits [t, t + win) with p >= thr, joined when at most ``merge_gap`` apart.
 
     The trace is shuffled once by (keys, block); thresholds fan out after that
     shuffle, because a partitioning by (keys, block) already serves windows by
-    (keys, thr, block). Output: keys, thr, t_start, t_end, peak, n_hits; an event
-    is identified by (keys, thr, t_start).
+    (keys, thr, block). Hits are equally long, so an earlier block reaches no further than
+    the first event of a block: only the first and the last one are joined across blocks.
+    Output: keys, thr, t_start, t_end and, unless ``facts`` is false, peak and n_hits; an
+    event is identified by (keys, thr, t_start).
     """
     low = min(thresholds)
     hits = trace.filter(F.col("p") >= F.lit(low)).select(*keys, "t", "p")
@@ -56,17 +59,21 @@ def extract_events(
     )
     full = [*keys, "thr"]
     local = _local_islands(fanned, full, "t", "_e", merge_gap)
-    pieces = settle(local.groupBy(*full, BLK, "_is").agg(
-        F.max("_e").alias("_e"), F.max("p").alias("peak"), F.count(F.lit(1)).alias("n_hits")
+    own = [F.max("p").alias("peak"), F.count(F.lit(1)).alias("n_hits")] if facts else []
+    folded = [F.max("peak").alias("peak"), F.sum("n_hits").alias("n_hits")] if facts else []
+    spec = W.partitionBy(*full, BLK).orderBy("_is")
+    pieces = settle(local.groupBy(*full, BLK, "_is").agg(F.max("_e").alias("_e"), *own).withColumn(
+        "_edge", F.lag("_is").over(spec).isNull() | F.lead("_is").over(spec).isNull()
     ))
-    merged = (
-        pieces.join(_stitch(pieces, full, "_e", merge_gap), [*full, BLK], "left")
+    edges = pieces.filter("_edge")
+    across = (
+        edges.join(_stitch(edges, full, "_e", merge_gap), [*full, BLK], "left")
         .withColumn("t_start", _final_start(merge_gap))
         .groupBy(*full, "t_start")
-        .agg(F.max("_e").alias("t_end"), F.max("peak").alias("peak"), F.sum("n_hits").alias("n_hits"))
-        .filter(F.col("t_end") - F.col("t_start") >= F.lit(min_dur))
+        .agg(F.max("_e").alias("t_end"), *folded)
     )
-    return merged
+    inside = pieces.filter(~F.col("_edge")).withColumnsRenamed({"_is": "t_start", "_e": "t_end"}).select(*across.columns)
+    return across.unionAll(inside).filter(F.col("t_end") - F.col("t_start") >= F.lit(min_dur))
 
 
 def candidate_pairs(
@@ -306,7 +313,7 @@ def operating_curve(
     keys: Sequence[str] = ("session",), blocks: Blocks = DAILY,
 ) -> DataFrame:
     """False alarms per hour and sensitivity at many thresholds."""
-    ev = settle(extract_events(trace, thresholds, win, min_dur, merge_gap, [*keys, "modality"], blocks))
+    ev = settle(extract_events(trace, thresholds, win, min_dur, merge_gap, [*keys, "modality"], blocks, facts=False))
     m = match_events(ev, truth, min_iou, keys, blocks=blocks)
     grid = score_grid(trace, thresholds, keys)
     return score_events(ev, m, truth, grid, hours, keys).select(
