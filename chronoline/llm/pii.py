@@ -12,13 +12,17 @@ looked up, and the graph is scored again until no pattern is added. Accepted pat
 token behind them, with or without a digit and of any length.
 
 Counts cover every text. Tasks send sums, so a word that stands before a third of all tokens is a
-few rows. The accepted patterns are a lexicon: their number is checked before they are shipped.
+few rows. All occurrences are counted, in a reading of their own, only for patterns with enough
+strings to be accepted at all; more follow as the graph grows. The accepted patterns are a lexicon:
+their number is checked before they are shipped.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +43,8 @@ MAX_PATTERNS = 1_000_000
 HELD = 100_000
 #: The longest token, before its closing punctuation is cut, that is a string of the graph.
 LONGEST = 256
-#: Code points of the texts whose tokens a task looks up together.
-TOGETHER = 1 << 19
+#: Code points of the texts whose words a task looks up together; rows of a batch that become strings together.
+TOGETHER, ROWS = 1 << 19, 256
 #: Texts without any of the patterns' words are passed over if there are so many words at most. No
 #: result depends on it: a text that has a word at a pattern's place has it somewhere.
 FEW_WORDS = 64
@@ -56,11 +60,17 @@ _ACCESS = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
 #: The characters of an identifier-like string.
 _PART = re.compile(r"[A-Za-z0-9_+/.-]+")
 _BEFORE = re.compile(r"([^\W\d_]+)(\W{1,8})\Z")
+_WORD = re.compile(r"[^\W\d_]+")
 _ANY = re.compile(r"(?<![^\W\d_])[^\W\d_]++\W{1,8}(?=\w)")
+#: The signs, no letters, that have a case.
+_FOLDED_SIGNS = re.compile("[\u0345\u24B6-\u24CF]")
 _PARTS = re.compile(r"(?<![^\W\d_])([^\W\d_]++)(\W{1,8})(?=\w)")
 #: A whole token, whatever its form, and the places of words with the token behind each, cut where it is too long.
 _TOKEN = re.compile(r"[^\s\"'`<>()\[\]{},;&|]+")
+_STRETCH = re.compile(r"\S+")
 _PLACE = re.compile(r"(?<![^\W\d_])[^\W\d_]++\W{1,8}(?=(\w[^\s\"'`<>()\[\]{},;&|]{0,%d}+))" % LONGEST)
+#: The tokens, cut alike, that may begin in what stands between white space: wherever a word character follows none.
+_BEGUN = re.compile(r"(?<!\w)(?=(\w[^\s\"'`<>()\[\]{},;&|]{0,%d}+))" % LONGEST)
 _CLOSING = ".:!?+/-"
 
 
@@ -150,49 +160,111 @@ def pattern(t: str, start: int) -> str | None:
         back *= 8  # the word may begin before
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most ``ROWS`` rows at a time: texts become strings beside the batch that holds them."""
+    for b in batches:
+        for first in range(0, b.num_rows, ROWS):
+            yield b.slice(first, ROWS)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    """The texts that are not empty."""
+    for b in _slices(batches):
+        yield from filter(None, b.column(0).to_pylist())
+
+
+def _together(texts: Iterator[str]) -> Iterator[list[str]]:
+    """Stretches of some ``TOGETHER`` code points."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _edges(docs: DataFrame, text: str) -> DataFrame:
-    """(pattern, string, seed, n): sums of the tasks; string is null for the occurrences before anything."""
+    """(pattern, string, seed, n): sums of the tasks."""
 
     def run(batches):
         edges: Counter = Counter()
-        totals: Counter = Counter()
 
         def flush():
-            found: Counter = Counter()
-            for raw, n in totals.items():
-                word = re.match(r"[^\W\d_]+", raw)[0]
-                found[named(word, raw[len(word) :])] += n
-            rows = [(p, s, seed, n) for (p, s, seed), n in edges.items()] + [(p, None, False, n) for p, n in found.items()]
+            cols = list(zip(*((p, s, seed, n) for (p, s, seed), n in edges.items())))
             edges.clear()
-            totals.clear()
-            cols = list(zip(*rows)) or [(), (), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64())], ["pattern", "string", "seed", "n"])
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if not t:
-                    continue
-                totals.update(_ANY.findall(t))
-                base = base_spans(t)
-                for a, b_, strong in [(x[0], x[2], True) for x in base] + strings(t, base):
-                    p = pattern(t, a)
-                    if p is not None:
-                        edges[p, _key(t[a:b_]), strong] += 1
-                if len(totals) + len(edges) > HELD:
-                    yield flush()
-        if totals or edges:
+        for t in _texts(batches):
+            base = base_spans(t)
+            for a, b, strong in [(x[0], x[2], True) for x in base] + strings(t, base):
+                p = pattern(t, a)
+                if p is not None:
+                    edges[p, _key(t[a:b]), strong] += 1
+            if len(edges) > HELD:
+                yield flush()
+        if edges:
             yield flush()
 
     return docs.select(text).mapInArrow(run, "pattern string, string long, seed boolean, n long").groupBy("pattern", "string", "seed").agg(F.sum("n").alias("n"))
 
 
-def _key(s: str) -> int:
-    import zlib
+def _totals(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): all occurrences of some patterns, whatever follows.
 
+    Spellings, with case and white space as they stand, are counted for some texts at once and then looked
+    up, folded together. What the sieve lets through is joined exactly.
+    """
+    bare = F.regexp_replace("pattern", r"^([^|]*)\|", "$1")
+    sieve = Sieve(docs.sparkSession, patterns.select(F.shiftleft(F.crc32(bare.cast("binary")), 31).alias("key")), "key")
+
+    def run(batches):
+        totals: Counter = Counter()
+
+        def flush():
+            cols = list(zip(*totals.items()))
+            totals.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["pattern", "total"])
+
+        for texts in _together(_texts(batches)):
+            spelled: Counter = Counter()
+            for t in texts:
+                spelled.update(_ANY.findall(t) if len(t) <= TOGETHER else (m[0] for m in _ANY.finditer(t)))
+            every = list(spelled)
+            for k in np.flatnonzero(sieve.passes(_crcs(_bare(every)))).tolist():
+                word = _WORD.match(every[k])[0]
+                totals[named(word, every[k][len(word) :])] += spelled[every[k]]
+            if len(totals) > HELD:
+                yield flush()
+        if totals:
+            yield flush()
+
+    found = docs.select(text).mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
+    return found.join(patterns, "pattern", "left_semi")
+
+
+def _key(s: str) -> int:
     raw = s.encode()
     return zlib.crc32(raw) << 31 | zlib.adler32(raw) & 0x7FFFFFFF
 
 
+def _crcs(values: list[str]) -> np.ndarray:
+    """The part of the keys that a sieve looks at."""
+    return np.array([zlib.crc32(s.encode()) for s in values], np.int64) << 31
+
+
+def _bare(spelled: list[str]) -> list[str]:
+    """The names of words and the signs behind them, without the bar, folded all at once: an underscore is in none."""
+    if not spelled:
+        return []
+    if not _FOLDED_SIGNS.search(joined := "_".join(spelled)):
+        return "".join(joined.casefold().split()).split("_")
+    words = [_WORD.match(s)[0] for s in spelled]
+    return [named(w, s[len(w) :]).replace("|", "", 1) for w, s in zip(words, spelled)]
+
+
 def words_of(known: frozenset[str]) -> list[str] | None:
     """The patterns' words, or None if they are too many to look for one by one."""
     words = {p.partition("|")[0] for p in known}
@@ -221,14 +293,13 @@ def _keys_behind(docs: DataFrame, text: str, known: frozenset[str]) -> DataFrame
 
     def run(batches):
         held: set = set()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for a, e in behind(t, sent.value, words):
-                    if _TOKEN.match(t[a : a + LONGEST + 1]).end() <= LONGEST:
-                        held.add(_key(t[a:e]))
-                if len(held) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], ["string"])
-                    held.clear()
+        for t in _texts(batches):
+            for a, e in behind(t, sent.value, words):
+                if _TOKEN.match(t[a : a + LONGEST + 1]).end() <= LONGEST:
+                    held.add(_key(t[a:e]))
+            if len(held) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], ["string"])
+                held.clear()
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], ["string"])
 
@@ -238,8 +309,8 @@ def _keys_behind(docs: DataFrame, text: str, known: frozenset[str]) -> DataFrame
 def _found_again(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
     """(pattern, string, seed, n) of every place where one of the strings is a whole token behind any pattern.
 
-    The distinct tokens of some texts are looked up at once, and only texts that hold one are read
-    place by place. What the sieve lets through is joined exactly.
+    What stands between white space is read once for some texts, with all tokens that may begin in it,
+    and only texts that hold one are read place by place. What the sieve lets through is joined exactly.
     """
     sieve = Sieve(docs.sparkSession, keys, "string")
 
@@ -251,30 +322,19 @@ def _found_again(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
             edges.clear()
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["pattern", "string", "n"])
 
-        def look_up(texts):
-            tokens = [set(_PLACE.findall(t) if len(t) <= TOGETHER else (m[1] for m in _PLACE.finditer(t))) for t in texts]
-            every = [x for x in set().union(*tokens) if len(x) <= LONGEST]
-            found = np.array([_key(x.rstrip(_CLOSING)) for x in every], np.int64)
-            wanted = {every[k]: int(found[k]) for k in np.flatnonzero(sieve.passes(found))}
-            for t, own in zip(texts, tokens):
-                if not own.isdisjoint(wanted):
+        for texts in _together(_texts(batches)):
+            stretches: set[str] = set()
+            for t in texts:
+                stretches.update(t.split() if len(t) <= TOGETHER else (m[0] for m in _STRETCH.finditer(t)))
+            every = [x for x in _BEGUN.findall(" ".join(stretches)) if len(x) <= LONGEST]
+            # the sieve looks at a key's highest bits, which are the checksum's
+            passed = np.flatnonzero(sieve.passes(_crcs([x.rstrip(_CLOSING) for x in every]))).tolist()
+            wanted = {every[k]: _key(every[k].rstrip(_CLOSING)) for k in passed}
+            for t in texts if wanted else ():
+                if len(wanted) > FEW_WORDS or any(x in t for x in wanted):
                     for m in _PLACE.finditer(t):
                         if m[1] in wanted:
                             edges[pattern(t, m.end()), wanted[m[1]]] += 1
-
-        for b in batches:
-            texts, size = [], 0
-            for t in b.column(0).to_pylist():
-                if t:
-                    texts.append(t)
-                    size += len(t)
-                if size > TOGETHER:
-                    look_up(texts)
-                    texts, size = [], 0
-                    if len(edges) > HELD:
-                        yield flush()
-            if texts:
-                look_up(texts)
             if len(edges) > HELD:
                 yield flush()
         if edges:
@@ -312,11 +372,16 @@ def _accepted(edges: DataFrame, confidence: float, support: int, rounds: int) ->
 
 def learn_patterns(docs: DataFrame, text: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> list[str]:
     """The lexical patterns that the graph of all texts makes sure of."""
-    found = settle(_edges(docs, text))
-    totals = found.where("string IS NULL").select("pattern", F.col("n").alias("total"))
-    edges, accepted = found.where("string IS NOT NULL"), frozenset()
+    edges, totals, accepted = settle(_edges(docs, text)), None, frozenset()
     while True:
-        joined = settle(edges.groupBy("pattern", "string").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")).join(totals, "pattern", "left"))
+        merged = settle(edges.groupBy("pattern", "string").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")))
+        # patterns of fewer strings have no support in any round, so their totals count for nothing
+        asked = merged.groupBy("pattern").agg(F.count("*").alias("strings")).where(F.col("strings") >= support).select("pattern")
+        asked = settle(asked if totals is None else asked.join(totals, "pattern", "left_anti"))
+        if totals is None or not asked.isEmpty():
+            counted = settle(_totals(docs, text, asked))
+            totals = counted if totals is None else totals.unionAll(counted)
+        joined = settle(merged.join(totals, "pattern", "left"))
         before, accepted = accepted, _accepted(joined, confidence, support, rounds)
         if accepted <= before:
             return sorted(accepted)
@@ -359,7 +424,7 @@ def extract(docs: DataFrame, patterns: list[str] | None = None, text: str = "tex
     kept = [c for c in docs.columns if c not in new and c != text]
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             counts, names, alls = [], [], []
             for t in b.column(text).to_pylist():
                 base, spans = find(t or "", sent.value, words)
@@ -393,7 +458,7 @@ def redact(docs: DataFrame, patterns: list[str] | None = None, text: str = "text
     words, sent = words_of(known), docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             out = pa.array([None if t is None else redacted(t, find(t, sent.value, words)[1]) for t in b.column(text).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([out if c == text else b.column(c) for c in names], names)
 

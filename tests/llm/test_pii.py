@@ -156,3 +156,32 @@ def test_the_graph_equals_plain_loops(spark):
         texts = [" ".join(rng.choice(["password=", "pwd: ", "pin - ", "the ", "a ", "KEY:"]) + token() + rng.choice(["", ",", "."]) for _ in range(4)) for _ in range(60)]
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
         assert P.learn_patterns(docs) == graph_by_hand(texts)
+
+
+def test_totals_are_of_patterns_with_support_only(spark):
+    """Words before no string send no rows; spellings fold as the pattern's name does, odd ones too."""
+    spelled = ["Key= ", "KEY=\t", "key =", "keyⒶ ", "keyⓐ ", "ǰ: ", "STRASSE:", "straße:", "the |", "x1key=", "key          "]
+    texts = ["plain words of all sorts stand here and " + "".join(f"{s}after " for s in spelled)] * 3 + ["key= " * 3 + "x", "password=ab12cd34", ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    assert {r["pattern"] for r in P._edges(docs, "text").collect()} == {"password|="}
+    names = sorted({P.named(*m.groups()) for t in texts for m in P._PARTS.finditer(t)} & {"key|=", "key|Ⓐ", "key|ⓐ", "ǰ".casefold() + "|:", "strasse|:", "the||", "none|:"})
+    got = {r["pattern"]: r["total"] for r in P._totals(docs, "text", spark.createDataFrame([(p,) for p in [*names, "none|:"]], "pattern string")).collect()}
+    assert got == {p: sum(P.named(*m.groups()) == p for t in texts for m in P._PARTS.finditer(t)) for p in names} and len(got) == 6
+
+
+def test_spellings_fold_all_at_once():
+    odd = [c for c in map(chr, range(0x110000)) if not (c.isalnum() or c == "_") and c.casefold() != c]
+    assert all(P._FOLDED_SIGNS.fullmatch(c) for c in odd)
+    rng = random.Random(4)
+    for signs in (" \t=|:.", " =ͅⒶⓐ"):
+        spelled = ["".join(rng.choice("aBßǰΐİ") for _ in range(rng.randint(1, 4))) + "".join(rng.choice(signs) for _ in range(rng.randint(1, 8))) for _ in range(500)]
+        names = [P.named(*re.match(r"([^\W\d_]+)(\W+)", s).groups()).replace("|", "", 1) for s in spelled]
+        assert P._bare(spelled) == names
+    assert P._bare([]) == []
+
+
+def test_tokens_that_may_begin_hold_every_place():
+    rng = random.Random(6)
+    for _ in range(3000):
+        t = "".join(rng.choice("ab1_= \n\"',;.-é:") for _ in range(rng.randint(0, 40)))
+        assert set(P._PLACE.findall(t)) <= set(P._BEGUN.findall(" ".join(set(t.split()))))
