@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word: a run of characters that are not ASCII white space.
@@ -28,3 +31,10 @@ def crc_mod(ident: Column, m: int) -> Column:
 def parts(df: DataFrame, rows: int, least: int = 1, most: int = 4096) -> int:
     """Number of shuffle parts for about so many rows each."""
     return max(least, min(most, -(-df.count() // rows)))
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; after each, memory that Arrow holds unused goes back, since workers live on and would keep it."""
+    for b in batches:
+        yield b
+        pa.default_memory_pool().release_unused()

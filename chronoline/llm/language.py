@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chronoline.llm import shingles as S
+from chronoline.llm.common import lean
 from chronoline.llm.url_rules import split_url
 from chronoline.session import settle
 
@@ -73,7 +74,7 @@ def trigram_model(rows: DataFrame, text: str, lang: str) -> tuple[list[str], np.
 
     def gather(batches):
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in lean(batches):
             langs = b.column("lang").to_pylist()
             for first, last, raw, at in S.slices(b.column("text"), SLICE):
                 owner, bucket, count = trigram_counts(raw, at)
@@ -104,7 +105,7 @@ def text_evidence(rows: DataFrame, text: str, languages: list[str], table: np.nd
     scores = table if len(languages) else np.zeros((1, BUCKETS))
 
     def run(batches):
-        for b in batches:
+        for b in lean(batches):
             lls, sizes = [], []
             for first, last, raw, at in S.slices(b.column(text), SLICE):
                 owner, bucket, count = trigram_counts(raw, at)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chronoline.llm import shingles as S
-from chronoline.llm.common import parts
+from chronoline.llm.common import lean, parts
 from chronoline.llm.components import components
 from chronoline.session import settle
 
@@ -142,7 +142,7 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = THRESH
     keyed = docs.select(S.words_key(F.col(text)).alias("node"), F.coalesce(text, F.lit("")).alias("text"))
 
     def values(batches):
-        for b in batches:
+        for b in lean(batches):
             out = []
             for first, last, raw, at in S.slices(b.column("text"), SLICE):
                 found, ends = S.shingle_hashes(raw, at, width)
@@ -157,7 +157,7 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = THRESH
     salt = np.uint64(0x9E3779B97F4A7C15)
 
     def bands(batches):
-        for b in batches:
+        for b in lean(batches):
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(b.num_rows, BANDS, ROWS).astype(np.uint64)
             key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (b.num_rows, BANDS)).copy()
             for r in range(ROWS):
@@ -176,7 +176,7 @@ def similar_texts(docs: DataFrame, text: str = "text", threshold: float = THRESH
     pairs = pairs.join(reps.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
 
     def likely(batches):
-        for b in batches:
+        for b in lean(batches):
             left, right = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, hashes) for c in ("sa", "sb"))
             at = np.arange(b.num_rows)
             kept, _ = prune(left, right, at, at, cuts)

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from chronoline.llm.common import lean
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bound of a worker's memory of words and pairs, and the longest word that is remembered.
@@ -200,7 +202,7 @@ def read_model(path: str = MODEL) -> bytes:
 
 
 #: Bytes of text that share one sorted walk.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def _groups(texts: pa.Array):
@@ -232,7 +234,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids")
 
     def run(batches):
         pieces = Pieces(model)  # for one task: workers live on and would keep it
-        for b in batches:
+        for b in lean(batches):
             # a batch for each group of texts, so ids don't pile up
             for first, texts in _groups(b.column(text)):
                 part = b.slice(first, len(texts))
@@ -253,7 +255,7 @@ def encode_and_check(docs: DataFrame, model: bytes, text: str = "text", ids: str
 
     def run(batches):
         pieces = Pieces(model)  # for one task: workers live on and would keep it
-        for b in batches:
+        for b in lean(batches):
             for first, texts in _groups(b.column(text)):
                 part = b.slice(first, len(texts))
                 values = pieces.encode([t or "" for t in texts])
@@ -273,7 +275,7 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded
 
     def run(batches):
         pieces = Pieces(model)  # for one task: workers live on and would keep it
-        for b in batches:
+        for b in lean(batches):
             column = b.column(ids)
             flat, offsets = np.asarray(column.values), np.asarray(column.offsets)
             out = [None if not v else pieces.decode(flat[offsets[k] : offsets[k + 1]]) for k, v in enumerate(column.is_valid().to_pylist())]

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from chronoline.llm.common import lean
 from chronoline.llm.terms import Sieve
 from chronoline.session import settle
 
@@ -162,7 +163,7 @@ def pattern(t: str, start: int) -> str | None:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """At most ``ROWS`` rows at a time: texts become strings beside the batch that holds them."""
-    for b in batches:
+    for b in lean(batches):
         for first in range(0, b.num_rows, ROWS):
             yield b.slice(first, ROWS)
 

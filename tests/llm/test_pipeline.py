@@ -62,3 +62,18 @@ def test_stages_send_small_batches(spark, odd, monkeypatch):
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == C.BATCH_ROWS
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_workers_give_back_what_arrow_holds(monkeypatch):
+    """After each batch, by the pool's own call: idle workers of all stages would keep it beside the next stage's."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from chronoline.llm.common import lean
+
+    given = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: SimpleNamespace(release_unused=lambda: given.append(1)))
+    batches = [pa.RecordBatch.from_pydict({"text": [str(k)]}) for k in range(3)]
+    assert list(lean(iter(batches))) == batches and len(given) == 3
+    assert C.BATCH_ROWS <= 500
