@@ -57,3 +57,24 @@ def test_fitting_sends_no_trees_to_the_driver(spark, windows, monkeypatch):
 
     monkeypatch.setattr(RandomForestClassifier, "_fit", whole)
     assert ml.random_forest(windows.drop("probs"), windows.drop("probs"), 4, features=("a", "b", "c"), trees=5).count() == 1500
+
+
+def test_order_and_pieces():
+    rng = np.random.default_rng(5)
+    for many in (1, 300, 1 << 16, (1 << 16) + 1, 1 << 26):
+        key = rng.integers(0, many, 5000)
+        assert (forest._order(key, many) == np.argsort(key, kind="stable")).all()
+
+
+def test_batches_are_dealt_together():
+    """Pieces grow with parts times gathered batches, not times the small ones that Spark sends."""
+    import pyarrow as pa
+
+    small = [pa.RecordBatch.from_pydict({"x": list(range(k, k + 1000))}) for k in range(0, 200_000, 1000)]
+    got = list(forest._gathered(iter(small)))
+    assert len(got) <= 4 and [v for b in got for v in b.column(0).to_pylist()] == list(range(200_000))
+    assert list(forest._gathered(iter([]))) == []
+
+
+def test_a_task_grows_some_parts():
+    assert [forest._tasks(n) for n in (1, 40, 100, 3200, 10**6)] == [1, 40, 64, 400, 4000]
