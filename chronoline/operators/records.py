@@ -175,11 +175,13 @@ def topic_score(
     """Score of a record under a ranking (O04); null where the topic's rules fail."""
     points = lambda test, n: F.when(test, F.lit(n)).otherwise(F.lit(0.0))
     filled = lambda c: F.coalesce(c, F.lit("")) != ""
-    score = F.pow(F.least(F.greatest(cites, F.lit(0)), F.lit(scoring.cites_cap)).cast("double"), F.lit(scoring.cites_power))
+    # whole points first: records with equal points and citations have equal sums
+    score = F.lit(0.0)
     if scoring.must and topic.must:
         score = score + hits(text, topic.must) * F.lit(scoring.must)
     if scoring.bonus and topic.bonus:
         score = score + hits(title if scoring.bonus_in == "title" else text, topic.bonus) * F.lit(scoring.bonus)
+    score = score + F.pow(F.least(F.greatest(cites, F.lit(0)), F.lit(scoring.cites_cap)).cast("double"), F.lit(scoring.cites_power))
     if year is not None:
         for since, n in scoring.years:
             score = score + points(year >= since, n)
@@ -201,6 +203,7 @@ def top_per_topic(
 ) -> DataFrame:
     """The n best records of every topic, identifier order on ties.
 
+    Scores that agree in nine digits are ties; the scores themselves are not rounded.
     Broad rankings keep positive scores only; the others keep every match.
 
     Rules are column expressions, so records are read once whatever the number of
@@ -211,12 +214,12 @@ def top_per_topic(
         ident, F.explode(F.array(*[
             F.struct(
                 F.lit(name).alias("topic"),
-                F.round(topic_score(t, F.col("_ti"), F.col("_tx"), cites, scoring=rules, **parts), 9).alias("score"),
+                topic_score(t, F.col("_ti"), F.col("_tx"), cites, scoring=rules, **parts).alias("score"),
             )
             for name, t in topics.items()
         ])).alias("_s"),
     ).select(ident, "_s.*").filter(F.col("score") > 0 if rules.positive else F.col("score").isNotNull())
-    spec = W.partitionBy("topic").orderBy(F.col("score").desc(), F.col(ident))
+    spec = W.partitionBy("topic").orderBy(F.round("score", 9).desc(), F.col(ident).asc_nulls_last())
     return scored.withColumn("place", F.row_number().over(spec)).filter(F.col("place") <= n).withColumn(
         "place", F.col("place").cast("bigint")
     )
