@@ -8,8 +8,8 @@ kept edges are also offered backwards, and full lists are pruned again. A second
 nodes mends what the first one searched on an unfinished graph.
 
 The index is a table with one row for each shard. A search pairs shards with packed blocks of at
-most about ``QUERY_BLOCK`` queries and merges each query's best. All searches of a block advance
-together in numpy; scores are recomputed in double precision on the original vectors.
+most about ``QUERY_BLOCK`` queries, ``TOGETHER`` blocks or so for each copy of a shard, and merges each
+query's best. All searches of a block advance together in numpy; scores are recomputed in double precision on the original vectors.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ SHARD, QUERY_BLOCK = 4096, 1024
 DEGREE, BEAM, SEARCH_BEAM, ALPHA = 32, 64, 192, 1.2
 #: Nodes expanded at once in a step of a search; searches that advance together.
 WIDE, BATCH = 4, 256
+#: Query blocks that one copy of a shard serves; tasks of a search, at most.
+TOGETHER, MOST_TASKS = 8, 10_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -182,10 +184,16 @@ def search(index: DataFrame, queries: DataFrame, ident: str = "vec_id", vector:
         }])
 
     packed = asked.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, asked binary, q binary")
-    # each block goes to every shard by its number, so no task meets all shards or all blocks
+    # each block goes to every shard by its number, so no task meets all shards or all blocks; a shard is
+    # copied for some blocks together, not for each. Neither side is broadcast: Spark takes the packed
+    # blocks for a few bytes, and through the driver they would go times the shards
     shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
-    sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = index.join(sent, ["dim", "shard"]).repartition(max(1, shards * blocks), "dim", "shard", "block")
+    copies = -(-blocks // TOGETHER)
+    tasks = max(1, min(MOST_TASKS, shards * copies))
+    sent = packed.select("dim", "block", "asked", "q", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("at"))
+    sent = sent.withColumn("shard", F.col("at") * copies + F.col("block") % copies).drop("at").repartition(tasks, "dim", "shard")
+    held = index.withColumn("shard", F.explode(F.sequence(F.col("shard") * copies, F.col("shard") * copies + copies - 1))).repartition(tasks, "dim", "shard")
+    pairs = sent.join(held.hint("merge"), ["dim", "shard"])
 
     def run(frames):
         for pdf in frames:

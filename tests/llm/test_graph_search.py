@@ -64,3 +64,19 @@ def test_blocks_meet_shards_by_number(spark):
     rows = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(60)], "vec_id long, embedding array<float>")
     plan = G.search(G.build_index(rows), rows.where("vec_id % 50 = 0"))._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Join Inner", plan)) == 1 and re.search(r"Join Inner, \(\(dim#\d+ = dim#\d+\) AND \(shard#\d+ = shard#\d+\)\)", plan)
+
+
+def test_blocks_are_not_broadcast(spark, monkeypatch):
+    """Spark takes packed blocks for a few bytes; times the shards they would not fit the driver."""
+    monkeypatch.setattr(G, "SHARD", 500)
+    monkeypatch.setattr(G, "QUERY_BLOCK", 4)
+    rows = table(spark, 1500)
+    index, queries = G.build_index(rows), rows.where("vec_id % 50 = 0")
+    found = {}
+    for together in (1, 3, 100):
+        monkeypatch.setattr(G, "TOGETHER", together)
+        df = G.search(index, queries)
+        found[together] = sorted(map(tuple, df.collect()))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert len(found[1]) > 150 and found[1] == found[3] == found[100]
